@@ -14,7 +14,7 @@ from formulake.functions.outcome import clean_outcome
 from formulake.functions.ratio import peg_share, with_ratio_features
 from formulake.operators.folds import attach_folds
 from formulake.operators.evaluate import linear_oof
-from formulake.session import tune
+from formulake.session import materialise, tune
 
 NAMES = ["SM-102", "sm102", "ALC-0315", "MC3", "DLin-MC3-DMA", "dlin-mc3-dma", "c12200",
          "Lipid 5", "ionizable lipid", "DSPC"]
@@ -22,11 +22,36 @@ PEGS = ["DMG-PEG", "PEG-DMG", "DMG-PEG2000", "C14-PEG 2000"]
 CARGOS = ["mRNA", "siRNA", "m-RNA", "plasmid DNA", "protein", "ovalbumin", "", "Curcumin"]
 ARTICLE_NAMES = ["SM-102", "ALC-0315", "MC3", "DLin-MC3-DMA", "C12-200", "Lipid 5"]
 ARTICLE_CARGOS = ["mRNA", "siRNA", "plasmid", "peptide", "antisense oligo"]
+SPREAD_LIMIT = 64
 FILLER = "blank filler words without any number "
 
 
+STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; a scan with fewer splits than cores is spread over all of them."""
+    df = tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < min(cores, SPREAD_LIMIT):
+        df = df.repartition(min(cores, SPREAD_LIMIT))
+    return df
+
+
+def stored(name: str):
+    """Write a view once per session and folder, as the formulation store would hold it."""
+
+    def wrap(build):
+        def run(spark: SparkSession, sf_dir: str, *args) -> DataFrame:
+            label = "-".join([name, *map(str, args)])
+            key = (spark.sparkContext.applicationId, sf_dir, label)
+            if key not in STORED:
+                STORED[key] = materialise(build(spark, sf_dir, *args), label)
+            return STORED[key]
+
+        return run
+
+    return wrap
 
 
 def pick(values: list[str], index: Column) -> Column:
@@ -41,6 +66,7 @@ def tenths_text(value: Column) -> Column:
     return F.concat(text(F.floor(value / 10).cast("bigint")), F.lit("."), text(value % 10))
 
 
+@stored("form")
 def form(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messy formulation rows, one per line item."""
     items = table(spark, sf_dir, "lineitem")
@@ -141,6 +167,7 @@ def store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where((F.col("order_no") % 10 != 0) | (F.col("part_no") % 5 == 0))
 
 
+@stored("obs")
 def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation rows: readable outcome and ratio, features and study keys."""
     rows = form(spark, sf_dir).withColumn("y", r6(clean_outcome(F.col("outcome_raw"))))
@@ -148,6 +175,7 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.col("y").isNotNull() & F.col("x").isNotNull())
 
 
+@stored("featured")
 def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = form(spark, sf_dir).withColumn("y", r6(clean_outcome(F.col("outcome_raw"))))
     return with_ratio_features(rows.where(F.col("y").isNotNull()), "ratio_raw").where(
@@ -155,6 +183,7 @@ def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@stored("oof")
 def oof(spark: SparkSession, sf_dir: str, study: str = "study_big", k: int = 5) -> DataFrame:
     """Out-of-fold predictions of the outcome from the last component, by study folds."""
     rows = obs(spark, sf_dir).select("row_id", F.col(study).alias("study"), "x", "y")
