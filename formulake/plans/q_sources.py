@@ -173,7 +173,7 @@ def write_articles_xml(spark, sf_dir) -> str:
 
 @query("scan_article_xml", XML_SQL)
 def scan_article_xml(spark, sf_dir):
-    arts = A.read_article_xml(spark, write_articles_xml(spark, sf_dir))
+    arts = A.parse_article_xml(spark.read.text(write_articles_xml(spark, sf_dir)), "value")
     n_cells = F.aggregate("tables", F.lit(0), lambda a, t: a + F.aggregate(
         t["rows"], F.lit(0), lambda b, r: b + F.size(r)))
     return arts.select(

@@ -17,8 +17,19 @@ def squeeze(text: Column) -> Column:
 
 
 def read_article_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Articles with title, sections, whole body text and tables as nested rows."""
-    raw = spark.read.format("xml").option("rowTag", "article").schema(ARTICLE_SCHEMA).load(path)
+    """Article set files: one root element per file, one row per article element."""
+    return shape_articles(
+        spark.read.format("xml").option("rowTag", "article").schema(ARTICLE_SCHEMA).load(path)
+    )
+
+
+def parse_article_xml(df: DataFrame, xml: str) -> DataFrame:
+    """One article per row of a text column."""
+    return shape_articles(df.select(F.from_xml(xml, ARTICLE_SCHEMA).alias("a")).select("a.*"))
+
+
+def shape_articles(raw: DataFrame) -> DataFrame:
+    """Title, sections, whole body text and tables as nested rows."""
     secs = F.coalesce(F.col("body.sec"), F.array().cast("array<struct<title:string,p:array<string>>>"))
     sections = F.transform(secs, lambda s: F.struct(
         squeeze(s["title"]).alias("title"),
