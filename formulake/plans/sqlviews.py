@@ -25,7 +25,8 @@ def pick(values: list[str], index: str) -> str:
 
 
 def r6(e: str) -> str:
-    return f"(CASE WHEN abs({e}) < 5e-7 THEN cast(0.0 as double) ELSE round(cast({e} as double), 6) END)"
+    v = f"(cast({e} as double) + 3e-10)"
+    return f"(CASE WHEN abs({v}) < 5e-7 THEN cast(0.0 as double) ELSE round({v}, 6) END)"
 
 
 def num(e: str) -> str:
