@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formulake import vocab as V
-from formulake.functions.numbers import bounded
+from formulake.functions.numbers import bounded, r6
 from formulake.operators.groups import attach, group_quantiles, top_rows
 from formulake.operators.stats import wilcoxon
 
@@ -19,7 +19,7 @@ def anchor_median(df: DataFrame, study: str, row_id: str, pred: str, k: int,
         rows = rows.join(exclude.select(row_id), row_id, "left_anti")
     middle = group_quantiles(rows, [study], pred, {"_m": 0.5}, 0.1)
     near = attach(rows, middle, [study], "_n").withColumn(
-        "_d", F.round(F.abs(F.col(pred) - F.col("_m")), 6))
+        "_d", r6(F.abs(F.col(pred) - F.col("_m"))))
     picked = top_rows(near, [study], [F.col("_d"), F.col(row_id)], k, "anchor_no")
     return picked.select(study, row_id, F.col("anchor_no").cast("bigint").alias("anchor_no"))
 
@@ -35,7 +35,7 @@ def anchor_quantile(df: DataFrame, study: str, row_id: str, pred: str, k: int) -
     targets = group_quantiles(rows, [study], pred, probs, 0.1)
     wide = attach(rows, targets, [study], "_n")
     long = wide.select(study, row_id, F.posexplode(F.array(*[
-        F.round(F.abs(F.col(pred) - F.col(q)), 6) for q in probs])).alias("_t", "_d"))
+        r6(F.abs(F.col(pred) - F.col(q))) for q in probs])).alias("_t", "_d"))
     near = top_rows(long, [study, "_t"], [F.col("_d"), F.col(row_id)], k, "_rn")
     lists = near.groupBy(study).agg(
         F.array_sort(F.collect_list(F.struct("_t", "_rn", F.col(row_id).alias("id")))).alias("c"))
@@ -121,7 +121,7 @@ def headroom(pred: Column, offset: Column, ref: Column) -> Column:
 
 def effective_shift(df: DataFrame, study: str, pred: str, adjusted: str) -> DataFrame:
     """Median change per study."""
-    change = df.select(study, F.round(F.col(adjusted) - F.col(pred), 6).alias("_c"))
+    change = df.select(study, r6(F.col(adjusted) - F.col(pred)).alias("_c"))
     out = group_quantiles(change, [study], "_c", {"shift": 0.5}, 0.1)
     return out.select(study, F.col("_n").alias("n"), "shift")
 
@@ -182,7 +182,7 @@ def loso_linear(df: DataFrame, study: str, x: str, y: str) -> DataFrame:
     lines = rest.withColumn("_b", slope).select(
         study, "size", "_b", ((F.col("sy") - F.col("_b") * F.col("sx")) / F.col("n")).alias("_a"))
     rows = attach(df, lines, [study], "size")
-    pred = F.round(50 + F.col("_a") + F.col("_b") * (F.col(x) - 2.5), 6)
+    pred = r6(50 + F.col("_a") + F.col("_b") * (F.col(x) - 2.5))
     return rows.select(*df.columns, "size", pred.alias("pred"))
 
 
@@ -245,4 +245,4 @@ def loso_in_sample(df: DataFrame, x: str, y: str) -> DataFrame:
     """Straight line fitted on all rows and applied to them."""
     fit = df.agg(F.struct(F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a")).alias("f"))
     return df.withColumn("_f", fit.scalar()).withColumn(
-        "pred", F.round(F.col("_f.a") + F.col("_f.b") * F.col(x), 6)).drop("_f")
+        "pred", r6(F.col("_f.a") + F.col("_f.b") * F.col(x))).drop("_f")
