@@ -14,11 +14,11 @@ from formulake.operators.groups import attach, group_quantiles, value_ranks
 
 def study_counts(df: DataFrame, study: str) -> DataFrame:
     """Rows, studies and rows per study (median, smallest, largest)."""
-    sizes = df.groupBy(study).agg(F.count("*").alias("n"))
-    median = group_quantiles(sizes, [], "n", {"m": 0.5}, 1000.0).select("m").scalar()
+    sizes = df.groupBy(study).agg(F.count("*").alias("size"))
+    median = group_quantiles(sizes, [], "size", {"m": 0.5}, 1000.0).select("m").scalar()
     return sizes.agg(
-        F.sum("n").alias("n_rows"), F.count("*").alias("n_studies"),
-        F.min("n").alias("min_rows"), F.max("n").alias("max_rows"),
+        F.sum("size").alias("n_rows"), F.count("*").alias("n_studies"),
+        F.min("size").alias("min_rows"), F.max("size").alias("max_rows"),
     ).withColumn("median_rows", median)
 
 
@@ -260,7 +260,7 @@ def category_frequency(df: DataFrame, column: str, k: int, min_frequency: int) -
     """Level counts in the training rows of every fold; rare levels are not kept."""
     cells = df.groupBy("fold", column).agg(F.count("*").alias("c"))
     total = cells.groupBy(column).agg(F.sum("c").alias("t")).withColumn(
-        "fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).cast("bigint"))
+        "fold", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))))
     train = total.join(cells, ["fold", column], "left").select(
         "fold", column, (F.col("t") - F.coalesce("c", F.lit(0))).alias("n"))
     return train.where(F.col("n") > 0).withColumn("kept", F.col("n") >= min_frequency)
