@@ -137,6 +137,7 @@ OUTCOME_MENTION_VERB = (
     r"(?:of|was|were|is|are|:|=|reached|achiev\w+|up to)\s*"
     r"(?:approximately|about|around|~|>)?\s*(\d{1,3}(?:\.\d+)?)\s*%?"
 )
+OUTCOME_MENTION_SHORT = r"(?i)(\d{1,3}(?:\.\d+)?)\s*%\s*(?:encapsulation|EE\b)"
 OUTCOME_ANCHORED = (
     r"(?i)(?:encapsulation\s+efficienc\w*|\bEE%?\b|entrapment\s+efficienc\w*)"
     r"[^.\n]{0,120}?(\d{1,3}(?:\.\d{1,2})?)\s*%"
@@ -164,6 +165,9 @@ PROCESS_PATTERNS = {
 }
 DOI_PATTERN = r"(?i)\b(10\.\d{4,9}/[-._;()/:A-Za-z0-9]+[A-Za-z0-9])"
 PMCID_PATTERN = r"(?i)\b(PMC\d{4,12})\b"
+FIGURE_MARK = r"(?i)(?:Figure|Fig\.)\s*\d+"
+TABLE_NUMBER = r"(\d{1,3}(?:\.\d+)?)"
+TABLE_SIGNED = r"(-?\d{1,3}(?:\.\d+)?)"
 EXCERPT_TABLE_WORDS = r"encapsul|molar|formulation|lipid|composition"
 
 # Header words that give a table column its role.
