@@ -44,12 +44,13 @@ def strict_outcomes(texts: DataFrame, key: str, text: str) -> DataFrame:
     """
     body = F.col(text)
     patterns = [V.OUTCOME_MENTION, V.OUTCOME_MENTION_VERB, V.OUTCOME_MENTION_SHORT]
-    found = F.concat(*[
-        F.transform(spans(body, p), lambda s, i=i, p=p: F.struct(
-            F.lit(i).alias("pattern"), s["start"].alias("start"), s["end"].alias("end"),
-            s["hit"].alias("hit"), first_number(s["hit"], p).alias("ee")))
-        for i, p in enumerate(patterns)
-    ])
+
+    def found_by(number, pattern):
+        return F.transform(spans(body, pattern), lambda s: F.struct(
+            F.lit(number).alias("pattern"), s["start"].alias("start"), s["end"].alias("end"),
+            s["hit"].alias("hit"), first_number(s["hit"], pattern).alias("ee")))
+
+    found = F.concat(*[found_by(i, p) for i, p in enumerate(patterns)])
     rows = texts.select(key, text, F.explode(found).alias("m")).where(
         F.col("m.ee").between(20, 100))
     start, end = F.col("m.start"), F.col("m.end")
@@ -94,11 +95,12 @@ def reorder(values: Column, order: Column) -> Column:
 
 def local_outcomes(context: Column) -> Column:
     """Outcome mentions of a short text as array of (start, end, ee), forward pattern first."""
-    both = F.concat(*[
-        F.transform(spans(context, p), lambda s, p=p: F.struct(
+    def found_by(pattern):
+        return F.transform(spans(context, pattern), lambda s: F.struct(
             s["start"].alias("start"), s["end"].alias("end"),
-            first_number(s["hit"], p).alias("ee")))
-        for p in (V.OUTCOME_MENTION, V.OUTCOME_MENTION_BACK)])
+            first_number(s["hit"], pattern).alias("ee")))
+
+    both = F.concat(found_by(V.OUTCOME_MENTION), found_by(V.OUTCOME_MENTION_BACK))
     return F.filter(both, lambda m: (m["ee"] > 0) & (m["ee"] <= 100))
 
 
@@ -106,7 +108,7 @@ def text_candidates(texts: DataFrame, key: str, text: str) -> DataFrame:
     """One candidate per ratio mention with the outcome nearest to the middle of its context."""
     rows = texts.select(key, text, F.explode(spans(F.col(text), V.RATIO_MENTION)).alias("s"))
     rows = rows.where(malformed_reason_wide(F.col("s.hit")).isNull()).select(
-        key, F.col("s.start").cast("bigint").alias("at"), F.col("s.hit").alias("raw"),
+        key, F.col("s.start").cast("bigint").alias("pos"), F.col("s.hit").alias("raw"),
         ratio_values(F.col("s.hit")).alias("vals"),
         clean_text(window(F.col(text), F.col("s.start"), F.col("s.end"), 500)).alias("context"))
     middle = F.floor(F.length("context") / 2)
@@ -121,18 +123,18 @@ def caption_candidates(texts: DataFrame, key: str, text: str, width: int = 1500)
 
     def captions(marks):
         return F.transform(marks, lambda m, i: F.struct(
-            m["start"].alias("at"),
+            m["start"].alias("pos"),
             F.substring(body, m["start"] + 1, F.least(
                 F.lit(width),
                 F.coalesce(F.get(marks, i + 1)["start"], F.length(body)) - m["start"],
             )).alias("chunk")))
 
     rows = texts.select(key, F.explode(let(spans(body, V.FIGURE_MARK), captions)).alias("c"))
-    rows = rows.select(key, F.col("c.at").alias("caption_at"), F.col("c.chunk").alias("chunk"),
+    rows = rows.select(key, F.col("c.pos").alias("caption_at"), F.col("c.chunk").alias("chunk"),
                        F.explode(spans(F.col("c.chunk"), V.RATIO_MENTION)).alias("s"))
     rows = rows.where(malformed_reason_wide(F.col("s.hit")).isNull())
     return rows.select(
-        key, (F.col("caption_at") + F.col("s.start")).cast("bigint").alias("at"),
+        key, (F.col("caption_at") + F.col("s.start")).cast("bigint").alias("pos"),
         F.col("s.hit").alias("raw"), ratio_values(F.col("s.hit")).alias("vals"),
         clean_text(F.col("chunk")).alias("context"),
         F.get(local_outcomes(F.col("chunk")), F.lit(0))["ee"].alias("ee"),
@@ -148,7 +150,7 @@ def table_line_candidates(cells: DataFrame) -> DataFrame:
                         F.explode(spans(F.col("context"), V.RATIO_MENTION)).alias("s"))
     rows = rows.where(malformed_reason_wide(F.col("s.hit")).isNull())
     return rows.select(
-        "doc_id", (F.col("row_no") * 1000 + F.col("s.start")).cast("bigint").alias("at"),
+        "doc_id", (F.col("row_no") * 1000 + F.col("s.start")).cast("bigint").alias("pos"),
         F.col("s.hit").alias("raw"), ratio_values(F.col("s.hit")).alias("vals"), "context",
         F.get(local_outcomes(F.col("context")), F.lit(0))["ee"].alias("ee"),
         F.lit("table").alias("source"))
@@ -191,13 +193,13 @@ def rank_candidates(df: DataFrame, per_doc: int = 25) -> DataFrame:
     rows = df.withColumn("_so", source)
     key = ["doc_id", "ratio", "ee", "ionizable"]
     best = [F.col("score").desc(), F.col("ee").isNotNull().desc(),
-            (F.col("source") == "table").desc(), F.col("_so"), F.col("at")]
+            (F.col("source") == "table").desc(), F.col("_so"), F.col("pos")]
     rows = top_rows(rows, key, best, 1, "_rn").drop("_rn")
     return top_rows(rows, ["doc_id"], best, per_doc, "rank").drop("_so")
 
 
 def top_candidates(df: DataFrame, n: int) -> DataFrame:
-    return df.orderBy(F.desc("score"), F.col("ee").isNotNull().desc(), "doc_id", "source", "at").limit(n)
+    return df.orderBy(F.desc("score"), F.col("ee").isNotNull().desc(), "doc_id", "source", "pos").limit(n)
 
 
 def table_rows(cells: DataFrame) -> DataFrame:

@@ -118,18 +118,18 @@ def sql_cargo_words(low: str) -> str:
 def sql_local(ctx: str) -> str:
     """List of {start, stop, ee} of the outcome mentions of a short text."""
     parts = [
-        f"list_transform({sql_spans(ctx, lit(p))}, lambda s: {{'start': s.start, 'stop': s.start + length(s.hit), "
-        f"'ee': {sql_number('s.hit', p)}}})" for p in (V.OUTCOME_MENTION, V.OUTCOME_MENTION_BACK)]
+        f"list_transform({sql_spans(ctx, lit(p))}, lambda z: {{'start': z.start, 'stop': z.start + length(z.hit), "
+        f"'ee': {sql_number('z.hit', p)}}})" for p in (V.OUTCOME_MENTION, V.OUTCOME_MENTION_BACK)]
     return f"list_filter(list_concat({', '.join(parts)}), lambda m: m.ee > 0 AND m.ee <= 100)"
 
 
 _VALS = "list_transform(string_split_regex(s.hit, '\\s*[:/;,|-]\\s*'), lambda v: cast(v as double))"
 CAND_SQL = f"""
 cand_text AS (
-  SELECT doc_id, at, raw, vals, context, 'text' AS source,
+  SELECT doc_id, pos, raw, vals, context, 'text' AS source,
     list_sort(list_transform({sql_local('context')}, lambda m, i: {{'d': abs((m.start + m.stop) / 2 - length(context) // 2),
       'i': i, 'ee': m.ee}}))[1].ee AS ee
-  FROM (SELECT doc_id, s.start AS at, s.hit AS raw, {_VALS} AS vals, {sql_clean_text(sql_window('s', 500, 500))} AS context
+  FROM (SELECT doc_id, s.start AS pos, s.hit AS raw, {_VALS} AS vals, {sql_clean_text(sql_window('s', 500, 500))} AS context
         FROM (SELECT doc_id, body, unnest({sql_spans('body', RUN_SQL)}) AS s FROM articles))
   WHERE len(vals) = 4),
 figs AS (SELECT doc_id, body, {sql_spans('body', lit(V.FIGURE_MARK))} AS m FROM articles),
@@ -137,18 +137,18 @@ caps AS (SELECT doc_id, c.start AS cat, substring(body, c.start + 1,
            least(1500, coalesce(m[i + 1].start, length(body)) - c.start)) AS chunk
   FROM (SELECT doc_id, body, m, unnest(m) AS c, unnest(range(1, len(m) + 1)) AS i FROM figs)),
 cand_caption AS (
-  SELECT doc_id, cat + s.start AS at, s.hit AS raw, {_VALS} AS vals, {sql_clean_text('chunk')} AS context, 'caption' AS source,
+  SELECT doc_id, cat + s.start AS pos, s.hit AS raw, {_VALS} AS vals, {sql_clean_text('chunk')} AS context, 'caption' AS source,
     {sql_local('chunk')}[1].ee AS ee
   FROM (SELECT *, unnest({sql_spans('chunk', RUN_SQL)}) AS s FROM caps) WHERE len({_VALS}) = 4),
 table_lines AS (SELECT doc_id, tbl_no, row_no, string_agg({sql_clean_text('cell')}, ' | ' ORDER BY col_no) AS context
   FROM cells GROUP BY 1, 2, 3),
 cand_table AS (
-  SELECT doc_id, row_no * 1000 + s.start AS at, s.hit AS raw, {_VALS} AS vals, context, 'table' AS source,
+  SELECT doc_id, row_no * 1000 + s.start AS pos, s.hit AS raw, {_VALS} AS vals, context, 'table' AS source,
     {sql_local('context')}[1].ee AS ee
   FROM (SELECT *, unnest({sql_spans('context', RUN_SQL)}) AS s FROM table_lines) WHERE len({_VALS}) = 4),
-cand AS (SELECT doc_id, at, raw, vals, context, ee, source FROM cand_text
-  UNION ALL SELECT doc_id, at, raw, vals, context, ee, source FROM cand_caption
-  UNION ALL SELECT doc_id, at, raw, vals, context, ee, source FROM cand_table),
+cand AS (SELECT doc_id, pos, raw, vals, context, ee, source FROM cand_text
+  UNION ALL SELECT doc_id, pos, raw, vals, context, ee, source FROM cand_caption
+  UNION ALL SELECT doc_id, pos, raw, vals, context, ee, source FROM cand_table),
 scored AS (
   SELECT *, {sql_warnings('ratio')} AS warnings, round(least(0.99::double, CASE source """ + " ".join(
     f"WHEN '{s}' THEN {b}" for s, b in V.SCORE_BASE.items()) + """ END
@@ -164,15 +164,15 @@ scored AS (
     f"{sql_number('context', p)} AS {n}" for n, p in V.PROCESS_PATTERNS.items()) + """ FROM cand))),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, (ee IS NOT NULL) DESC, (source = 'table') DESC,
-      CASE source WHEN 'table' THEN 1 WHEN 'text' THEN 2 ELSE 3 END, at) AS rank
+      CASE source WHEN 'table' THEN 1 WHEN 'text' THEN 2 ELSE 3 END, pos) AS rank
   FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ratio, ee, ionizable ORDER BY score DESC, (ee IS NOT NULL) DESC,
-      (source = 'table') DESC, CASE source WHEN 'table' THEN 1 WHEN 'text' THEN 2 ELSE 3 END, at) AS rn FROM scored)
+      (source = 'table') DESC, CASE source WHEN 'table' THEN 1 WHEN 'text' THEN 2 ELSE 3 END, pos) AS rn FROM scored)
   WHERE rn = 1 QUALIFY rank <= 25)"""
 
 
 def candidates(spark, sf_dir):
     arts, cells = P.articles(spark, sf_dir), P.cells(spark, sf_dir)
-    cols = ["doc_id", "at", "raw", "vals", "context", "ee", "source"]
+    cols = ["doc_id", "pos", "raw", "vals", "context", "ee", "source"]
     return (
         X.text_candidates(arts, "doc_id", "body").select(*cols)
         .unionByName(X.caption_candidates(arts, "doc_id", "body").select(*cols))
@@ -180,25 +180,25 @@ def candidates(spark, sf_dir):
 
 
 @query("caption_mentions", sql("articles cells", """
-SELECT doc_id, at, raw, ee FROM cand_caption""", CAND_SQL))
+SELECT doc_id, pos, raw, ee FROM cand_caption""", CAND_SQL))
 def q_caption_mentions(spark, sf_dir):
     return X.caption_candidates(P.articles(spark, sf_dir), "doc_id", "body").select(
-        "doc_id", "at", "raw", "ee")
+        "doc_id", "pos", "raw", "ee")
 
 
 @query("union_candidates", sql("articles cells", """
-SELECT doc_id, source, at, raw, ee, md5(context) AS context FROM cand""", CAND_SQL))
+SELECT doc_id, source, pos, raw, ee, md5(context) AS context FROM cand""", CAND_SQL))
 def q_union_candidates(spark, sf_dir):
     return candidates(spark, sf_dir).select(
-        "doc_id", "source", "at", "raw", "ee", F.md5("context").alias("context"))
+        "doc_id", "source", "pos", "raw", "ee", F.md5("context").alias("context"))
 
 
 @query("candidate_score", sql("articles cells", """
-SELECT doc_id, source, at, ratio, total, ee, ionizable, helper, peg, cargo, np, ph, size, pdi, zeta,
+SELECT doc_id, source, pos, ratio, total, ee, ionizable, helper, peg, cargo, np, ph, size, pdi, zeta,
        order_detected, warnings, score FROM scored""", CAND_SQL))
 def q_candidate_score(spark, sf_dir):
     return X.score_candidates(candidates(spark, sf_dir)).select(
-        "doc_id", "source", "at", "ratio", "total", "ee", "ionizable", "helper", "peg", "cargo", "np",
+        "doc_id", "source", "pos", "ratio", "total", "ee", "ionizable", "helper", "peg", "cargo", "np",
         "ph", "size", "pdi", "zeta", "order_detected", "warnings", "score")
 
 
@@ -207,19 +207,19 @@ def ranked(spark, sf_dir):
 
 
 @query("candidate_rank", sql("articles cells", """
-SELECT doc_id, rank, source, at, ratio, ee, ionizable, score FROM ranked""", CAND_SQL))
+SELECT doc_id, rank, source, pos, ratio, ee, ionizable, score FROM ranked""", CAND_SQL))
 def q_candidate_rank(spark, sf_dir):
     return ranked(spark, sf_dir).select(
-        "doc_id", F.col("rank").cast("bigint").alias("rank"), "source", "at", "ratio", "ee", "ionizable",
+        "doc_id", F.col("rank").cast("bigint").alias("rank"), "source", "pos", "ratio", "ee", "ionizable",
         "score")
 
 
 @query("top_candidates", sql("articles cells", """
-SELECT doc_id, source, at, ratio, ee, score FROM scored
-ORDER BY score DESC, (ee IS NOT NULL) DESC, doc_id, source, at LIMIT 50""", CAND_SQL))
+SELECT doc_id, source, pos, ratio, ee, score FROM scored
+ORDER BY score DESC, (ee IS NOT NULL) DESC, doc_id, source, pos LIMIT 50""", CAND_SQL))
 def q_top_candidates(spark, sf_dir):
     out = X.top_candidates(X.score_candidates(candidates(spark, sf_dir)), 50)
-    return out.select("doc_id", "source", "at", "ratio", "ee", "score")
+    return out.select("doc_id", "source", "pos", "ratio", "ee", "score")
 
 
 @query("candidate_summary", sql("articles cells", """
