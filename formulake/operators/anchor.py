@@ -9,6 +9,7 @@ from formulake import vocab as V
 from formulake.functions.numbers import bounded, r6
 from formulake.operators.groups import attach, group_quantiles, top_rows
 from formulake.operators.stats import wilcoxon
+from formulake.session import materialise
 
 
 def anchor_median(df: DataFrame, study: str, row_id: str, pred: str, k: int,
@@ -189,8 +190,9 @@ def loso_linear(df: DataFrame, study: str, x: str, y: str) -> DataFrame:
 def loso_table(df: DataFrame, study: str, row_id: str, x: str, y: str, k: int = 3,
                min_rows: int = 5, score_anchors: bool = False) -> DataFrame:
     """Per study with enough rows: MAE without and with k anchors, the study left out of the fit."""
-    rows = loso_linear(df.select(study, row_id, x, y), study, x, y).where(
-        F.col("size") >= min_rows)
+    # written once: anchors, offsets and errors all read it
+    rows = materialise(loso_linear(df.select(study, row_id, x, y), study, x, y).where(
+        F.col("size") >= min_rows), "loso")
     anchors = anchor_quantile(rows, study, row_id, "pred", k).select(row_id, F.lit(True).alias("_an"))
     rows = rows.join(anchors, row_id, "left").withColumn("_an", F.coalesce("_an", F.lit(False)))
     resid = rows.where("_an").groupBy(study).agg(
@@ -204,6 +206,7 @@ def loso_table(df: DataFrame, study: str, row_id: str, x: str, y: str, k: int =
 
 
 def loso_summary(table: DataFrame) -> DataFrame:
+    table = materialise(table, "loso-studies")
     test = wilcoxon(table, "mae_plain", "mae_anchored", min_pairs=3)
     score = test.select(F.struct("z", "p").alias("t")).scalar()
     return table.agg(
@@ -225,8 +228,8 @@ def anchored_holdout(df: DataFrame, oof: DataFrame, study: str, row_id: str, x:
     """
     one = df.withColumn("_all", F.lit("all"))
     whole = loso_in_sample(one, x, y)
-    mine = loso_linear(df.select(study, row_id, x, y), study, x, y).where(
-        F.col(study) == anchor_study)
+    mine = materialise(loso_linear(df.select(study, row_id, x, y), study, x, y).where(
+        F.col(study) == anchor_study), "anchor-study")
     anchors = anchor_median(mine, study, row_id, "pred", k).select(row_id, F.lit(True).alias("_an"))
     mine = mine.join(anchors, row_id, "left").withColumn("_an", F.coalesce("_an", F.lit(False)))
     offset = mine.where("_an").agg(F.median(F.col(y) - F.col("pred")).alias("o")).scalar()

@@ -34,6 +34,7 @@ def anchors_sql(name: str, k: int) -> str:
   FROM {name} GROUP BY study)"""
 
 
+@P.stored("anchors")
 def anchor_residuals(spark, sf_dir, k):
     rows = P.oof(spark, sf_dir, "study_small")
     picked = AN.anchor_median(rows, "study", "row_id", "pred", k).select("row_id")
@@ -58,6 +59,7 @@ def q_offset_reliability(spark, sf_dir):
     return rounded(out.select("study", "k", "spread", "grade"), "spread")
 
 
+@P.stored("offsets")
 def published(spark, sf_dir):
     """Two publications: two anchors for all studies, then shrunk three-anchor values for some."""
     rows = P.oof(spark, sf_dir, "study_small")

@@ -26,7 +26,7 @@ from formulake.plans.sqlviews import sql
 from formulake.session import materialise
 
 # Sizes of the registered runs; the library defaults are the full ones.
-TREES, DEPTH, FOLDS = 10, 6, 3
+TREES, DEPTH, FOLDS = 8, 5, 3
 SMALL = {"trees": TREES, "depth": DEPTH}
 
 
@@ -67,7 +67,7 @@ def q_oof_forest(spark, sf_dir):
 
 @query("oof_gbt")
 def q_oof_gbt(spark, sf_dir):
-    return _oof(spark, sf_dir, M.boosting_members(rounds=8, step=0.3))
+    return _oof(spark, sf_dir, M.boosting_members(rounds=5, step=0.4))
 
 
 @query("model_grid")
@@ -109,7 +109,7 @@ def q_model_grid(spark, sf_dir):
 
 
 def two_stage():
-    return M.two_stage_fit(NUMERIC, CATEGORIES, trees=TREES, lite_trees=5, depth=DEPTH, inner_folds=2)
+    return M.two_stage_fit(NUMERIC, CATEGORIES, trees=4, lite_trees=2, depth=4, inner_folds=2)
 
 
 @query("two_stage_logit")

@@ -49,6 +49,7 @@ def stored(name: str):
                 STORED[key] = materialise(build(spark, sf_dir, *args), label)
             return STORED[key]
 
+        run.__name__ = name
         return run
 
     return wrap
