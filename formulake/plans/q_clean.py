@@ -330,21 +330,22 @@ def q_working_waterfall(spark, sf_dir):
 
 
 def sql_reduce(e: str) -> str:
-    """Columns r, note, reason of a reduced ratio over a list column p of its parts."""
-    p, n = Q.colon_parts(e), f"list_transform({Q.colon_parts(e)}, lambda x: {Q.num('x')})"
-    return f"""
-      CASE WHEN len({p}) <= 4 THEN array_to_string({p}, ':')
-           WHEN len(list_filter({n}, lambda v: v IS NULL)) > 0 THEN NULL
-           WHEN {Q.total(f'list_slice({n}, 5, len({n}))')} > 0.15 * {Q.total(n)} THEN NULL
-           ELSE {Q.ratio_text(f'list_slice({n}, 1, 4)')} END AS r,
-      CASE WHEN len({p}) > 4 AND len(list_filter({n}, lambda v: v IS NULL)) = 0
-            AND {Q.total(f'list_slice({n}, 5, len({n}))')} <= 0.15 * {Q.total(n)}
-           THEN concat('first 4 of ', len({p}), ' parts kept; dropped ',
-                       {Q.ratio_text(f'list_slice({n}, 5, len({n}))')}) END AS note,
-      CASE WHEN len({p}) <= 4 THEN NULL
-           WHEN len(list_filter({n}, lambda v: v IS NULL)) > 0 THEN 'ratio not numeric'
-           WHEN {Q.total(f'list_slice({n}, 5, len({n}))')} > 0.15 * {Q.total(n)}
-           THEN concat('irreducible ratio of ', len({p}), ' parts') END AS reason"""
+    """Columns r, note, reason of a reduced ratio."""
+    bad = "len(list_filter(zn, lambda v: v IS NULL)) > 0"
+    rest = "list_slice(zn, 5, len(zn))"
+    large = f"{Q.total(rest)} > 0.15 * {Q.total('zn')}"
+
+    def over(body):
+        return Q.let("zp", Q.colon_parts(e), Q.let(
+            "zn", f"list_transform(zp, lambda x: {Q.num('x')})", body))
+
+    ratio = (f"CASE WHEN len(zp) <= 4 THEN array_to_string(zp, ':') WHEN {bad} THEN NULL WHEN {large} "
+             f"THEN NULL ELSE {Q.ratio_text('list_slice(zn, 1, 4)')} END")
+    note = (f"CASE WHEN len(zp) > 4 AND NOT ({bad}) AND NOT ({large}) THEN concat('first 4 of ', len(zp), "
+            f"' parts kept; dropped ', {Q.ratio_text(rest)}) END")
+    reason = (f"CASE WHEN len(zp) <= 4 THEN NULL WHEN {bad} THEN 'ratio not numeric' WHEN {large} "
+              f"THEN concat('irreducible ratio of ', len(zp), ' parts') END")
+    return f"{over(ratio)} AS r, {over(note)} AS note, {over(reason)} AS reason"
 
 
 @query("ratio_reduce", sql("colon", f"""
@@ -355,25 +356,24 @@ def q_ratio_reduce(spark, sf_dir):
 
 
 def sql_malformed(e: str) -> str:
-    p = Q.colon_parts(e)
-    n = f"list_transform({p}, lambda x: {Q.num('x')})"
-    return (
-        f"CASE WHEN len({p}) < 3 THEN 'fewer than 3 parts' "
-        f"WHEN len(list_filter({n}, lambda v: v IS NULL)) > 0 THEN 'not numeric' "
-        f"WHEN list_min({n}) <= 0 THEN 'value not positive' "
-        f"WHEN list_max({n}) / list_min({n}) > 500 THEN 'extreme spread' END"
+    body = (
+        "CASE WHEN len(zn) < 3 THEN 'fewer than 3 parts' "
+        "WHEN len(list_filter(zn, lambda v: v IS NULL)) > 0 THEN 'not numeric' "
+        "WHEN list_min(zn) <= 0 THEN 'value not positive' "
+        "WHEN list_max(zn) / list_min(zn) > 500 THEN 'extreme spread' END"
     )
+    return Q.let("zn", f"list_transform({Q.colon_parts(e)}, lambda x: {Q.num('x')})", body)
 
 
 def sql_malformed_wide(e: str) -> str:
-    n = Q.numbers(e)
-    return (
-        f"CASE WHEN len(list_filter({n}, lambda v: v IS NULL)) > 0 THEN 'not numeric' "
-        f"WHEN len({n}) NOT IN (3, 4) THEN 'not 3 or 4 parts' "
-        f"WHEN list_min({n}) < 0 THEN 'negative value' WHEN {Q.total(n)} <= 0 THEN 'total not positive' "
-        f"WHEN list_max({n}) / greatest(list_min(list_filter({n}, lambda v: v > 0)), 0.0001) > 10000 "
-        f"THEN 'extreme spread' END"
+    body = (
+        "CASE WHEN len(list_filter(zn, lambda v: v IS NULL)) > 0 THEN 'not numeric' "
+        "WHEN len(zn) NOT IN (3, 4) THEN 'not 3 or 4 parts' "
+        f"WHEN list_min(zn) < 0 THEN 'negative value' WHEN {Q.total('zn')} <= 0 THEN 'total not positive' "
+        "WHEN list_max(zn) / greatest(list_min(list_filter(zn, lambda v: v > 0)), 0.0001) > 10000 "
+        "THEN 'extreme spread' END"
     )
+    return Q.let("zn", Q.numbers(e), body)
 
 
 @query("ratio_wellformed", sql("form", f"""
@@ -389,15 +389,15 @@ def q_ratio_wellformed(spark, sf_dir):
 
 
 def sql_warnings(e: str) -> str:
-    n = Q.numbers(e)
-    return (
-        f"CASE WHEN len(list_filter({n}, lambda v: v IS NULL)) > 0 THEN 'not numeric' "
-        f"WHEN len({n}) <> 4 THEN 'not 4 parts' ELSE concat_ws('; ', "
-        f"CASE WHEN list_min({n}) < 0 THEN 'negative value' END, "
-        f"CASE WHEN {n}[1] = 0 THEN 'ionizable is 0' END, CASE WHEN {n}[4] > 10 THEN 'peg above 10' END, "
-        f"CASE WHEN {n}[2] > 50 THEN 'helper above 50' END, "
-        f"CASE WHEN {Q.total(n)} > 150 THEN 'total above 150' END) END"
+    body = (
+        "CASE WHEN len(list_filter(zn, lambda v: v IS NULL)) > 0 THEN 'not numeric' "
+        "WHEN len(zn) <> 4 THEN 'not 4 parts' ELSE concat_ws('; ', "
+        "CASE WHEN list_min(zn) < 0 THEN 'negative value' END, "
+        "CASE WHEN zn[1] = 0 THEN 'ionizable is 0' END, CASE WHEN zn[4] > 10 THEN 'peg above 10' END, "
+        "CASE WHEN zn[2] > 50 THEN 'helper above 50' END, "
+        f"CASE WHEN {Q.total('zn')} > 150 THEN 'total above 150' END) END"
     )
+    return Q.let("zn", Q.numbers(e), body)
 
 
 @query("composition_warnings", sql("form", f"""

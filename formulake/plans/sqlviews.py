@@ -29,6 +29,11 @@ def r6(e: str) -> str:
     return f"(CASE WHEN abs({v}) < 5e-7 THEN cast(0.0 as double) ELSE round({v}, 6) END)"
 
 
+def let(var: str, value: str, body: str) -> str:
+    """Evaluate a value once under a name."""
+    return f"(list_transform([{value}], lambda {var}: {body})[1])"
+
+
 def num(e: str) -> str:
     return f"(CASE WHEN regexp_matches(trim({e}), '{NUMBER}') THEN try_cast(trim({e}) AS DOUBLE) END)"
 
@@ -47,14 +52,14 @@ def bare_outcome(e: str) -> str:
 
 
 def clean_outcome(e: str) -> str:
-    b = bare_outcome(e)
-    lo = f"try_cast(nullif(regexp_extract({b}, {lit(V.OUTCOME_RANGE)}, 1), '') AS DOUBLE)"
-    hi = f"try_cast(nullif(regexp_extract({b}, {lit(V.OUTCOME_RANGE)}, 2), '') AS DOUBLE)"
-    first = f"try_cast(nullif(regexp_extract({b}, '([\\d.]+)', 1), '') AS DOUBLE)"
-    v = f"(CASE WHEN {hi} > {lo} THEN ({lo} + {hi}) / 2 ELSE {first} END)"
+    lo = f"try_cast(nullif(regexp_extract(zb, {lit(V.OUTCOME_RANGE)}, 1), '') AS DOUBLE)"
+    hi = f"try_cast(nullif(regexp_extract(zb, {lit(V.OUTCOME_RANGE)}, 2), '') AS DOUBLE)"
+    first = "try_cast(nullif(regexp_extract(zb, '([\\d.]+)', 1), '') AS DOUBLE)"
+    middle = let("zl", lo, let("zh", hi, f"CASE WHEN zh > zl THEN (zl + zh) / 2 ELSE {first} END"))
+    value = let("zb", bare_outcome(e), middle)
     return (
         f"(CASE WHEN {e} IS NOT NULL AND lower(trim({e})) NOT IN {inlist(V.MISSING_MARKS)} "
-        f"THEN {as_percent(v)} END)"
+        f"THEN {let('zv', value, as_percent('zv'))} END)"
     )
 
 
@@ -92,11 +97,9 @@ def ratio_text(arr: str) -> str:
 
 
 def ratio_key(e: str) -> str:
-    n = numbers(e)
-    return (
-        f"(CASE WHEN len(list_filter({n}, lambda v: v IS NULL)) = 0 "
-        f"THEN {ratio_text(f'list_sort({n})')} ELSE lower(trim(coalesce({e}, ''))) END)"
-    )
+    body = (f"CASE WHEN len(list_filter(zn, lambda v: v IS NULL)) = 0 THEN {ratio_text('list_sort(zn)')} "
+            f"ELSE lower(trim(coalesce({e}, ''))) END")
+    return let("zn", numbers(e), body)
 
 
 def content_key(study: str, name: str, ratio: str, outcome: str) -> str:
@@ -120,10 +123,9 @@ def share(i: int) -> str:
 
 
 def peg_share(e: str) -> str:
-    n = numbers(e)
-    k = f"len(list_filter({n}, lambda v: v IS NOT NULL))"
-    t = total(f"list_slice({n}, 1, greatest({k}, 1))")
-    return f"(CASE WHEN {k} IN (3, 4) AND {t} <> 0 THEN {n}[{k}] / {t} * 100 END)"
+    t = total("list_slice(zn, 1, greatest(zk, 1))")
+    value = let("zt", t, "CASE WHEN zk IN (3, 4) AND zt <> 0 THEN zn[zk] / zt * 100 END")
+    return let("zn", numbers(e), let("zk", "len(list_filter(zn, lambda v: v IS NOT NULL))", value))
 
 
 TENTHS = "concat({v} // 10, '.', {v} % 10)"
@@ -151,7 +153,7 @@ base AS (
          {pick(P.PEGS, 'l_partkey % 4')} AS peg_name,
          {pick(P.CARGOS, '(l_partkey + l_linenumber) % 8')} AS cargo_raw
   FROM lineitem),
-form AS (
+form AS MATERIALIZED (
   SELECT base.* EXCLUDE (name0, c4t),
          CASE WHEN part_no % 97 = 0 THEN 'n.r.' ELSE
            replace(concat_ws(':', qty + 10, CASE WHEN line_no <> 7 THEN 3 * line_no END,
@@ -192,18 +194,17 @@ STORE = """
 store AS (SELECT * FROM colon WHERE order_no % 10 <> 0 OR part_no % 5 = 0)"""
 
 OBS = f"""
-obs AS (
-  SELECT * REPLACE ({r6('x')} AS x) FROM (
-    SELECT * REPLACE ({r6(clean_outcome('outcome_raw'))} AS y), {peg_share('ratio_raw')} AS x
-    FROM form WHERE {clean_outcome('outcome_raw')} IS NOT NULL)
-  WHERE x IS NOT NULL)"""
+obs_raw AS MATERIALIZED (
+  SELECT * REPLACE ({clean_outcome('outcome_raw')} AS y), {peg_share('ratio_raw')} AS x FROM form),
+obs AS MATERIALIZED (
+  SELECT * REPLACE ({r6('x')} AS x, {r6('y')} AS y) FROM obs_raw WHERE x IS NOT NULL AND y IS NOT NULL)"""
 
 FEATURED = f"""
-parsed AS (SELECT * REPLACE ({r6(clean_outcome('outcome_raw'))} AS y),
-             {numbers('ratio_raw')} AS nums FROM form
-           WHERE {clean_outcome('outcome_raw')} IS NOT NULL),
+parsed_raw AS MATERIALIZED (SELECT * REPLACE ({clean_outcome('outcome_raw')} AS y),
+             {numbers('ratio_raw')} AS nums FROM form),
+parsed AS (SELECT * REPLACE ({r6('y')} AS y) FROM parsed_raw WHERE y IS NOT NULL),
 comps AS ({components('parsed')}),
-featured AS (
+featured AS MATERIALIZED (
   SELECT *, ionizable / nullif(helper, 0) AS ion_to_helper, ionizable + chol AS ion_plus_chol,
          ln(1 + peg) AS log_peg
   FROM (SELECT * EXCLUDE (comp, nums), {share(1)} AS ionizable, {share(2)} AS helper,
@@ -234,7 +235,7 @@ rows0 AS (SELECT row_id, {study} AS study, x, y FROM obs),
 lines AS (
   SELECT f.fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a
   FROM (SELECT DISTINCT fold FROM folded) f JOIN folded r ON r.fold <> f.fold GROUP BY f.fold),
-oof AS (
+oof AS MATERIALIZED (
   SELECT row_id, study, x, y, fold, {r6('a + b * x')} AS pred FROM folded JOIN lines USING (fold))"""
 
 
@@ -262,7 +263,7 @@ art0 AS (
          concat('Delivery study ', doc_id, ' of ', {pick(P.ARTICLE_CARGOS, 'doc_id % 5')},
                 ' particles in vivo') AS title
   FROM documents),
-articles AS (
+articles AS MATERIALIZED (
   SELECT doc_id, title, concat(title, chr(10),
     CASE WHEN k % 7 = 0 THEN '' ELSE concat('doi: 10.5555/st.', k, ' ref PMC', 1000000 + k) END,
     chr(10), text,
