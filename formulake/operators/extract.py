@@ -18,6 +18,7 @@ from formulake.functions.text import (
     cargo_from_words, clean_text, component_order, first_number, first_term, spans, window,
 )
 from formulake.operators.groups import top_rows
+from formulake.session import materialise
 
 SEPARATORS = r"\s*[:/;,|-]\s*"
 
@@ -235,6 +236,8 @@ def pair_grade(ratios: DataFrame, outcomes: DataFrame, tables: DataFrame, max_ga
     of several (low, none beyond ``max_gap``); several ratios stand without an outcome."""
     uniq = ratios.groupBy("doc_id", "ratio").agg(
         F.min("start").alias("first"), F.max("start").alias("start"))
+    # small mention rows, written once so that no text is read again
+    uniq = materialise(uniq, "ratio-mentions")
     counts = uniq.groupBy("doc_id").agg(F.count("*").alias("nr"))
     uniq = uniq.join(counts, "doc_id")
     values = outcomes.groupBy("doc_id", "ee").agg(
@@ -252,6 +255,7 @@ def pair_grade(ratios: DataFrame, outcomes: DataFrame, tables: DataFrame, max_ga
         "doc_id", "ratio", F.when(near, F.col("p.ee")).alias("ee"),
         F.when(near, F.col("p.approx")).otherwise(F.lit(False)).alias("approx"),
         F.when(lone, "medium").otherwise("low").alias("grade"))
+    paired = materialise(paired, "paired-mentions")
     rest = uniq.join(paired.select("doc_id"), "doc_id", "left_anti")
     if max_ratios is not None:
         rest = top_rows(rest, ["doc_id"], [F.col("first")], max_ratios, "_rn")
