@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from formulake.llm import rules
+from formulake.llm import rules, simhash
 from formulake.llm.common import read
 from formulake.session import tune
 
@@ -29,3 +29,8 @@ def query(name: str, sql: str | None = None):
 @query("op8_quality_rules", rules.MEASURES_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.measures(read(spark, sf_dir, "documents"))
+
+
+@query("op7_simhash_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.component_ids(read(spark, sf_dir, "documents"))
