@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from formulake.llm import rules, simhash
+from formulake.llm import rules, simhash, toxicity
 from formulake.llm.common import read
 from formulake.session import tune
 
@@ -34,3 +34,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_simhash_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_ids(read(spark, sf_dir, "documents"))
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

@@ -129,12 +129,13 @@ class Measured:
 def plan_cascade(
     df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS
 ) -> list[Measured]:
-    """The rules by rejection per cost, each timed alone over at most ``sample_rows`` rows.
+    """The rules by rejection per cost, each timed alone over about ``sample_rows`` rows.
 
-    The sample serves the order alone and never decides a verdict.
+    The sample is drawn where the rows are. It serves the order alone and never decides a verdict.
     """
+    share = min(1.0, sample_rows / max(df.count(), 1))
     sample = materialise(
-        df.select(known_text(text).alias("text")).limit(sample_rows), "rule-sample"
+        df.select(known_text(text).alias("text")).sample(share, seed=42), "rule-sample"
     )
     total = max(sample.count(), 1)
     measured = []
