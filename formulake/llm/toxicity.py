@@ -1,13 +1,13 @@
 """Toxicity by a string-kernel support vector machine with Nyström landmarks.
 
-The kernel counts the subsequences of three symbols that two sentences share. A subsequence may
-skip up to three symbols inside a window of six and weighs ``DECAY ** span``, so ``i-d-i-o-t``,
+The kernel counts the subsequences of five symbols that two sentences share. A subsequence may
+skip up to two symbols inside a window of seven and weighs ``DECAY ** span``, so ``i-d-i-o-t``,
 ``idd1ot`` and ``idiot`` still share most of theirs. A sentence is divided by the root of its
 self-kernel without gaps, so repeating a word adds nothing. Symbols are folded letters (accents dropped), one symbol each for digits,
 other signs and blanks, and three for letters of other scripts.
 
-Training (bounded, on the driver): up to ``SAMPLE_DOCS`` labelled documents of each class and
-``SAMPLE_SENTENCES`` sentences of each, all drawn by hash from rows that are not held back.
+Training (bounded, on the driver): up to ``SAMPLE_DOCS`` labelled documents and about
+``SAMPLE_SENTENCES`` sentences of each class, all drawn by hash from rows that are not held back.
 Landmarks are the words that tell the classes apart best and some drawn by hash. Sentences are
 mapped to Nyström features ``K_ZZ^(-1/2) k_Z(x)`` and a squared-hinge machine is fitted by
 Newton steps. Only some sentences of a toxic document are toxic, so positives are re-labelled by
@@ -28,10 +28,12 @@ ignored. Repeated rows get equal scores. Empty tables give empty results.
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -40,21 +42,21 @@ from pyspark.sql import functions as F
 
 from formulake.llm.common import fresh, held_back, known_text, small_batches
 
-ORDER, WINDOW, DECAY = 3, 6, 0.8
+ORDER, WINDOW, DECAY = 5, 7, 0.7
 SYMBOLS = 32
 BLANK, DIGIT, SIGN, OTHER = 0, 27, 28, 29
 LONGEST, SHORTEST = 120, 20  # symbols of a sentence before it is cut; least length to divide by
 PIECE = 1 << 20
 FOLDS = 5
 SAMPLE_DOCS = 1500
-SAMPLE_SENTENCES = 20
+SAMPLE_SENTENCES = 12_000  # of a class, dealt evenly to its documents
 LANDMARKS = (320, 64)  # telling words, drawn words
 PARTED = 48  # telling words that also become landmarks with a sign between their letters
 BETWEEN = (" ", "-", ".", "*", "x")
 ROUNDS = 4
 CLEAR = 0.995  # share of clean sentences that a positive one must exceed
 PENALTY = 1e-5
-GAPS = [(a, b) for a in range(1, WINDOW) for b in range(a + 1, WINDOW)]
+GAPS = list(itertools.combinations(range(1, WINDOW), ORDER - 1))
 
 
 def fold_table() -> np.ndarray:
@@ -84,14 +86,16 @@ def points(text: str) -> np.ndarray:
 
 
 def symbols(codes: np.ndarray) -> np.ndarray:
-    return np.where(codes < 65536, TABLE[np.minimum(codes, 65535)], OTHER).astype(np.int32)
+    out = np.take(TABLE, codes, mode="clip").astype(np.int64)
+    out[codes > 65535] = OTHER
+    return out
 
 
 def sentence_starts(codes: np.ndarray) -> np.ndarray:
     """First positions of sentences: after ``. ! ?`` and a blank, after a line end, or when too long."""
     if not len(codes):
         return np.zeros(1, np.int64)
-    blank = TABLE[np.minimum(codes, 65535)] == BLANK
+    blank = np.take(TABLE, codes, mode="clip") == BLANK
     ends = (codes == 0x2E) | (codes == 0x21) | (codes == 0x3F)
     first = np.zeros(len(codes), bool)
     first[0] = True
@@ -104,24 +108,40 @@ def sentence_starts(codes: np.ndarray) -> np.ndarray:
     return np.repeat(at, pieces) + nth * LONGEST
 
 
-def feature_numbers(code: np.ndarray, a: int, b: int, n: int) -> np.ndarray:
-    """Number of the subsequence at each of n positions for one pair of gaps."""
-    return (code[:n] << 10) + (code[a : a + n] << 5) + code[b : b + n]
+def feature_numbers(code: np.ndarray, gaps: tuple[int, ...], n: int) -> np.ndarray:
+    """Number of the subsequence at each of n positions, its later symbols at these gaps."""
+    return numbers_from(powers(code), gaps, n)
+
+
+def powers(code: np.ndarray, order: int = ORDER) -> list[np.ndarray]:
+    """The code times each power that its place in a subsequence calls for, first symbol first."""
+    return [code * SYMBOLS**k for k in range(order - 1, -1, -1)]
+
+
+def numbers_from(scaled: list[np.ndarray], gaps: tuple[int, ...], n: int) -> np.ndarray:
+    out = scaled[0][:n].copy()
+    for part, gap in zip(scaled[1:], gaps):
+        out += part[gap : gap + n]
+    return out
+
+
+def weight_of(gaps: tuple[int, ...]) -> float:
+    return DECAY ** (gaps[-1] + 1)
 
 
 def padded(code: np.ndarray) -> np.ndarray:
-    return np.concatenate((code, np.zeros(WINDOW - 1, np.int32)))
+    return np.concatenate((code, np.zeros(WINDOW - 1, np.int64)))
 
 
 def landmark_features(word: str) -> dict[int, float]:
     """The subsequences of a landmark between two blanks, with their weights."""
-    code = np.concatenate(([BLANK], symbols(points(word)), [BLANK])).astype(np.int32)
+    code = np.concatenate(([BLANK], symbols(points(word)), [BLANK])).astype(np.int64)
     out: dict[int, float] = {}
-    for a, b in GAPS:
-        n = len(code) - b
+    for gaps in GAPS:
+        n = len(code) - gaps[-1]
         if n > 0:
-            for number in feature_numbers(code, a, b, n).tolist():
-                out[number] = out.get(number, 0.0) + DECAY ** (b + 1)
+            for number in feature_numbers(code, gaps, n).tolist():
+                out[number] = out.get(number, 0.0) + weight_of(gaps)
     scale = max(len(code), SHORTEST) ** -0.5
     return {k: v * scale for k, v in out.items()}
 
@@ -130,20 +150,20 @@ def kernel_matrix(texts: list[str], landmarks: list[str]) -> tuple[np.ndarray, n
     """Kernel of every sentence with every landmark, and of the landmarks among themselves."""
     rows = [landmark_features(word) for word in landmarks]
     numbers = sorted({k for row in rows for k in row})
-    place = np.full(SYMBOLS**ORDER, -1, np.int32)
-    place[numbers] = np.arange(len(numbers))
-    table = np.zeros((len(numbers), len(landmarks)), np.float32)
+    place = np.zeros(SYMBOLS**ORDER, np.int32)  # pages that nothing is written to take no memory
+    place[numbers] = np.arange(1, len(numbers) + 1)
+    table = np.zeros((len(numbers) + 1, len(landmarks)), np.float32)
     for j, row in enumerate(rows):
         for number, weight in row.items():
             table[place[number], j] = weight
     out = np.zeros((len(texts), len(landmarks)), np.float32)
-    weights = np.array([DECAY ** (b + 1) for _, b in GAPS], np.float32)
+    weights = np.array([weight_of(gaps) for gaps in GAPS], np.float32)
     for i, text in enumerate(texts):
         code = symbols(points(text))
         n = len(code)
-        long = padded(code)
-        seen = np.stack([place[feature_numbers(long, a, b, n)] for a, b in GAPS])
-        gap, at = np.nonzero(seen >= 0)
+        long = powers(padded(code))
+        seen = np.stack([place[numbers_from(long, gaps, n)] for gaps in GAPS])
+        gap, at = np.nonzero(seen)
         out[i] = weights[gap] @ table[seen[gap, at]]
     return out * scales(texts)[:, None], table.T @ table
 
@@ -156,29 +176,54 @@ def norm(code: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """What each sentence is multiplied by: one over the root of its gapless self-kernel."""
     n = len(code)
     sentence = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
-    number = np.sort((sentence << 15) + feature_numbers(padded(code), 1, 2, n))
+    together = tuple(range(1, ORDER))
+    number = np.sort(sentence * SYMBOLS**ORDER + feature_numbers(padded(code), together, n))
     first = np.flatnonzero(np.diff(number, prepend=-1))
     counts = np.diff(np.append(first, n)).astype(np.float64)
-    squares = np.bincount(number[first] >> 15, counts * counts, len(starts))
+    squares = np.bincount(number[first] // SYMBOLS**ORDER, counts * counts, len(starts))
     return np.maximum(squares, SHORTEST) ** -0.5
 
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of all subsequences, the offset, and the step from sentences to a score."""
+    """Weights of the subsequences that have one, the offset, and the step from sentences to a score."""
 
-    weights: np.ndarray
+    numbers: np.ndarray
+    values: np.ndarray
     offset: float
     step: tuple[float, ...] = ()
     constant: float | None = None
 
+    @cached_property
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Row of each beginning of four symbols, and a row's weights by the fifth symbol.
+
+        Row 0 is for beginnings without weights. Both stay small, so that scoring reads memory
+        near the processor.
+        """
+        heads, row = np.unique(self.numbers // SYMBOLS, return_inverse=True)
+        rows = np.zeros(SYMBOLS ** (ORDER - 1), np.int64)
+        rows[heads] = np.arange(1, len(heads) + 1) * SYMBOLS
+        weights = np.zeros((len(heads) + 1) * SYMBOLS, np.float32)
+        weights[(row + 1) * SYMBOLS + self.numbers % SYMBOLS] = self.values
+        return rows, weights
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
+
     def contributions(self, code: np.ndarray) -> np.ndarray:
         """What begins at each position, summed over gaps."""
         n = len(code)
+        rows, weights = self.table
         code = padded(code)
+        scaled = powers(code, ORDER - 1)
         out = np.zeros(n, np.float32)
-        for a, b in GAPS:
-            out += np.float32(DECAY ** (b + 1)) * self.weights[feature_numbers(code, a, b, n)]
+        for head, group in itertools.groupby(GAPS, key=lambda gaps: gaps[:-1]):
+            row = np.take(rows, numbers_from(scaled, head, n), mode="clip")
+            for gaps in group:
+                own = np.take(weights, row + code[gaps[-1] : gaps[-1] + n], mode="clip")
+                own *= np.float32(weight_of(gaps))
+                out += own
         return out
 
     def sentence_values(self, codes: np.ndarray) -> np.ndarray:
@@ -251,15 +296,20 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def choose_landmarks(texts: list[str], toxic: np.ndarray) -> tuple[list[str], list[str]]:
-    """Words whose share of sentences differs most between the classes, and words by hash.
+def choose_landmarks(
+    texts: list[str], owner: np.ndarray, toxic: np.ndarray
+) -> tuple[list[str], list[str]]:
+    """Words whose share of documents differs most between the classes, and words by hash.
 
     The first list has all landmarks, the second the most telling words.
     """
+    seen: dict[tuple, set] = {}
+    for text, doc, mark in zip(texts, owner.tolist(), toxic.tolist()):
+        seen.setdefault((doc, mark), set()).update(text.lower().split())
     with_, without = Counter(), Counter()
-    for text, mark in zip(texts, toxic):
-        (with_ if mark else without).update(set(text.lower().split()))
-    n = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
+    for (_, mark), own in seen.items():
+        (with_ if mark else without).update(own)
+    n = [max(sum(mark is value for _, mark in seen), 1) for value in (True, False)]
 
     def gap(word: str) -> float:
         p, q = with_[word] / n[0], without[word] / n[1]
@@ -291,12 +341,17 @@ def hash_of(word: str) -> int:
 
 def fit_sentences(texts: list[str], owner: np.ndarray, toxic: np.ndarray) -> Model:
     """The machine from sentences, the document of each and that document's label."""
-    landmarks, telling = choose_landmarks(texts, toxic)
+    landmarks, telling = choose_landmarks(texts, owner, toxic)
     k, own = kernel_matrix(texts, landmarks)
     root = nystroem(own)
     x = k @ root
-    positive = toxic.copy()
+    # a toxic document begins with its sentences that hold a telling word, or with all of them
+    holds = np.array([not set(telling).isdisjoint(t.lower().split()) for t in texts], bool)
+    positive = toxic & holds
     first = np.flatnonzero(np.diff(owner, prepend=owner[0] - 1))
+    for start, stop in zip(first, np.append(first[1:], len(owner))):
+        if not positive[start:stop].any():
+            positive[start:stop] = toxic[start:stop]
     for _ in range(ROUNDS):
         w = squared_hinge(x, np.where(positive, 1.0, -1.0), class_shares(positive))
         value = x @ w[:-1] + w[-1]
@@ -318,11 +373,12 @@ def fit_sentences(texts: list[str], owner: np.ndarray, toxic: np.ndarray) -> Mod
     positive = np.concatenate((positive, np.array(marks, bool)))
     w = squared_hinge(x, np.where(positive, 1.0, -1.0), class_shares(positive))
     beta = root @ w[:-1]
-    weights = np.zeros(SYMBOLS**ORDER, np.float32)
+    folded: dict[int, float] = {}
     for j, word in enumerate(landmarks):
         for number, weight in landmark_features(word).items():
-            weights[number] += beta[j] * weight
-    return Model(weights, float(w[-1]))
+            folded[number] = folded.get(number, 0.0) + beta[j] * weight
+    numbers = np.array(sorted(folded), np.int64)
+    return Model(numbers, np.array([folded[n] for n in numbers.tolist()], np.float32), float(w[-1]))
 
 
 # -- Spark -----------------------------------------------------------------------------------
@@ -345,37 +401,47 @@ def labelled_sample(labels: DataFrame, per_class: int) -> tuple[dict[int, int],
     return out, float(share or 0.0)
 
 
-def sentences_of(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+def sentences_of(batches: Iterator[pd.DataFrame], most: dict[int, int]) -> Iterator[pd.DataFrame]:
+    """Up to ``most[doc_id]`` sentences of each document, by hash."""
     for frame in batches:
         ids, texts = [], []
         for doc, text in zip(frame["doc_id"], frame["text"]):
             starts = sentence_starts(points(text))
             ends = np.append(starts[1:], len(text))
             picked = sorted(zip(starts.tolist(), ends.tolist()), key=lambda p: hash_of(f"{doc}:{p[0]}"))
-            ids += [doc] * len(picked[:most])
-            texts += [text[a:b] for a, b in picked[:most]]
+            ids += [doc] * len(picked[: most[doc]])
+            texts += [text[a:b] for a, b in picked[: most[doc]]]
         yield pd.DataFrame({"doc_id": ids, "text": texts})
 
 
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_DOCS) -> Model:
     """A model from the labelled documents that are not held back.
 
-    Two thirds of the sample fit the machine; the logistic step is fitted on the other third,
-    which the machine hasn't seen.
+    The logistic step is fitted on a quarter of the sample with a machine from the other three;
+    the machine that scores is fitted on all of it.
     """
     small_batches(documents.sparkSession)
     marks, share = labelled_sample(labels, per_class)
     ids = sorted(marks)
     rows = documents.where(F.col("doc_id").isin(ids)).select("doc_id", known_text().alias("text"))
-    first = [i for i in ids if hash_of(f"part:{i}") % 3]
+    first = [i for i in ids if hash_of(f"part:{i}") % 4]
     held = sorted(set(ids) - set(first))
     if not {0, 1} <= {marks[i] for i in first} or not {0, 1} <= {marks[i] for i in held}:
-        return Model(np.zeros(SYMBOLS**ORDER, np.float32), 0.0, constant=share)
-    drawn = rows.where(F.col("doc_id").isin(first)).mapInPandas(
-        lambda b: sentences_of(b, SAMPLE_SENTENCES), "doc_id bigint, text string"
+        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, constant=share)
+    sizes = Counter(marks.values())
+    most = {i: 1 + SAMPLE_SENTENCES // sizes[marks[i]] for i in ids}
+    drawn = rows.mapInPandas(
+        lambda b: sentences_of(b, most), "doc_id bigint, text string"
     ).toPandas().sort_values(["doc_id", "text"])
-    toxic = drawn["doc_id"].map(marks).to_numpy() == 1
-    model = fit_sentences(drawn["text"].tolist(), drawn["doc_id"].to_numpy(), toxic)
+    part = drawn[drawn["doc_id"].isin(first)]
+
+    def machine(sentences: pd.DataFrame) -> Model:
+        owner = sentences["doc_id"]
+        return fit_sentences(
+            sentences["text"].tolist(), owner.to_numpy(), owner.map(marks).to_numpy() == 1
+        )
+
+    model = machine(part)
     sizes = Counter(marks[i] for i in held)
 
     def signals(batches):
@@ -388,13 +454,14 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_DOCS) -
     x = np.stack(seen["x"].to_list())
     step = logistic(x, (seen["doc_id"].map(marks).to_numpy() == 1).astype(float))
     step[-1] += np.log(share / (1 - share)) - np.log(sizes[1] / sizes[0])
-    return Model(model.weights, model.offset, tuple(step.tolist()))
+    final = machine(drawn)
+    return Model(final.numbers, final.values, final.offset, tuple(step.tolist()))
 
 
 def with_score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """All rows and columns plus the score of the whole text."""
     small_batches(df.sparkSession)
-    sent = df.sparkSession.sparkContext.broadcast(model)  # 128 kB whatever the input
+    sent = df.sparkSession.sparkContext.broadcast(model)  # as large as its landmarks, whatever the input
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

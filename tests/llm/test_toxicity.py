@@ -13,14 +13,16 @@ def brute_features(symbols):
     out = {}
     padded = list(symbols) + [0] * (T.WINDOW - 1)
     for i in range(len(symbols)):
-        for a, b in itertools.combinations(range(1, T.WINDOW), 2):
-            key = (padded[i] << 10) + (padded[i + a] << 5) + padded[i + b]
-            out[key] = out.get(key, 0.0) + T.DECAY ** (b + 1)
+        for gaps in itertools.combinations(range(1, T.WINDOW), T.ORDER - 1):
+            key = 0
+            for symbol in [padded[i], *[padded[i + gap] for gap in gaps]]:
+                key = key * 32 + symbol
+            out[key] = out.get(key, 0.0) + T.DECAY ** (gaps[-1] + 1)
     return out
 
 
 def test_kernel_counts_gapped_subsequences():
-    texts, words = ["you are an idiot", "i d i o t", "", "aaaa aaaa", "Émile"], ["idiot", "an", "émile"]
+    texts, words = ["you are an idiot", "i d i o t", "", "aaaaa aaaa", "Émile"], ["idiot", "an", "émile"]
     got, own = T.kernel_matrix(texts, words)
     norms = T.scales(texts)
     for i, text in enumerate(texts):
@@ -30,7 +32,7 @@ def test_kernel_counts_gapped_subsequences():
             want = norms[i] * sum(v * mark.get(k, 0.0) for k, v in full.items())
             assert abs(got[i, j] - want) < 1e-5
     assert np.allclose(own, own.T) and np.linalg.eigvalsh(own.astype(float)).min() > -1e-6
-    assert got[0, 0] > got[1, 0] > got[3, 0] == 0
+    assert got[0, 0] > got[1, 0] > got[3, 0]
 
 
 def test_folded_weights_equal_the_kernel_expansion():
@@ -39,12 +41,13 @@ def test_folded_weights_equal_the_kernel_expansion():
     toxic = np.array(["idiot" in t or "moron" in t for t in texts])
     owner = np.arange(len(texts))
     model = T.fit_sentences(texts, owner, toxic)
-    words, _ = T.choose_landmarks(texts, toxic)
+    words, _ = T.choose_landmarks(texts, owner, toxic)
     values = [model.sentence_values(T.points(t)).max() for t in texts]
     assert min(np.array(values)[toxic]) > max(np.array(values)[~toxic])
     k, _ = T.kernel_matrix(texts, words)
-    marks = np.stack([np.bincount(list(f), list(f.values()), T.SYMBOLS**3) for f in map(T.landmark_features, words)])
-    beta = np.linalg.lstsq(marks.T, model.weights.astype(float), rcond=None)[0]
+    marks = [T.landmark_features(word) for word in words]
+    table = np.array([[f.get(n, 0.0) for f in marks] for n in model.numbers.tolist()])
+    beta = np.linalg.lstsq(table, model.values.astype(float), rcond=None)[0]
     assert np.allclose(k @ beta + model.offset, values, atol=2e-2)
 
 
