@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from formulake.llm import packing, rules, sharding, simhash, toxicity
+from formulake.llm import packing, page_text, rules, sharding, simhash, toxicity
 from formulake.llm.common import read
 from formulake.session import tune
 
@@ -49,3 +49,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_best_fit_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"))
+
+
+@query("op10_html_extraction")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(read(spark, sf_dir, "pages"))
