@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from formulake.llm import packing, page_text, rules, sharding, simhash, toxicity
+from formulake.llm import packing, page_text, rules, sharding, simhash, toxicity, vector_search
 from formulake.llm.common import read
 from formulake.session import tune
 
@@ -54,3 +54,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_html_extraction")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extract(read(spark, sf_dir, "pages"))
+
+
+@query("op9_exact_top_k", vector_search.TOP_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(read(spark, sf_dir, "embeddings"))
