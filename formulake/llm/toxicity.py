@@ -56,6 +56,7 @@ BETWEEN = (" ", "-", ".", "*", "x")
 ROUNDS = 4
 CLEAR = 0.995  # share of clean sentences that a positive one must exceed
 PENALTY = 1e-5
+BLOCK = 2048  # sentences that the fit holds in double precision at once
 GAPS = list(itertools.combinations(range(1, WINDOW), ORDER - 1))
 
 
@@ -146,26 +147,59 @@ def landmark_features(word: str) -> dict[int, float]:
     return {k: v * scale for k, v in out.items()}
 
 
-def kernel_matrix(texts: list[str], landmarks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Kernel of every sentence with every landmark, and of the landmarks among themselves."""
-    rows = [landmark_features(word) for word in landmarks]
-    numbers = sorted({k for row in rows for k in row})
-    place = np.zeros(SYMBOLS**ORDER, np.int32)  # pages that nothing is written to take no memory
-    place[numbers] = np.arange(1, len(numbers) + 1)
-    table = np.zeros((len(numbers) + 1, len(landmarks)), np.float32)
-    for j, row in enumerate(rows):
-        for number, weight in row.items():
-            table[place[number], j] = weight
-    out = np.zeros((len(texts), len(landmarks)), np.float32)
-    weights = np.array([weight_of(gaps) for gaps in GAPS], np.float32)
-    for i, text in enumerate(texts):
-        code = symbols(points(text))
-        n = len(code)
-        long = powers(padded(code))
-        seen = np.stack([place[numbers_from(long, gaps, n)] for gaps in GAPS])
-        gap, at = np.nonzero(seen)
-        out[i] = weights[gap] @ table[seen[gap, at]]
-    return out * scales(texts)[:, None], table.T @ table
+def two_level(numbers: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each beginning (all symbols but the last), and its values by the last symbol.
+
+    Beginnings without values share place 0. Both stay small, so that lookups read memory near
+    the processor.
+    """
+    heads, row = np.unique(numbers // SYMBOLS, return_inverse=True)
+    places = np.zeros(SYMBOLS ** (ORDER - 1), np.int64)
+    places[heads] = np.arange(1, len(heads) + 1) * SYMBOLS
+    table = np.zeros((len(heads) + 1) * SYMBOLS, values.dtype)
+    table[(row + 1) * SYMBOLS + numbers % SYMBOLS] = values
+    return places, table
+
+
+class Landmarks:
+    """Kernel values of sentences with landmarks, in blocks of bounded size."""
+
+    def __init__(self, words: list[str]):
+        self.words = words
+        rows = [landmark_features(word) for word in words]
+        numbers = np.array(sorted({k for row in rows for k in row}), np.int64)
+        at = {number: i + 1 for i, number in enumerate(numbers.tolist())}
+        self.features = np.zeros((len(numbers) + 1, len(words)), np.float32)
+        for j, row in enumerate(rows):
+            for number, weight in row.items():
+                self.features[at[number], j] = weight
+        self.places, self.nth = two_level(numbers, np.arange(1, len(numbers) + 1, dtype=np.int64))
+        self.weights = np.array([weight_of(gaps) for gaps in GAPS], np.float32)
+
+    def own(self) -> np.ndarray:
+        return self.features.T @ self.features
+
+    def kernel(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), len(self.words)), np.float32)
+        for i, text in enumerate(texts):
+            code = symbols(points(text))
+            n = len(code)
+            long = padded(code)
+            scaled = powers(long, ORDER - 1)
+            seen = np.stack([
+                self.nth[self.places[numbers_from(scaled, gaps[:-1], n)] + long[gaps[-1] : gaps[-1] + n]]
+                for gaps in GAPS
+            ])
+            gap, at = np.nonzero(seen)
+            out[i] = self.weights[gap] @ self.features[seen[gap, at]]
+        return out * scales(texts)[:, None]
+
+    def mapped(self, texts: list[str], root: np.ndarray) -> np.ndarray:
+        """Nyström features of sentences and a one for the offset."""
+        out = np.ones((len(texts), root.shape[1] + 1), np.float32)
+        for at in range(0, len(texts), BLOCK):
+            out[at : at + BLOCK, :-1] = self.kernel(texts[at : at + BLOCK]) @ root
+        return out
 
 
 def scales(texts: list[str]) -> np.ndarray:
@@ -196,17 +230,7 @@ class Model:
 
     @cached_property
     def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """Row of each beginning of four symbols, and a row's weights by the fifth symbol.
-
-        Row 0 is for beginnings without weights. Both stay small, so that scoring reads memory
-        near the processor.
-        """
-        heads, row = np.unique(self.numbers // SYMBOLS, return_inverse=True)
-        rows = np.zeros(SYMBOLS ** (ORDER - 1), np.int64)
-        rows[heads] = np.arange(1, len(heads) + 1) * SYMBOLS
-        weights = np.zeros((len(heads) + 1) * SYMBOLS, np.float32)
-        weights[(row + 1) * SYMBOLS + self.numbers % SYMBOLS] = self.values
-        return rows, weights
+        return two_level(self.numbers, self.values)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "table"}
@@ -261,15 +285,21 @@ def nystroem(landmark_kernel: np.ndarray) -> np.ndarray:
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Weights and offset (last) of a linear machine by Newton steps over the active rows."""
-    x = np.column_stack((x, np.ones(len(x))))
-    w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], PENALTY)
+    """Weights of a linear machine by Newton steps over the active rows; the last is the offset."""
+    ridge = np.full(x.shape[1], PENALTY)
     ridge[-1] = 1e-8
+    w = np.zeros(x.shape[1])
     active = np.ones(len(x), bool)
     for _ in range(20):
-        part, rows = x[active], share[active]
-        w = np.linalg.solve(np.diag(ridge) + (part * rows[:, None]).T @ part, part.T @ (rows * y[active]))
-        now = y * (x @ w) < 1
+        square, right = np.diag(ridge), np.zeros(len(w))
+        for at in range(0, len(x), BLOCK):
+            mine = slice(at, at + BLOCK)
+            part = x[mine][active[mine]].astype(np.float64)
+            rows = share[mine][active[mine]]
+            square += (part * rows[:, None]).T @ part
+            right += part.T @ (rows * y[mine][active[mine]])
+        w = np.linalg.solve(square, right)
+        now = y * (x @ w.astype(np.float32)) < 1
         if (now == active).all():
             break
         active = now
@@ -342,9 +372,9 @@ def hash_of(word: str) -> int:
 def fit_sentences(texts: list[str], owner: np.ndarray, toxic: np.ndarray) -> Model:
     """The machine from sentences, the document of each and that document's label."""
     landmarks, telling = choose_landmarks(texts, owner, toxic)
-    k, own = kernel_matrix(texts, landmarks)
-    root = nystroem(own)
-    x = k @ root
+    marks = Landmarks(landmarks)
+    root = nystroem(marks.own())
+    x = marks.mapped(texts, root)
     # a toxic document begins with its sentences that hold a telling word, or with all of them
     holds = np.array([not set(telling).isdisjoint(t.lower().split()) for t in texts], bool)
     positive = toxic & holds
@@ -354,7 +384,7 @@ def fit_sentences(texts: list[str], owner: np.ndarray, toxic: np.ndarray) -> Mod
             positive[start:stop] = toxic[start:stop]
     for _ in range(ROUNDS):
         w = squared_hinge(x, np.where(positive, 1.0, -1.0), class_shares(positive))
-        value = x @ w[:-1] + w[-1]
+        value = x @ w
         again = toxic & (value > np.quantile(value[~toxic], CLEAR))
         for start, stop in zip(first, np.append(first[1:], len(owner))):
             if toxic[start] and not again[start:stop].any():
@@ -362,15 +392,15 @@ def fit_sentences(texts: list[str], owner: np.ndarray, toxic: np.ndarray) -> Mod
         if (again == positive).all():
             break
         positive = again
-    copies, marks = [], []
+    copies, hits = [], []
     usual = set(landmarks) - set(telling) | {w for t in texts[:200] for w in t.lower().split()}
     for text, mark, hit in zip(texts, toxic, positive):
         copy = parted_copy(text, set(telling) if hit else usual - set(telling)) if hit or not mark else None
         if copy is not None:
             copies.append(copy)
-            marks.append(bool(hit))
-    x = np.concatenate((x, kernel_matrix(copies, landmarks)[0] @ root))
-    positive = np.concatenate((positive, np.array(marks, bool)))
+            hits.append(bool(hit))
+    x = np.concatenate((x, marks.mapped(copies, root)))
+    positive = np.concatenate((positive, np.array(hits, bool)))
     w = squared_hinge(x, np.where(positive, 1.0, -1.0), class_shares(positive))
     beta = root @ w[:-1]
     folded: dict[int, float] = {}

@@ -23,7 +23,7 @@ def brute_features(symbols):
 
 def test_kernel_counts_gapped_subsequences():
     texts, words = ["you are an idiot", "i d i o t", "", "aaaaa aaaa", "Émile"], ["idiot", "an", "émile"]
-    got, own = T.kernel_matrix(texts, words)
+    got, own = T.Landmarks(words).kernel(texts), T.Landmarks(words).own()
     norms = T.scales(texts)
     for i, text in enumerate(texts):
         full = brute_features(T.symbols(T.points(text)).tolist())
@@ -44,7 +44,7 @@ def test_folded_weights_equal_the_kernel_expansion():
     words, _ = T.choose_landmarks(texts, owner, toxic)
     values = [model.sentence_values(T.points(t)).max() for t in texts]
     assert min(np.array(values)[toxic]) > max(np.array(values)[~toxic])
-    k, _ = T.kernel_matrix(texts, words)
+    k = T.Landmarks(words).kernel(texts)
     marks = [T.landmark_features(word) for word in words]
     table = np.array([[f.get(n, 0.0) for f in marks] for n in model.numbers.tolist()])
     beta = np.linalg.lstsq(table, model.values.astype(float), rcond=None)[0]
