@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from formulake.llm import packing, page_text, rules, sharding, simhash, toxicity, vector_search
+from formulake.llm import ngram_lm, packing, page_text, rules, sharding, simhash, toxicity, vector_search
 from formulake.llm.common import read
 from formulake.session import tune
 
@@ -59,3 +59,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_exact_top_k", vector_search.TOP_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(read(spark, sf_dir, "embeddings"))
+
+
+@query("op5_lm_scoring")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_documents(read(spark, sf_dir, "documents"))
