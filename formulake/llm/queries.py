@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from formulake.llm import ngram_lm, packing, page_text, rules, sharding, simhash, toxicity, vector_search
+from formulake.llm import ngram_lm, packing, page_text, quotes, rules, sharding, simhash, toxicity, vector_search
 from formulake.llm.common import read
 from formulake.session import tune
 
@@ -64,3 +64,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_lm_scoring")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score_documents(read(spark, sf_dir, "documents"))
+
+
+@query("op6_chat_formatting")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_ordered(read(spark, sf_dir, "conversations"))
