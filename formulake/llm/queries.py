@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from formulake.llm import ngram_lm, packing, page_text, quotes, rules, sharding, simhash, toxicity, vector_search
+from formulake.llm import ngram_lm, packing, page_text, pieces, quotes, rules, sharding, simhash, toxicity, vector_search
 from formulake.llm.common import read
 from formulake.session import tune
 
@@ -69,3 +69,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_chat_formatting")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.reply_ordered(read(spark, sf_dir, "conversations"))
+
+
+@query("op2_sentencepiece")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(read(spark, sf_dir, "documents"))
