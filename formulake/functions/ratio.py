@@ -76,10 +76,12 @@ def colon_parts(text: Column) -> Column:
 
 
 def plain_number(value: Column) -> Column:
-    """A double as text without trailing zeros (four decimals at most)."""
-    return F.regexp_replace(
-        F.regexp_replace(value.cast("decimal(18,4)").cast("string"), r"0+$", ""), r"\.$", ""
+    """A double as its shortest plain text, never rounded; in scientific form when too large."""
+    plain = F.regexp_replace(
+        F.regexp_replace(value.try_cast("decimal(38,18)").cast("string"), r"0+$", ""), r"\.$", ""
     )
+    exact = plain.try_cast("double") == value
+    return F.when(exact, plain).otherwise(value.cast("string"))
 
 
 def ratio_text(values: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,22 +19,33 @@ def spans(text: Column, pattern: str) -> Column:
 
     def place(hits):
         gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
-        steps = F.zip_with(hits, gaps, lambda h, g: F.struct(
-            h.alias("hit"), F.length(g).alias("gap"), F.length(h).alias("len")))
+        steps = F.zip_with(hits, gaps, lambda h, g: F.length(g) + F.length(h))
 
-        def step(acc, s):
-            begin = acc["at"] + s["gap"]
-            stop = begin + s["len"]
-            span = F.struct(begin.alias("start"), stop.alias("end"), s["hit"].alias("hit"))
-            return F.struct(stop.alias("at"), F.array_append(acc["out"], span).alias("out"))
+        def cut(ends):
+            return F.zip_with(hits, ends, lambda h, e: F.struct(
+                (e - F.length(h)).alias("start"), e.alias("end"), h.alias("hit")))
 
-        first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-        placed = F.aggregate(steps, first, step, lambda acc: acc["out"])
+        placed = let(running(steps, lambda a, b: a + F.coalesce(b, F.lit(0))), cut)
         return F.when(F.size(hits) > 0, placed).otherwise(empty)
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
 
 
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """What ``join`` makes of all values up to each one (totals, maxima), in n log n steps.
+
+    In round k every value is joined with the one 2^k places ahead of it, which is null where
+    there is none, so no array grows value by value.
+    """
+    rounds = F.array(*[F.lit(1 << k) for k in range(31)])
+
+    def step(acc, ahead):
+        joined = F.transform(acc, lambda x, i: join(x, F.get(acc, i - ahead)))
+        return F.when(ahead < F.size(acc), joined).otherwise(acc)
+
+    return F.aggregate(rounds, values, step)
+
+
 def clean_text(text: Column) -> Column:
     """No-break spaces and dash variants to their plain forms, runs of blanks to one."""
     plain = F.translate(text, " –—−", " ---")

@@ -95,8 +95,9 @@ def active_offsets(records: DataFrame, study: str) -> DataFrame:
 
 def with_offset(df: DataFrame, offsets: DataFrame, study: str) -> DataFrame:
     """Offsets reach the rows of their own study only; other rows get 0."""
-    sized = offsets.select(study, F.lit(1).alias("_have"), "shrunk", "ref_pred")
-    rows = attach(df, sized, [study], "_have")
+    sizes = df.groupBy(study).agg(F.count("*").alias("_rows"))
+    sized = offsets.select(study, "shrunk", "ref_pred").join(sizes, study)
+    rows = attach(df, sized, [study], "_rows")
     return rows.select(
         *df.columns, F.coalesce("shrunk", F.lit(0.0)).alias("offset"),
         F.coalesce("ref_pred", F.lit(V.REFERENCE_PREDICTION)).alias("ref_pred"),

@@ -7,6 +7,7 @@ one pass, and only the small mention rows are grouped afterwards.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from formulake import vocab as V
@@ -15,7 +16,7 @@ from formulake.functions.ratio import (
     array_total, composition_warnings, malformed_reason_wide, ratio_text,
 )
 from formulake.functions.text import (
-    cargo_from_words, clean_text, component_order, first_number, first_term, spans, window,
+    cargo_from_words, clean_text, component_order, first_number, first_term, running, spans, window,
 )
 from formulake.operators.groups import top_rows
 from formulake.session import materialise
@@ -76,7 +77,7 @@ def doc_metadata(texts: DataFrame, key: str, text: str) -> DataFrame:
         F.regexp_extract_all(F.col(text), F.lit(V.DOI_PATTERN), F.lit(1)),
         lambda d: F.regexp_replace(d, r"[.,);\]]+$", "")))
     lines = F.filter(F.transform(F.split(text, "\n"), lambda t: clean_text(t)), lambda t: t != "")
-    titled = F.filter(F.slice(lines, 1, 20), lambda t: (F.length(t) >= 20)
+    titled = F.filter(lines, lambda t: (F.length(t) >= 20)
                       & ~F.lower(t).rlike("abstract|doi|copyright"))
     return texts.select(
         key, F.coalesce(F.get(dois, F.lit(0)), F.lit("")).alias("doi"),
@@ -118,17 +119,16 @@ def text_candidates(texts: DataFrame, key: str, text: str) -> DataFrame:
     return rows.withColumn("ee", F.array_min(ranked)["ee"]).withColumn("source", F.lit("text"))
 
 
-def caption_candidates(texts: DataFrame, key: str, text: str, width: int = 1500) -> DataFrame:
-    """Candidates inside figure captions; a caption ends at the next figure or after ``width``."""
+def caption_candidates(texts: DataFrame, key: str, text: str, width: int | None = None) -> DataFrame:
+    """Candidates inside figure captions; a caption ends at the next figure, or after ``width`` if given."""
     body = F.col(text)
+    limit = [] if width is None else [F.lit(width)]
 
     def captions(marks):
         return F.transform(marks, lambda m, i: F.struct(
             m["start"].alias("pos"),
-            F.substring(body, m["start"] + 1, F.least(
-                F.lit(width),
-                F.coalesce(F.get(marks, i + 1)["start"], F.length(body)) - m["start"],
-            )).alias("chunk")))
+            F.substring(body, m["start"] + 1, F.least(*limit, F.coalesce(
+                F.get(marks, i + 1)["start"], F.length(body)) - m["start"], F.length(body))).alias("chunk")))
 
     rows = texts.select(key, F.explode(let(spans(body, V.FIGURE_MARK), captions)).alias("c"))
     rows = rows.select(key, F.col("c.pos").alias("caption_at"), F.col("c.chunk").alias("chunk"),
@@ -188,15 +188,17 @@ def score_candidates(df: DataFrame) -> DataFrame:
 SOURCE_ORDER = ["table", "text", "caption"]
 
 
-def rank_candidates(df: DataFrame, per_doc: int = 25) -> DataFrame:
-    """First of equal (ratio, outcome, name) per document, then the best ones, ranked."""
+def rank_candidates(df: DataFrame, per_doc: int | None = None) -> DataFrame:
+    """First of equal (ratio, outcome, name) per document, ranked; the best ``per_doc`` if given."""
     source = F.array_position(F.array(*[F.lit(s) for s in SOURCE_ORDER]), F.col("source"))
     rows = df.withColumn("_so", source)
     key = ["doc_id", "ratio", "ee", "ionizable"]
     best = [F.col("score").desc(), F.col("ee").isNotNull().desc(),
             (F.col("source") == "table").desc(), F.col("_so"), F.col("pos")]
     rows = top_rows(rows, key, best, 1, "_rn").drop("_rn")
-    return top_rows(rows, ["doc_id"], best, per_doc, "rank").drop("_so")
+    if per_doc is not None:
+        return top_rows(rows, ["doc_id"], best, per_doc, "rank").drop("_so")
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(*best))).drop("_so")
 
 
 def top_candidates(df: DataFrame, n: int) -> DataFrame:
@@ -296,44 +298,59 @@ def excerpt(texts: DataFrame, key: str, text: str, maxlen: int | None = None) ->
     reached = F.array_sort(F.concat(
         reach(V.RATIO_TOKEN, 600, 500, long_enough),
         reach(V.OUTCOME_ANCHORED, 500, 400, lambda s: F.lit(True))))
-    pieces = "array<struct<s:int,e:int>>"
 
-    def merge(acc, r):
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(
-            last["s"].alias("s"), F.greatest(last["e"], r["e"]).alias("e"))))
-        return F.when(F.size(acc) == 0, F.array(r)).when(
-            r["s"] <= last["e"] + 80, joined).otherwise(F.concat(acc, F.array(r)))
+    def join(rows):
+        """A stretch begins where it starts beyond all ends before it."""
+        ends = running(F.transform(rows, lambda r: r["e"]), F.greatest)
 
-    merged = F.aggregate(reached, F.array().cast(pieces), lambda a, r: merge(a, r).cast(pieces))
+        def pieces(reach_to):
+            numbered = F.transform(rows, lambda r, i: F.struct(
+                i.alias("i"), r["s"].alias("s"),
+                (F.get(reach_to, i - 1).isNull() | (r["s"] > F.get(reach_to, i - 1) + 80)).alias("new")))
+            return let(F.filter(numbered, lambda r: r["new"]), lambda first: F.transform(
+                first, lambda r, k: F.struct(r["s"].alias("s"), F.get(reach_to, F.coalesce(
+                    F.get(first, k + 1)["i"], F.size(rows)) - 1).alias("e"))))
+
+        return let(ends, pieces)
+
+    merged = let(reached, join)
     cut = F.transform(merged, lambda p: F.substring(body, p["s"] + 1, p["e"] - p["s"]))
     out = F.array_join(cut, "\n[...]\n")
     return texts.select(key, (out if maxlen is None else F.substring(out, 1, maxlen)).alias("excerpt"))
 
 
-def excerpt_tables(cells: DataFrame, captions: DataFrame, max_tables: int = 8, max_rows: int = 16,
-                   caption_chars: int = 160, row_chars: int = 280) -> DataFrame:
-    """Text block of the first relevant tables of every document."""
+def excerpt_tables(cells: DataFrame, captions: DataFrame, max_tables: int | None = None,
+                   max_rows: int | None = None, caption_chars: int | None = None,
+                   row_chars: int | None = None) -> DataFrame:
+    """Text block of the relevant tables of every document; limits hold where they are given."""
     table = ["doc_id", "tbl_no"]
-    kept = cells.where(F.col("row_no") < max_rows)
+    kept = cells if max_rows is None else cells.where(F.col("row_no") < max_rows)
+
+    def cut(text: Column, most: int | None) -> Column:
+        return text if most is None else F.substring(text, 1, most)
+
     lines = kept.groupBy(*table, "row_no").agg(
         F.array_sort(F.collect_list(F.struct("col_no", "cell"))).alias("c"))
     lines = lines.select(*table, "row_no", F.array_join(F.col("c.cell"), " ").alias("words"),
-                         F.substring(F.array_join(F.col("c.cell"), " | "), 1, row_chars).alias("line"))
+                         cut(F.array_join(F.col("c.cell"), " | "), row_chars).alias("line"))
     blocks = lines.groupBy(*table).agg(
         F.max(F.when(F.col("row_no") == 0, F.col("words"))).alias("head"),
         F.array_join(F.array_sort(F.collect_list(F.struct("row_no", "line")))["line"], "\n").alias("rows"))
-    cap = F.substring("caption", 1, caption_chars)
-    first = top_rows(blocks.join(captions, table), ["doc_id"], [F.col("tbl_no")], max_tables, "_rn")
-    first = first.where(F.lower(F.concat(cap, "head")).rlike(V.EXCERPT_TABLE_WORDS)).select(
+    cap = cut(F.col("caption"), caption_chars)
+    first = blocks.join(captions, table).where(
+        F.lower(F.concat(cap, "head")).rlike(V.EXCERPT_TABLE_WORDS))
+    if max_tables is not None:
+        first = top_rows(first, ["doc_id"], [F.col("tbl_no")], max_tables, "_rn")
+    first = first.select(
         *table, F.concat(F.lit("\n[TABLE] "), cap, F.lit("\n"), "rows").alias("block"))
     return first.groupBy("doc_id").agg(F.array_join(
         F.array_sort(F.collect_list(F.struct("tbl_no", "block")))["block"], "").alias("tables"))
 
 
-def draft_rows(ranked: DataFrame, meta: DataFrame, doc_cargo: DataFrame, per_doc: int = 12) -> DataFrame:
-    """Ranked candidates in the draft schema, with repair notes."""
-    rows = ranked.where(F.col("rank") <= per_doc).join(meta, "doc_id").join(
+def draft_rows(ranked: DataFrame, meta: DataFrame, doc_cargo: DataFrame, per_doc: int | None = None) -> DataFrame:
+    """Ranked candidates in the draft schema, with repair notes; the first ``per_doc`` if given."""
+    rows = ranked if per_doc is None else ranked.where(F.col("rank") <= per_doc)
+    rows = rows.join(meta, "doc_id", "left").join(
         doc_cargo.withColumnRenamed("cargo", "doc_cargo"), "doc_id", "left")
     notes = F.concat_ws(
         " | ", F.when(F.col("raw") != F.col("ratio"), "ratio rewritten in canonical form"),

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from formulake.operators.groups import HOT_KEYS, hash_positions
+from formulake.operators.groups import hash_positions
 
 
 def hash_share(text: Column, k: int) -> Column:
@@ -14,32 +13,19 @@ def hash_share(text: Column, k: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 6), 16, 10).cast("bigint"), F.lit(k))
 
 
-def study_folds(df: DataFrame, study: str, k: int) -> DataFrame:
-    """The HOT_KEYS largest studies, dealt back and forth over the folds by size."""
-    sizes = df.groupBy(study).agg(F.count("*").alias("n"))
-    top = sizes.orderBy(F.desc("n"), study).limit(HOT_KEYS)
-    # at most HOT_KEYS rows reach this window
-    at = F.row_number().over(W.orderBy(F.desc("n"), study)) - 1
-    deal = F.when(F.floor(at / k) % 2 == 0, at % k).otherwise(k - 1 - at % k)
-    return top.select(study, deal.cast("bigint").alias("fold"))
-
-
 def attach_folds(df: DataFrame, study: str, k: int = 5) -> DataFrame:
-    """Add ``fold``: no study in two folds, sizes balanced.
+    """Add ``fold``: no study in two folds, one rule for all studies whatever their number.
 
-    The largest studies are dealt by size, which is what decides the balance; the tail is
-    spread by hash, so no table of all studies is sorted or broadcast.
+    The fold is the hash of the study. There are at most as many folds as studies, and fewer
+    than two studies are an error.
     """
-    dealt = F.broadcast(study_folds(df, study, k).withColumnRenamed("fold", "_dealt"))
-    tail = hash_share(F.col(study), k)
-    return df.join(dealt, study, "left").select(
-        *df.columns, F.coalesce("_dealt", tail).alias("fold")
-    )
+    k = require_folds(df, study, k)
+    return df.withColumn("fold", hash_share(F.col(study), k))
 
 
-def require_folds(df: DataFrame, study: str, minimum: int = 2) -> int:
-    """Number of usable folds for up to five: fails when there are fewer than two studies."""
-    seen = df.select(study).distinct().limit(5).count()
+def require_folds(df: DataFrame, study: str, k: int = 5, minimum: int = 2) -> int:
+    """Number of usable folds, at most k: fails when there are fewer than two studies."""
+    seen = df.select(study).distinct().limit(k).count()
     if seen < minimum:
         raise ValueError("study-grouped folds need at least two studies")
     return seen

@@ -22,17 +22,20 @@ def source_index(df: DataFrame, text: str) -> DataFrame:
     numbers = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit("[0-9.]+"), F.lit(0)))
     tokens = F.regexp_extract_all(F.col(text), F.lit(V.RATIO_TOKEN), F.lit(0))
     ratios = F.array_distinct(F.transform(tokens, lambda t: F.transform(
-        F.split(t, r"\s*[:/]\s*"), lambda v: F.replace(v, F.lit(","), F.lit(".")).cast("double"))))
+        F.split(t, r"\s*[:/]\s*"), lambda v: F.replace(v, F.lit(","), F.lit(".")).try_cast("double"))))
     flat = F.regexp_replace(F.lower(text), PLAIN, "")
     return df.select("doc_id", numbers.alias("src_numbers"), ratios.alias("src_ratios"),
                      flat.alias("src_flat"))
 
 
 def with_source(claims: DataFrame, articles: DataFrame) -> DataFrame:
-    """Claims next to the index of their document; documents without claims are not indexed."""
+    """Claims next to the index of their document; documents without claims are not indexed.
+
+    A claim whose document is missing stays, without an index.
+    """
     wanted = articles.select("doc_id", "body").join(
         claims.select("doc_id").distinct(), "doc_id", "left_semi")
-    return claims.join(source_index(wanted, "body"), "doc_id")
+    return claims.join(source_index(wanted, "body"), "doc_id", "left")
 
 
 SOURCE = ["src_numbers", "src_ratios", "src_flat"]
@@ -43,8 +46,8 @@ def number_in_source(value: Column) -> Column:
     start of a digit run and not followed by another digit."""
     one, whole = F.bround(value, 1), F.bround(value, 0)
     spelled = F.array_distinct(F.array(
-        plain_number(value), one.cast("decimal(18,1)").cast("string"),
-        whole.cast("decimal(18,0)").cast("string")))
+        plain_number(value), one.try_cast("decimal(18,1)").cast("string"),
+        whole.try_cast("decimal(18,0)").cast("string")))
     return F.exists(spelled, lambda s: F.exists(
         F.col("src_numbers"), lambda n: (n == s) | F.startswith(n, F.concat(s, F.lit(".")))))
 
@@ -84,7 +87,8 @@ def gate_reason(strict: bool = False) -> Column:
     named = (name != "") & (name != V.UNNAMED)
     malformed = malformed_reason(F.col("ratio"))
     reason = (
-        F.when(ee.isNull(), "no outcome")
+        F.when(F.col("src_flat").isNull(), "no source document")
+        .when(ee.isNull(), "no outcome")
         .when(~ee.between(*V.RANGES["ee"]), "outcome out of range")
         .when(~number_in_source(ee), "outcome not in text")
         .when(F.col("ratio_reason").isNotNull(), F.col("ratio_reason"))
@@ -119,13 +123,13 @@ def to_harvest(claims: DataFrame, articles: DataFrame) -> DataFrame:
     outside their range emptied, study id from the DOI or the document number."""
     meta = articles.select("doc_id", "doi", "title", F.col("body").alias("_body"))
     found = meta.select("doc_id", "doi", cargo_cascade(F.col("title"), F.col("_body")).alias("_cargo"))
-    rows = with_reduced_ratio(claims).join(found, "doc_id")
+    rows = with_reduced_ratio(claims).join(found, "doc_id", "left")
     name = F.trim(F.coalesce("name", F.lit("")))
     name = F.when((name == "") | F.lower(name).isin(V.GENERIC_NAMES), V.UNNAMED).otherwise(name)
     own = cargo_cascade(F.col("cargo_claim"))
     rows = rows.withColumns({
         "name": name, "approx": F.col("evidence").rlike(V.APPROXIMATE),
-        "cargo": F.coalesce(F.nullif(own, F.lit("other")), F.col("_cargo")),
+        "cargo": F.coalesce(F.nullif(own, F.lit("other")), F.col("_cargo"), own),
         "generic_name": F.when(name == V.UNNAMED, F.col("name")),
         "study": F.when(F.col("doi") != "", F.col("doi")).otherwise(
             F.concat(F.lit("PMC"), F.col("doc_id").cast("string"))),
@@ -177,15 +181,16 @@ def audit(stored: DataFrame, articles: DataFrame) -> DataFrame:
     want = F.array_sort(claim_values(F.col("ratio")))
     same_set = F.exists(F.col("src_ratios"), lambda got: F.array_sort(got) == want)
     name = F.trim(F.coalesce("name", F.lit("")))
+    missing = F.col("src_flat").isNull()
     rows = rows.withColumns({
-        "ratio_verdict": F.when(ratio_as_written(F.col("ratio")), "ok").when(
-            same_set, "wrong_order").otherwise("not_found"),
-        "ee_verdict": F.when(F.coalesce(number_in_source(F.col("ee")), F.lit(False)), "ok").otherwise(
+        "ratio_verdict": F.when(missing, "no source document").when(
+            ratio_as_written(F.col("ratio")), "ok").when(same_set, "wrong_order").otherwise("not_found"),
+        "ee_verdict": F.when(missing, "no source document").when(F.coalesce(number_in_source(F.col("ee")), F.lit(False)), "ok").otherwise(
             "not_found"),
-        "name_verdict": F.when(F.lower(name).isin(V.NOT_IONIZABLE), "not_ionizable").when(
+        "name_verdict": F.when(missing, "no source document").when(F.lower(name).isin(V.NOT_IONIZABLE), "not_ionizable").when(
             name_in_source(name), "ok").otherwise("not_found"),
     })
     drop = (F.col("name_verdict") == "not_ionizable") | (F.col("ratio_verdict") == "not_found")
     fix = (F.col("ratio_verdict") == "wrong_order") | (F.col("ee_verdict") != "ok") | (
         F.col("name_verdict") != "ok")
-    return rows.withColumn("overall", F.when(drop, "drop").when(fix, "fix").otherwise("keep")).drop(*SOURCE)
+    return rows.withColumn("overall", F.when(missing, "drop").when(drop, "drop").when(fix, "fix").otherwise("keep")).drop(*SOURCE)

@@ -90,7 +90,7 @@ def eligible_studies(df: DataFrame, study: str, min_rows: int) -> DataFrame:
 
 def claims_with_source(claims: DataFrame, articles: DataFrame) -> DataFrame:
     """Claims next to the whole source text: their excerpt and the article body."""
-    joined = claims.join(articles.select("doc_id", "body"), "doc_id")
+    joined = claims.join(articles.select("doc_id", "body"), "doc_id", "left")
     return joined.withColumn(
         "source", F.concat_ws(" ", "evidence", "body")
     ).drop("body")
@@ -125,6 +125,12 @@ def nearest_mention(ratios: DataFrame, outcomes: DataFrame, max_gap: int = 4000)
                        F.when(near, ee).alias("ee"), F.when(near, gap).alias("gap"))
 
 
+def product(a: str, b: str) -> Column:
+    """Product of two counts, which may be beyond 64 bits."""
+    wide = "decimal(38,0)"
+    return (F.col(a).cast("decimal(19,0)") * F.col(b).cast("decimal(19,0)")).cast(wide)
+
+
 def pair_agreement(df: DataFrame, study: str, y: str, pred: str, min_gap: float) -> DataFrame:
     """Per study: pairs whose outcomes differ by at least min_gap, and how many of them the
     prediction orders the same way - counted without forming a pair.
@@ -156,12 +162,12 @@ def pair_agreement(df: DataFrame, study: str, y: str, pred: str, min_gap: float)
     gap = round(min_gap * 1000000)
     smaller = W.partitionBy(*groups).orderBy("_y").rangeBetween(W.unboundedPreceding, -gap)
     agree = table.withColumn("_below", F.coalesce(F.sum("_low").over(smaller), F.lit(0))).groupBy(
-        study).agg(F.sum(F.col("_high") * F.col("_below")).alias("n_agree"))
+        study).agg(F.sum(product("_high", "_below")).alias("n_agree"))
     outcomes = rows.groupBy(study, y).agg(F.count("*").alias("_c")).withColumn(
         "_y", F.round(F.col(y) * 1000000).cast("bigint"))
     lower = W.partitionBy(study).orderBy("_y").rangeBetween(W.unboundedPreceding, -gap)
     pairs = outcomes.withColumn("_below", F.coalesce(F.sum("_c").over(lower), F.lit(0))).groupBy(
-        study).agg(F.sum(F.col("_c") * F.col("_below")).alias("n_pairs"))
+        study).agg(F.sum(product("_c", "_below")).alias("n_pairs"))
     return pairs.join(agree, study, "left").select(
         study, "n_pairs", F.coalesce("n_agree", F.lit(0)).alias("n_agree"))
 

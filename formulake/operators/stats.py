@@ -270,7 +270,7 @@ def table_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     """Row count and two order-free content hashes."""
     digest = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
     number = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
-    return df.agg(F.count("*").alias("n"), F.sum(number).alias("sum_hash"),
+    return df.agg(F.count("*").alias("n"), F.sum(number.cast("decimal(38,0)")).alias("sum_hash"),
                   F.bit_xor(number).alias("xor_hash"))
 
 

@@ -428,9 +428,9 @@ SELECT row_id, step, {q6('target')} AS target, {q6('pred')} AS pred, {q6('pred -
   {q6('pred + resid_sd')} AS hi, usable, segment FROM (
   SELECT *, cast(round((target - 0.5) * 4) as bigint) AS step FROM scen)""",
     slope_sql("study_big"), SCEN_SQL.format(
-        t="(0.5 + 7.5 * i / 30::double)", j=", range(31) r(i) WHERE line_no = 1")))
+        t="(0.5 + 7.5 * i / 30::double)", j=", range(31) r(i)")))
 def q_segment_slope_curve(spark, sf_dir):
-    rows = P.obs(spark, sf_dir).where(F.col("line_no") == 1).select("row_id", "x", "y")
+    rows = P.obs(spark, sf_dir).select("row_id", "x", "y")
     out = SC.segment_slope_curve(rows, slopes(spark, sf_dir), "x", "y")
     return rounded(out.select("row_id", F.col("step").cast("bigint").alias("step"), "target", "pred",
                               "lo", "hi", "usable", "segment"), "target", "pred", "lo", "hi")

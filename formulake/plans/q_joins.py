@@ -127,7 +127,7 @@ def q_singleton_studies(spark, sf_dir):
 
 @query("claims_with_source", sql("claims articles", """
 SELECT claim_id, length(s) AS n_chars, md5(s) AS digest
-FROM (SELECT claim_id, concat(evidence, ' ', body) AS s FROM claims JOIN articles USING (doc_id))"""))
+FROM (SELECT claim_id, concat_ws(' ', evidence, body) AS s FROM claims LEFT JOIN articles USING (doc_id))"""))
 def q_claims_with_source(spark, sf_dir):
     rows = J.claims_with_source(P.claims(spark, sf_dir), P.articles(spark, sf_dir))
     return rows.select("claim_id", F.length("source").cast("bigint").alias("n_chars"),
@@ -238,7 +238,8 @@ SELECT study, n_pairs, n_agree FROM (
          count(CASE WHEN b.y - a.y >= 5 - 1e-9 AND b.pred > a.pred THEN 1 END) AS n_agree
   FROM oof a JOIN oof b ON a.study = b.study GROUP BY a.study)"""))
 def q_within_study_pairs(spark, sf_dir):
-    return J.pair_agreement(P.oof(spark, sf_dir), "study", "y", "pred", 5.0)
+    out = J.pair_agreement(P.oof(spark, sf_dir), "study", "y", "pred", 5.0)
+    return out.withColumns({c: F.col(c).cast("bigint") for c in ("n_pairs", "n_agree")})
 
 
 @query("offset_broadcast", sql("oof_small", f"""
@@ -308,7 +309,7 @@ def sql_cascade(*fields: str) -> str:
 
 @query("cargo_cascade", sql("claims articles", f"""
 SELECT claim_id, {sql_cascade('cargo_claim', 'title', 'body')} AS cargo
-FROM claims JOIN articles USING (doc_id)"""))
+FROM claims LEFT JOIN articles USING (doc_id)"""))
 def q_cargo_cascade(spark, sf_dir):
     arts = P.articles(spark, sf_dir)
     found = arts.select("doc_id", cargo_cascade(F.col("title"), F.col("body")).alias("_article"))

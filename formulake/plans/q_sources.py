@@ -103,12 +103,12 @@ def sink_table_replace(spark, sf_dir):
 
 @query("sink_table_append", sql("store batch", """
 SELECT row_id, study_big, ratio FROM store
-UNION ALL SELECT row_id, study_big, ratio FROM batch WHERE line_no = 1"""))
+UNION ALL SELECT row_id, study_big, ratio FROM batch"""))
 def sink_table_append(spark, sf_dir):
     path = new_path(spark, "table")
     cols = ["row_id", "study_big", "ratio"]
     S.append_table(P.store(spark, sf_dir).select(*cols), path)
-    S.append_table(P.batch(spark, sf_dir).where(F.col("line_no") == 1).select(*cols), path)
+    S.append_table(P.batch(spark, sf_dir).select(*cols), path)
     return spark.read.parquet(path)
 
 

@@ -329,7 +329,8 @@ def q_category_frequency(spark, sf_dir):
 SELECT count(*) AS n, cast(sum(h) as bigint) AS sum_hash, bit_xor(h) AS xor_hash
 FROM (SELECT cast(concat('0x', substr(md5(concat_ws('|', study_big, ratio_raw, outcome_raw)), 1, 8)) as bigint) AS h FROM form)"""))
 def q_table_fingerprint(spark, sf_dir):
-    return S.table_fingerprint(P.form(spark, sf_dir), ["study_big", "ratio_raw", "outcome_raw"])
+    out = S.table_fingerprint(P.form(spark, sf_dir), ["study_big", "ratio_raw", "outcome_raw"])
+    return out.withColumn("sum_hash", F.col("sum_hash").cast("bigint"))
 
 
 # ------------------------------------------------------------------ dispersion bands

@@ -71,8 +71,8 @@ _DOIS = (f"list_transform(regexp_extract_all(body, {lit(V.DOI_PATTERN)}, 1), "
 META_SQL = f"""
 meta AS (SELECT doc_id, coalesce(d[1], '') AS doi, upper(regexp_extract(body, {lit(V.PMCID_PATTERN)}, 1)) AS pmcid,
   array_to_string(list_filter(d, lambda x, i: list_position(d, x) = i), ' ') AS doi_alternatives,
-  coalesce(list_filter(list_slice(list_filter(list_transform(string_split(body, chr(10)), lambda t: {sql_clean_text('t')}),
-    lambda t: t <> ''), 1, 20), lambda t: length(t) >= 20 AND NOT regexp_matches(lower(t), 'abstract|doi|copyright'))[1], '') AS title
+  coalesce(list_filter(list_filter(list_transform(string_split(body, chr(10)), lambda t: {sql_clean_text('t')}),
+    lambda t: t <> ''), lambda t: length(t) >= 20 AND NOT regexp_matches(lower(t), 'abstract|doi|copyright'))[1], '') AS title
   FROM (SELECT doc_id, body, {_DOIS} AS d FROM articles))"""
 
 
@@ -134,7 +134,7 @@ cand_text AS (
   WHERE len(vals) = 4),
 figs AS (SELECT doc_id, body, {sql_spans('body', lit(V.FIGURE_MARK))} AS m FROM articles),
 caps AS (SELECT doc_id, c.start AS cat, substring(body, c.start + 1,
-           least(1500, coalesce(m[i + 1].start, length(body)) - c.start)) AS chunk
+           coalesce(m[i + 1].start, length(body)) - c.start) AS chunk
   FROM (SELECT doc_id, body, m, unnest(m) AS c, unnest(range(1, len(m) + 1)) AS i FROM figs)),
 cand_caption AS (
   SELECT doc_id, cat + s.start AS pos, s.hit AS raw, {_VALS} AS vals, {sql_clean_text('chunk')} AS context, 'caption' AS source,
@@ -167,7 +167,7 @@ ranked AS (
       CASE source WHEN 'table' THEN 1 WHEN 'text' THEN 2 ELSE 3 END, pos) AS rank
   FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ratio, ee, ionizable ORDER BY score DESC, (ee IS NOT NULL) DESC,
       (source = 'table') DESC, CASE source WHEN 'table' THEN 1 WHEN 'text' THEN 2 ELSE 3 END, pos) AS rn FROM scored)
-  WHERE rn = 1 QUALIFY rank <= 25)"""
+  WHERE rn = 1)"""
 
 
 def candidates(spark, sf_dir):
@@ -240,7 +240,7 @@ SELECT doc_id, doi AS reference_doi, ratio AS lipid_molar_ratio, coalesce(ioniza
     CASE WHEN NOT order_detected THEN 'component order not certain' END,
     CASE WHEN ee IS NULL THEN 'no outcome in the text' END) AS repair_note
 FROM ranked JOIN meta USING (doc_id)
-JOIN (SELECT doc_id, {sql_cargo_words('lower(body)')} AS doc_cargo FROM articles) USING (doc_id) WHERE rank <= 12""",
+JOIN (SELECT doc_id, {sql_cargo_words('lower(body)')} AS doc_cargo FROM articles) USING (doc_id)""",
     CAND_SQL, META_SQL))
 def q_draft_rows(spark, sf_dir):
     arts = P.articles(spark, sf_dir)
@@ -387,7 +387,7 @@ def q_merge_spans(spark, sf_dir):
 @query("excerpt_tables", sql("cells", """
 SELECT doc_id, concat(chr(10), '[TABLE] Formulation table', chr(10),
   string_agg(line, chr(10) ORDER BY row_no)) AS tables
-FROM (SELECT doc_id, row_no, substring(string_agg(cell, ' | ' ORDER BY col_no), 1, 280) AS line FROM cells GROUP BY 1, 2)
+FROM (SELECT doc_id, row_no, string_agg(cell, ' | ' ORDER BY col_no) AS line FROM cells GROUP BY 1, 2)
 GROUP BY 1"""))
 def q_excerpt_tables(spark, sf_dir):
     cells = P.cells(spark, sf_dir)
@@ -429,12 +429,12 @@ def sql_gate(src: str) -> str:
         f"WHEN NOT ({c} BETWEEN {lo} AND {hi}) THEN '{c} out of range'" for c, (lo, hi) in V.RANGES.items())
     named = f"{_NAME} <> '' AND trim(name) <> '{V.UNNAMED}'"
     return f"""
-    SELECT *, CASE WHEN ee IS NULL THEN 'no outcome' WHEN NOT (ee BETWEEN 0 AND 100) THEN 'outcome out of range'
+    SELECT *, CASE WHEN src_flat IS NULL THEN 'no source document' WHEN ee IS NULL THEN 'no outcome' WHEN NOT (ee BETWEEN 0 AND 100) THEN 'outcome out of range'
       WHEN NOT ({sql_found_number('ee')}) THEN 'outcome not in text' WHEN ratio_reason IS NOT NULL THEN ratio_reason
       WHEN bad IS NOT NULL THEN concat('malformed ratio: ', bad) WHEN NOT {FOUND_RATIO} THEN 'ratio not in text'
       WHEN {named} AND {_NAME} IN {Q.inlist(V.NOT_IONIZABLE)} THEN 'not an ionizable name'
       WHEN {named} AND NOT ({FOUND_NAME}) THEN 'name not in text' {ranges} END AS why
-    FROM (SELECT *, {sql_malformed('ratio')} AS bad, {_WANT} AS want FROM {src}) JOIN src USING (doc_id)"""
+    FROM (SELECT *, {sql_malformed('ratio')} AS bad, {_WANT} AS want FROM {src}) LEFT JOIN src USING (doc_id)"""
 
 
 GATE_SQL = f"""
@@ -467,7 +467,7 @@ harv AS (
             THEN '{V.UNNAMED}' ELSE trim(name) END AS nm,
           regexp_matches(evidence, {lit(V.APPROXIMATE)}) AS approx, {sql_cascade('cargo_claim', 'a.title', 'body')} AS cargo,
           CASE WHEN doi <> '' THEN doi ELSE concat('PMC', reduced.doc_id) END AS study
-        FROM reduced JOIN articles a ON a.doc_id = reduced.doc_id JOIN meta ON meta.doc_id = reduced.doc_id))"""
+        FROM reduced LEFT JOIN articles a ON a.doc_id = reduced.doc_id LEFT JOIN meta ON meta.doc_id = reduced.doc_id))"""
 HARVEST_COLS = ["claim_id", "study", "name", "generic_name", "ratio", "ee", "np", "ph", "size", "pdi",
                 "zeta", "approx", "cargo", "grade", "repair_note"]
 
@@ -522,13 +522,13 @@ def q_harvest_job(spark, sf_dir):
 
 @query("audit_stored_rows", sql("claims articles", f"""
 SELECT claim_id, rv AS ratio_verdict, ev AS ee_verdict, nv AS name_verdict,
-  CASE WHEN nv = 'not_ionizable' OR rv = 'not_found' THEN 'drop'
+  CASE WHEN nv = 'no source document' OR nv = 'not_ionizable' OR rv = 'not_found' THEN 'drop'
        WHEN rv = 'wrong_order' OR ev <> 'ok' OR nv <> 'ok' THEN 'fix' ELSE 'keep' END AS overall
-FROM (SELECT claim_id, CASE WHEN len(list_filter(src_ratios, lambda g: g = want)) > 0 THEN 'ok'
+FROM (SELECT claim_id, CASE WHEN src_flat IS NULL THEN 'no source document' WHEN len(list_filter(src_ratios, lambda g: g = want)) > 0 THEN 'ok'
         WHEN len(list_filter(src_ratios, lambda g: list_sort(g) = list_sort(want))) > 0 THEN 'wrong_order' ELSE 'not_found' END AS rv,
-      CASE WHEN ee IS NOT NULL AND {sql_found_number('ee')} THEN 'ok' ELSE 'not_found' END AS ev,
-      CASE WHEN {_NAME} IN {Q.inlist(V.NOT_IONIZABLE)} THEN 'not_ionizable' WHEN {FOUND_NAME} THEN 'ok' ELSE 'not_found' END AS nv
-  FROM (SELECT *, {_WANT} AS want FROM claims) JOIN src USING (doc_id))""", INDEX_SQL))
+      CASE WHEN src_flat IS NULL THEN 'no source document' WHEN ee IS NOT NULL AND {sql_found_number('ee')} THEN 'ok' ELSE 'not_found' END AS ev,
+      CASE WHEN src_flat IS NULL THEN 'no source document' WHEN {_NAME} IN {Q.inlist(V.NOT_IONIZABLE)} THEN 'not_ionizable' WHEN {FOUND_NAME} THEN 'ok' ELSE 'not_found' END AS nv
+  FROM (SELECT *, {_WANT} AS want FROM claims) LEFT JOIN src USING (doc_id))""", INDEX_SQL))
 def q_audit_stored_rows(spark, sf_dir):
     out = G.audit(P.claims(spark, sf_dir), P.articles(spark, sf_dir))
     return out.select("claim_id", "ratio_verdict", "ee_verdict", "name_verdict", "overall")

@@ -182,12 +182,12 @@ colon AS (SELECT *, translate(ratio_raw, '/;|', ':::') AS ratio FROM form)"""
 BATCH_COLS = "study_big, ratio, outcome_raw, name_raw, peg_name, cargo_raw, part_no, line_no"
 BATCH = f"""
 batch AS (
-  SELECT row_id, {BATCH_COLS} FROM colon WHERE order_no % 10 = 0
+  SELECT row_id, {BATCH_COLS} FROM colon
   UNION ALL
   SELECT concat(row_id, '-r'), study_big,
          concat_ws(':', p[2], p[1], array_to_string(list_slice(p, 3, len(p)), ':')),
          outcome_raw, name_raw, peg_name, cargo_raw, part_no, line_no
-  FROM (SELECT *, string_split(ratio, ':') AS p FROM colon WHERE order_no % 10 = 0 AND line_no = 1)
+  FROM (SELECT *, string_split(ratio, ':') AS p FROM colon WHERE line_no = 1)
   WHERE len(p) >= 3)"""
 
 STORE = """
@@ -217,15 +217,9 @@ def hash_share(e: str, k: int) -> str:
 
 
 def folds(src: str = "rows0", k: int = 5) -> str:
-    """CTE sized/folded over a relation with columns study, ..."""
+    """CTE folded over a relation with columns study, ..."""
     return f"""
-dealt AS (
-  SELECT study, CASE WHEN (pos // {k}) % 2 = 0 THEN pos % {k} ELSE {k - 1} - pos % {k} END AS dealt
-  FROM (SELECT study, row_number() OVER (ORDER BY count(*) DESC, study) - 1 AS pos
-        FROM {src} GROUP BY study) WHERE pos < 1000),
-folded AS (
-  SELECT {src}.*, cast(coalesce(dealt, {hash_share('study', k)}) as bigint) AS fold
-  FROM {src} LEFT JOIN dealt USING (study))"""
+folded AS (SELECT {src}.*, cast({hash_share('study', k)} as bigint) AS fold FROM {src})"""
 
 
 def oof(study: str = "study_big") -> str:
@@ -287,7 +281,8 @@ CLAIMS = f"""
 claims0 AS (
   SELECT doc_id AS k, v, 40 + doc_id % 15 AS a, 5 + doc_id % 10 AS b,
          concat(30 + doc_id % 9, '.5') AS c
-  FROM documents, range(10) t(v) WHERE doc_id % 8 IN (0, 1, 7)),
+  FROM (SELECT doc_id FROM documents WHERE doc_id % 8 IN (0, 1, 7)
+        UNION ALL SELECT 1000000000 + doc_id FROM documents WHERE doc_id % 40 = 0), range(10) t(v)),
 claims AS (
   SELECT concat(k, '-', v) AS claim_id, k AS doc_id, v AS variant,
     CASE WHEN v = 3 THEN 'DSPC' WHEN v = 5 THEN 'FTT5' WHEN k % 11 = 0 THEN 'cationic lipid'

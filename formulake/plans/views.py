@@ -22,7 +22,6 @@ PEGS = ["DMG-PEG", "PEG-DMG", "DMG-PEG2000", "C14-PEG 2000"]
 CARGOS = ["mRNA", "siRNA", "m-RNA", "plasmid DNA", "protein", "ovalbumin", "", "Curcumin"]
 ARTICLE_NAMES = ["SM-102", "ALC-0315", "MC3", "DLin-MC3-DMA", "C12-200", "Lipid 5"]
 ARTICLE_CARGOS = ["mRNA", "siRNA", "plasmid", "peptide", "antisense oligo"]
-SPREAD_LIMIT = 64
 FILLER = "blank filler words without any number "
 
 
@@ -30,12 +29,8 @@ STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; a scan with fewer splits than cores is spread over all of them."""
-    df = tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < min(cores, SPREAD_LIMIT):
-        df = df.repartition(min(cores, SPREAD_LIMIT))
-    return df
+    """A given table; spark.sql.files.maxPartitionBytes decides its splits."""
+    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stored(name: str):
@@ -147,10 +142,10 @@ def colon(df: DataFrame) -> DataFrame:
 
 
 def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Incoming rows: every tenth order, plus copies with two components swapped."""
+    """Incoming rows: all orders, plus copies of first lines with two components swapped."""
     cols = ["row_id", "study_big", "ratio", "outcome_raw", "name_raw", "peg_name", "cargo_raw",
             "part_no", "line_no"]
-    rows = colon(form(spark, sf_dir)).where(F.col("order_no") % 10 == 0).select(*cols)
+    rows = colon(form(spark, sf_dir)).select(*cols)
     part = F.split("ratio", ":")
     swapped = F.concat_ws(
         ":", F.get(part, F.lit(1)), F.get(part, F.lit(0)), F.slice(part, F.lit(3), F.size(part))
@@ -256,11 +251,15 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten claims per article that has a ratio and an outcome: true and altered ones."""
+    """Ten claims per article that has a ratio and an outcome: true and altered ones.
+
+    A few more name documents that don't exist.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id")
     k = F.col("doc_id")
     v = F.col("variant")
-    rows = docs.where((k % 8).isin(0, 1, 7)).withColumn(
+    missing = docs.where(k % 40 == 0).select((1000000000 + k).alias("doc_id"))
+    rows = docs.where((k % 8).isin(0, 1, 7)).unionByName(missing).withColumn(
         "variant", F.explode(F.sequence(F.lit(0), F.lit(9)))
     )
     a, b, c = text(40 + k % 15), text(5 + k % 10), F.concat(text(30 + k % 9), F.lit(".5"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -29,12 +30,18 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def build_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "16g") -> SparkSession:
-    """Local session for tests and the benchmark; clusters bring their own."""
+    """Local session for tests and the benchmark, with a scratch folder that ends with the process.
+
+    Clusters bring their own session and name a shared folder in spark.checkpoint.dir.
+    """
+    scratch = tempfile.TemporaryDirectory(prefix="formulake-", ignore_cleanup_errors=True)
+    atexit.register(scratch.cleanup)
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("formulake")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", memory)
+        .config("spark.checkpoint.dir", scratch.name)
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
@@ -43,20 +50,21 @@ def build_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "16g
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
+    """The folder every executor can reach, as the session names it in spark.checkpoint.dir.
 
-    Only a local master without that setting falls back to a folder of its own.
+    A session on a local master that names none gets one for its own use.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="formulake-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    scratch = tempfile.TemporaryDirectory(prefix="formulake-", ignore_cleanup_errors=True)
+    atexit.register(scratch.cleanup)
+    spark.conf.set("spark.checkpoint.dir", scratch.name)
+    return scratch.name
 
 
 def new_path(spark: SparkSession, label: str) -> str:
