@@ -282,7 +282,7 @@ claims0 AS (
   SELECT doc_id AS k, v, 40 + doc_id % 15 AS a, 5 + doc_id % 10 AS b,
          concat(30 + doc_id % 9, '.5') AS c
   FROM (SELECT doc_id FROM documents WHERE doc_id % 8 IN (0, 1, 7)
-        UNION ALL SELECT 1000000000 + doc_id FROM documents WHERE doc_id % 40 = 0), range(10) t(v)),
+        UNION ALL SELECT 1000000002 + doc_id FROM documents WHERE doc_id % 40 = 0), range(10) t(v)),
 claims AS (
   SELECT concat(k, '-', v) AS claim_id, k AS doc_id, v AS variant,
     CASE WHEN v = 3 THEN 'DSPC' WHEN v = 5 THEN 'FTT5' WHEN k % 11 = 0 THEN 'cationic lipid'

@@ -258,7 +258,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id")
     k = F.col("doc_id")
     v = F.col("variant")
-    missing = docs.where(k % 40 == 0).select((1000000000 + k).alias("doc_id"))
+    missing = docs.where(k % 40 == 0).select((1000000002 + k).alias("doc_id"))
     rows = docs.where((k % 8).isin(0, 1, 7)).unionByName(missing).withColumn(
         "variant", F.explode(F.sequence(F.lit(0), F.lit(9)))
     )
