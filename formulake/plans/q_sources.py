@@ -22,7 +22,7 @@ def scan_csv_encodings(spark, sf_dir):
     folders = []
     for i, encoding in enumerate(S.ENCODINGS):
         folders.append(new_path(spark, f"csv{i}"))
-        (rows.where(F.col("order_no") % 3 == i).drop("order_no").write.option("header", True)
+        (rows.where(F.col("order_no") % 3 == i).drop("order_no").write.options(header=True, escape='"')
          .option("encoding", encoding).csv(folders[-1]))
     schema = T.StructType([T.StructField(c, T.StringType()) for c in rows.columns[:3]])
     return S.read_csv_any(spark, folders, schema)
@@ -48,11 +48,11 @@ def scan_merge_files(spark, sf_dir):
         mine = F.col("order_no") % 3 == i
         if i == 2:
             mine = mine | ((F.col("order_no") % 3 == 0) & (F.col("line_no") == 1))
-        folder = new_path(spark, f"person{i}")
+        folder = f"{new_path(spark, 'upload')}/person{i}"
         rows.where(mine).select(
             "row_id", F.col("study_big").alias(names[0]), F.col("ratio").alias(names[1]),
             F.col("outcome_raw").alias(names[2]),
-        ).write.option("header", True).csv(folder)
+        ).write.option("header", True).option("escape", '"').csv(folder)
         folders.append(folder)
     keys = ["reference_doi", "lipid_molar_ratio", "encapsulation_efficiency_percent_std_num"]
     return S.merge_files(spark, folders, keys, "row_id")
@@ -124,16 +124,19 @@ def scan_lookup_json(spark, sf_dir):
 def sink_csv_export(spark, sf_dir):
     path = new_path(spark, "export")
     S.export_csv(P.colon(P.form(spark, sf_dir)).select(*UPLOAD), path)
-    return spark.read.option("header", True).csv(path).select(*UPLOAD)
-
-
-XML_SQL = sql("articles cells", rf"""
-SELECT a.doc_id, concat('10.5555/st.', a.doc_id) AS doi, title,
-       cast(2 as bigint) AS n_sections,
-       cast(length(trim(regexp_replace(concat(title, ' ', x), '[\s\x00-\x08\x0b\x0c\x0e-\x1f]+', ' ', 'g'))) as bigint) AS n_body,
-       coalesce(n_tables, 0) AS n_tables, coalesce(n_cells, 0) AS n_cells
-FROM (SELECT *, body AS x FROM articles) a LEFT JOIN
-     (SELECT doc_id, count(DISTINCT tbl_no) AS n_tables, count(*) AS n_cells FROM cells GROUP BY 1) c
+    return spark.read.options(**S.CSV).csv(path).select(*UPLOAD)
+
+
+XML_SQL = sql("articles cells", r"""
+SELECT a.doc_id, concat('10.5555/st.', a.doc_id) AS doi, t AS title, cast(3 as bigint) AS n_sections,
+       md5(concat('Summary ', t, ' Text ', concat_ws(' ', 'Deep', nullif(x, '')))) AS body_digest,
+       coalesce(n_tables, 0) AS n_tables, cells_digest
+FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(title, '[\x00-\x08\x0b\x0c\x0e-\x1f]', ' ', 'g'), '\s+', ' ', 'g')) AS t,
+             trim(regexp_replace(regexp_replace(body, '[\x00-\x08\x0b\x0c\x0e-\x1f]', ' ', 'g'), '\s+', ' ', 'g')) AS x
+      FROM articles) a LEFT JOIN
+     (SELECT doc_id, count(DISTINCT tbl_no) AS n_tables,
+             md5(string_agg(trim(regexp_replace(cell, '\s+', ' ', 'g')), '|' ORDER BY tbl_no, row_no, col_no)) AS cells_digest
+      FROM cells GROUP BY 1) c
   USING (doc_id)""")
 
 
@@ -151,20 +154,24 @@ def write_articles_xml(spark, sf_dir) -> str:
     lines = cells.groupBy("doc_id", "tbl_no", "row_no").agg(
         F.array_sort(F.collect_list(F.struct("col_no", "cell"))).alias("cs")
     ).select("doc_id", "tbl_no", "row_no", F.concat(F.lit("<tr>"), F.array_join(F.transform(
-        "cs", lambda c: F.concat(F.lit("<td>"), esc(c["cell"]), F.lit("</td>"))), ""),
+        "cs", lambda c: F.concat(
+            F.when(F.col("row_no") == 0, "<th>").otherwise("<td>"), F.lit("<bold>"), esc(c["cell"]), F.lit("</bold>"),
+            F.when(F.col("row_no") == 0, "</th>").otherwise("</td>"))), ""),
         F.lit("</tr>")).alias("tr"))
     tables = lines.groupBy("doc_id", "tbl_no").agg(
         F.array_sort(F.collect_list(F.struct("row_no", "tr"))).alias("rs")
     ).groupBy("doc_id").agg(F.array_join(F.collect_list(F.concat(
-        F.lit("<table-wrap><caption>Formulation table</caption>"),
-        F.array_join(F.col("rs.tr"), ""), F.lit("</table-wrap>"))), "").alias("tables"))
+        F.lit("<table-wrap><caption><p>Formulation table</p></caption><table><tbody>"),
+        F.array_join(F.col("rs.tr"), ""), F.lit("</tbody></table></table-wrap>"))), "").alias("tables"))
     xml = arts.join(tables, "doc_id", "left").select(F.concat(
-        F.lit("<article><doc_id>"), F.col("doc_id").cast("string"),
-        F.lit("</doc_id><doi>10.5555/st."), F.col("doc_id").cast("string"),
-        F.lit("</doi><title>"), esc(F.col("title")), F.lit("</title><body>"),
+        F.lit("<article><front><article-meta><article-id pub-id-type='pmcid'>PMC"), F.col("doc_id").cast("string"),
+        F.lit("</article-id><article-id pub-id-type='doi'>10.5555/st."), F.col("doc_id").cast("string"),
+        F.lit("</article-id><title-group><article-title>"), esc(F.col("title")),
+        F.lit("</article-title></title-group></article-meta></front><body>"),
         F.lit("<sec><title>Summary</title><p>"), esc(F.col("title")), F.lit("</p></sec>"),
-        F.lit("<sec><title>Text</title><p>"), esc(F.translate("body", "\n\r", "  ")),
-        F.lit("</p></sec></body>"), F.coalesce("tables", F.lit("")), F.lit("</article>"),
+        F.lit("<sec><title>Text</title><sec><title>Deep</title><p><italic>"), esc(F.translate("body", "\n\r", "  ")),
+        F.lit("</italic></p></sec></sec></body><floats-group>"), F.coalesce("tables", F.lit("")),
+        F.lit("</floats-group></article>"),
     ))
     path = new_path(spark, "xml")
     xml.write.text(path)
@@ -173,13 +180,12 @@ def write_articles_xml(spark, sf_dir) -> str:
 
 @query("scan_article_xml", XML_SQL)
 def scan_article_xml(spark, sf_dir):
-    arts = A.parse_article_xml(spark.read.text(write_articles_xml(spark, sf_dir)), "value")
-    n_cells = F.aggregate("tables", F.lit(0), lambda a, t: a + F.aggregate(
-        t["rows"], F.lit(0), lambda b, r: b + F.size(r)))
+    arts = A.read_article_xml(spark, write_articles_xml(spark, sf_dir))
+    cells = F.flatten(F.flatten(F.transform("tables", lambda t: t["rows"])))
     return arts.select(
-        "doc_id", "doi", "title", F.size("sections").cast("bigint").alias("n_sections"),
-        F.length(A.squeeze(F.col("body"))).cast("bigint").alias("n_body"),
-        F.size("tables").cast("bigint").alias("n_tables"), n_cells.cast("bigint").alias("n_cells"),
+        F.col("pmc_id").cast("bigint").alias("doc_id"), "doi", "title", F.size("sections").cast("bigint").alias("n_sections"),
+        F.md5("body").alias("body_digest"), F.size("tables").cast("bigint").alias("n_tables"),
+        F.when(F.size("tables") > 0, F.md5(F.array_join(cells, "|"))).alias("cells_digest"),
     )
 
 

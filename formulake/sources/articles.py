@@ -2,49 +2,81 @@
 
 from __future__ import annotations
 
+import re
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ARTICLE_SCHEMA = """
-  doc_id BIGINT, doi STRING, title STRING,
-  body STRUCT<sec: ARRAY<STRUCT<title: STRING, p: ARRAY<STRING>>>>,
-  `table-wrap` ARRAY<STRUCT<caption: STRING, tr: ARRAY<STRUCT<td: ARRAY<STRING>>>>>
-"""
+ARTICLE = (
+    "pmc_id string, doi string, title string, sections array<struct<title:string,text:string>>, "
+    "body string, tables array<struct<caption:string,rows:array<array<string>>>>, figures array<string>"
+)
+PMC_KINDS = ("pmc", "pmcid", "pmcaid")
 
 
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def inner_text(node: ElementTree.Element | None) -> str:
+    """All text inside an element, inline markup dropped, white space evened out."""
+    return "" if node is None else re.sub(r"\s+", " ", "".join(node.itertext())).strip()
+
+
+def block_text(node: ElementTree.Element | None) -> str:
+    """Text of a container whose child elements are blocks of their own."""
+    if node is None:
+        return ""
+    if node.tag in ("p", "title", "td", "th", "caption", "label") or not len(node):
+        return inner_text(node)
+    return " ".join(filter(None, [(node.text or "").strip(), *(block_text(child) for child in node)]))
+
+
+def article_of(xml: str | None) -> dict:
+    """The fields of one JATS article; all null where the text is no well-formed element."""
+    try:
+        root = ElementTree.fromstring(xml or "")
+    except ElementTree.ParseError:
+        return dict.fromkeys(["pmc_id", "doi", "title", "sections", "body", "tables", "figures"])
+    ids = {(i.get("pub-id-type") or ""): (i.text or "").strip() for i in reversed(root.findall(".//article-id"))}
+    pmc = next((ids[k].removeprefix("PMC") for k in PMC_KINDS if k in ids), None)
+    sections = [
+        {"title": inner_text(s.find("./title")), "text": block_text(s)} for s in root.findall(".//body//sec")
+    ]
+    tables = [
+        {"caption": block_text(t.find(".//caption")), "rows": [
+            [inner_text(c) for c in row if c.tag in ("td", "th")] for row in t.findall(".//tr")]}
+        for t in root.findall(".//table-wrap")
+    ]
+    return {
+        "pmc_id": pmc, "doi": ids.get("doi"), "title": inner_text(root.find(".//article-title")),
+        "sections": sections, "body": block_text(root.find(".//body")), "tables": tables,
+        "figures": [block_text(f.find(".//caption")) for f in root.findall(".//fig")],
+    }
+
+
+NAMES = [c.split()[0] for c in ARTICLE.split(", ")]
+
+
+def parsed_articles(xml: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([article_of(x) for x in xml], columns=NAMES)
+
+
 def read_article_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Article set files: one root element per file, one row per article element."""
-    return shape_articles(
-        spark.read.format("xml").option("rowTag", "article").schema(ARTICLE_SCHEMA).load(path)
-    )
+    """Article set files: one row per article element, whatever else is in the file."""
+    pieces = spark.read.option("lineSep", "</article>").text(path)
+    whole = F.concat(F.regexp_extract("value", r"(?s)(<article[\s>].*)$", 1), F.lit("</article>"))
+    return parse_article_xml(pieces.where(F.col("value").rlike(r"<article[\s>]")).select(whole.alias("xml")), "xml")
 
 
 def parse_article_xml(df: DataFrame, xml: str) -> DataFrame:
-    """One article per row of a text column."""
-    return shape_articles(df.select(F.from_xml(xml, ARTICLE_SCHEMA).alias("a")).select("a.*"))
-
-
-def shape_articles(raw: DataFrame) -> DataFrame:
-    """Title, sections, whole body text and tables as nested rows."""
-    secs = F.coalesce(F.col("body.sec"), F.array().cast("array<struct<title:string,p:array<string>>>"))
-    sections = F.transform(secs, lambda s: F.struct(
-        squeeze(s["title"]).alias("title"),
-        squeeze(F.array_join(F.coalesce(s["p"], F.array().cast("array<string>")), " ")).alias("text"),
-    ))
-    tables = F.transform(F.col("table-wrap"), lambda t: F.struct(
-        squeeze(t["caption"]).alias("caption"),
-        F.transform(t["tr"], lambda r: r["td"]).alias("rows"),
-    ))
-    return raw.select(
-        "doc_id", "doi", squeeze(F.col("title")).alias("title"), sections.alias("sections"),
-        F.array_join(F.transform(sections, lambda s: s["text"]), " ").alias("body"),
-        F.coalesce(tables, F.array().cast(
-            "array<struct<caption:string,rows:array<array<string>>>>")).alias("tables"),
-    )
+    """The other columns and the article of each row: ids, title, sections at any depth, whole
+    body, tables of td and th cells, figure captions."""
+    parse = F.pandas_udf(parsed_articles, ARTICLE)
+    return df.withColumn("_a", parse(F.col(xml))).select(
+        *[c for c in df.columns if c != xml], "_a.*")
 
 
 def table_cells(articles: DataFrame) -> DataFrame:

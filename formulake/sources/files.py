@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from formulake import vocab as V
 from formulake.operators.groups import first_rows
+from formulake.session import new_path
 
 # The encodings tried, in order, and their Java names.
 ENCODINGS = ["UTF-8", "x-windows-949", "ISO-8859-1"]
@@ -41,15 +42,28 @@ def classify_encodings(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
 
 
-def read_csv_any(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
-    """CSV files of mixed encodings as one table; only file names reach the driver."""
+# Quotes are doubled inside quoted fields, which may hold line breaks; records that don't fit are
+# kept in a column of their own where the schema has it.
+CSV = {"header": "true", "escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}
+BROKEN = "_corrupt_record"
+
+
+def read_csv_any(
+    spark: SparkSession, paths: list[str], schema: T.StructType, keep_broken: bool = False
+) -> DataFrame:
+    """CSV files of mixed encodings as one table; only file names reach the driver.
+
+    With ``keep_broken`` a column holds the text of each record that the schema doesn't fit.
+    """
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    if keep_broken:
+        schema = T.StructType([*schema.fields, T.StructField(BROKEN, T.StringType())])
     by_encoding: dict[str, list[str]] = {}
     for row in classify_encodings(spark, paths).collect():
         by_encoding.setdefault(row["encoding"], []).append(row["path"])
     parts = [
-        spark.read.schema(schema).option("header", True).option("encoding", encoding)
-        .option("mode", "PERMISSIVE").csv(sorted(files))
+        spark.read.schema(schema).options(**CSV, columnNameOfCorruptRecord=BROKEN)
+        .option("encoding", encoding).csv(sorted(files))
         for encoding, files in sorted(by_encoding.items())
     ]
     out = parts[0]
@@ -92,11 +106,16 @@ def align_report(columns: list[str]) -> list[tuple[str, str]]:
 
 
 def merge_files(spark: SparkSession, folders: list[str], keys: list[str], order: str) -> DataFrame:
-    """Contributors' CSV folders as one table: headers aligned, source tagged, first row kept."""
+    """Contributors' CSV folders as one table: headers aligned, source tagged, first row kept.
+
+    Every folder is read in the encodings its files are in; the source is the folder's name.
+    """
     merged = None
     for folder in folders:
-        part = align_columns(spark.read.option("header", True).csv(folder))
-        part = part.withColumn("source_file", F.lit(re.sub(r"-[0-9a-f]{32}$", "", folder.rsplit("/", 1)[-1])))
+        header = spark.read.options(**CSV).csv(folder).columns
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        part = align_columns(read_csv_any(spark, [folder], schema))
+        part = part.withColumn("source_file", F.lit(folder.rstrip("/").rsplit("/", 1)[-1]))
         merged = part if merged is None else merged.unionByName(part, allowMissingColumns=True)
     present = [k for k in keys if k in merged.columns]
     return first_rows(merged, present, [F.col("source_file"), F.col(order)])
@@ -127,7 +146,10 @@ def expand_payload(df: DataFrame, payload: str, schema: T.StructType) -> DataFra
 
 
 def infer_payload_schema(df: DataFrame, payload: str) -> T.StructType:
-    return df.sparkSession.read.json(df.select(payload).rdd.map(lambda r: r[0])).schema
+    """Schema of JSON documents, merged over all rows without leaving the JVM."""
+    path = new_path(df.sparkSession, "payload")
+    df.select(F.col(payload).alias("value")).write.text(path)
+    return df.sparkSession.read.json(path).schema
 
 
 def to_payload(df: DataFrame, key: str) -> DataFrame:
@@ -177,4 +199,5 @@ def append_table(df: DataFrame, path: str) -> None:
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).option("quoteAll", True).csv(path)
+    """Quoted fields, quotes inside them doubled, line breaks kept."""
+    df.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)

@@ -115,3 +115,45 @@ def test_encodings_are_told_apart(spark, tmp_path):
     rows = classify_encodings(spark, [str(tmp_path)]).collect()
     got = {r["path"].rsplit("/", 1)[-1]: r["encoding"] for r in rows}
     assert got == {"u.csv": "UTF-8", "k.csv": "x-windows-949", "l.csv": "ISO-8859-1"}
+
+
+JATS = """<article><front><article-meta>
+<article-id pub-id-type="pmcid">PMC12</article-id><article-id pub-id-type="doi"> 10.1/x </article-id>
+<title-group><article-title>A <italic>good</italic> title</article-title></title-group></article-meta></front>
+<body><sec><title>One</title><p>first <italic>two</italic> three</p><sec><title>Deep</title><p>inner</p></sec></sec>
+<fig id="f"><caption><p>A figure.</p></caption></fig></body>
+<floats-group><table-wrap><caption><p>A table</p></caption><table><thead><tr><th>a</th><th>b</th></tr></thead>
+<tbody><tr><td>1</td><td><bold>2</bold>x</td></tr></tbody></table></table-wrap></floats-group></article>"""
+
+
+def test_journal_articles(spark, tmp_path):
+    from formulake.sources import articles as A
+
+    (tmp_path / "set.xml").write_text(f"<?xml version='1.0'?><set>{JATS}\n{JATS.replace('PMC12', 'PMC13')}</set>")
+    rows = {r.pmc_id: r for r in A.read_article_xml(spark, str(tmp_path)).collect()}
+    assert sorted(rows) == ["12", "13"]
+    one = rows["12"]
+    assert (one.doi, one.title) == ("10.1/x", "A good title")
+    assert [(s.title, s.text) for s in one.sections] == [
+        ("One", "One first two three Deep inner"), ("Deep", "Deep inner")]
+    assert one.body == "One first two three Deep inner A figure." and one.figures == ["A figure."]
+    assert one.tables[0].caption == "A table" and one.tables[0].rows == [["a", "b"], ["1", "2x"]]
+    broken = A.parse_article_xml(spark.createDataFrame([(1, "<article><p>"), (2, None)], "k int, xml string"), "xml")
+    assert [r.title for r in broken.orderBy("k").collect()] == [None, None]
+    cells = A.table_cells(A.read_article_xml(spark, str(tmp_path)).withColumnRenamed("pmc_id", "doc_id"))
+    assert cells.count() == 8
+
+
+def test_csv_as_people_write_it(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from formulake.sources import files as S
+
+    (tmp_path / "a.csv").write_text('k,t\n1,"says ""hi"", twice"\n2,"two\nlines"\nx,bad\n')
+    schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("t", T.StringType())])
+    rows = S.read_csv_any(spark, [str(tmp_path)], schema, keep_broken=True).collect()
+    assert [(r.k, r.t) for r in rows][:2] == [(1, 'says "hi", twice'), (2, "two\nlines")]
+    assert len(rows) == 3 and rows[2]._corrupt_record == "x,bad"
+    out = str(tmp_path / "out")
+    S.export_csv(spark.createDataFrame([(1, 'a "b"\nc')], "k int, t string"), out)
+    assert spark.read.options(**S.CSV).csv(out).first().t == 'a "b"\nc'
