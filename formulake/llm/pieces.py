@@ -39,11 +39,11 @@ from formulake.llm.common import small_batches
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-KNOWN_WORDS = 400_000  # words that a worker remembers before it starts again
-KNOWN_PAIRS = 4_000_000
-BATCH = 2000  # texts that are indexed together
+KNOWN_WORDS = 500_000  # words that a worker remembers before it starts again
+KNOWN_PAIRS = 2_000_000
+BATCH = 1000  # texts that are indexed together
 LONG_WORD = 20_000  # characters from which a word is merged directly
-INDEXED = 600_000  # characters that are indexed at once
+INDEXED = 300_000  # characters that are indexed at once
 SEPARATOR = "\0"
 NONE = -1
 
@@ -71,10 +71,27 @@ class Model:
         # single characters and pieces that merging leaves whole can stand in a result
         self.whole = {t: i for t, i in self.ids.items() if len(t) == 1 or self.merged(t) == [t]}
         self.longest = max(map(len, self.whole))
-        self.known: dict[str, np.ndarray] = {}
-        self.pairs: dict[int, bool] = {}
+        self.whole_ids = np.array(list(self.whole.values()), np.int64)
+        self.whole_sizes = np.array([len(t) for t in self.whole], np.int64)
+        self.whole_codes = np.zeros((len(self.whole), self.longest), np.uint32)
+        for k, text in enumerate(self.whole):
+            self.whole_codes[k, : len(text)] = [ord(c) for c in text]
+        self.forget()
+        self.pair_keys, self.pair_answers = np.zeros(0, np.int64), np.zeros(0, bool)
         self._tree()
 
+    def forget(self) -> None:
+        """Starts with no known word; their ids stand one behind the other in ``flat``."""
+        self.known: dict[str, int] = {}
+        self.flat: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+
+    def remember(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        first = len(self.known)
+        self.known.update(zip(words, range(first, first + len(words))))
+        self.flat.append(ids.astype(np.int32))
+        self.sizes.append(sizes)
+
     def merged(self, word: str, keep: int = 1) -> list[str]:
         """Pieces that merging leaves: always the best ranked pair, the leftmost of equals.
 
@@ -118,9 +135,6 @@ class Model:
         the piece grows; a merge across the border wins if both its sides are there at a time
         and its rank is before the ranks of the merges that swallow them. A tie goes to the left.
         """
-        key = first << 20 | second
-        if (known := self.pairs.get(key)) is not None:
-            return known
         sides = []
         for text, part in ((self.texts[first], self.right), (self.texts[second], self.left)):
             spine = [(text, np.inf)]  # each with the rank of the merge that swallows it
@@ -129,7 +143,6 @@ class Model:
                 text = part[text]
                 spine.append((text, rank))
             sides.append(spine)
-        out = True
         for a, a_end in sides[0]:
             for b, b_end in sides[1]:
                 cross = self.rank.get(a + b)
@@ -137,31 +150,36 @@ class Model:
                     continue
                 born = max(self.rank[a] if len(a) > 1 else -1, self.rank[b] if len(b) > 1 else -1)
                 if min(a_end, b_end) > born:  # both are there at some time
-                    out = False
-        if len(self.pairs) >= KNOWN_PAIRS:
-            self.pairs.clear()
-        self.pairs[key] = out
-        return out
+                    return False
+        return True
 
     # -- encoding ----------------------------------------------------------------------------
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Ids of whole texts."""
-        words = [
-            None if t is None else WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts
-        ]
-        new = {w for row in words if row for w in row if w not in self.known}
+        rows = [WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        words = [w for row in rows for w in row]
+        new = set(words) - self.known.keys()
         if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known.clear()
-            new = {w for row in words if row for w in row}
-        odd = {w for w in new if MARK * 2 in w or SEPARATOR in w or len(w) > LONG_WORD}
-        for word in odd:
-            self.known[word] = self.spelled(self.merged(word))
-        self.learn(sorted(new - odd))
-        empty = np.zeros(0, np.int32)
-        known = self.known
+            self.forget()
+            new = set(words)
+        odd = sorted(w for w in new if MARK * 2 in w or SEPARATOR in w or len(w) > LONG_WORD)
+        if odd:
+            spelled = [self.spelled(self.merged(w)) for w in odd]
+            self.remember(odd, np.array([len(x) for x in spelled], np.int64), np.concatenate(spelled))
+        self.learn(sorted(new.difference(odd)))
+        if not words:
+            return [None if t is None else np.zeros(0, np.int32) for t in texts]
+        self.flat, self.sizes = [np.concatenate(self.flat)], [np.concatenate(self.sizes)]
+        flat, sizes = self.flat[0], self.sizes[0]
+        first = np.cumsum(sizes) - sizes
+        which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        counts = sizes[which]
+        ends = np.cumsum(counts)
+        ids = flat[np.arange(ends[-1]) + np.repeat(first[which] - ends + counts, counts)]
+        cuts = np.concatenate(([0], ends))[np.cumsum([0, *map(len, rows)])]
         return [
-            None if row is None else np.concatenate([known[w] for w in row]) if row else empty for row in words
+            None if t is None else ids[a:b] for t, a, b in zip(texts, cuts[:-1].tolist(), cuts[1:].tolist())
         ]
 
     def spelled(self, parts: list[str]) -> np.ndarray:
@@ -203,7 +221,7 @@ class Model:
         before = np.full(len(joined) + 1, NONE, np.int64)  # where that piece begins
         offset = np.arange(len(joined) + 1)
         offset -= np.repeat(np.append(starts, len(joined)), np.append(lengths + 1, 1))
-        order = np.lexsort((begin, offset[begin]))
+        order = np.argsort(offset[begin] * len(joined) + begin)
         begin, piece, size = begin[order], piece[order], size[order]
         cuts = np.searchsorted(offset[begin], np.arange(int(lengths.max()) + 1))
         for a, b in zip(cuts[:-1], cuts[1:]):
@@ -224,21 +242,18 @@ class Model:
         keys = np.ascontiguousarray(windows).view(f"S{2 * self.longest}").reshape(-1)
         array = np.argsort(keys, kind="stable")
         ordered = keys[array]
-        number = {chr(c): i + 1 for i, c in enumerate(alphabet.tolist())}
-        usable = [(t, i) for t, i in self.whole.items() if all(ch in number for ch in t)]
-        low = np.zeros((len(usable), self.longest), ">u2")
-        for k, (text, _) in enumerate(usable):
-            low[k, : len(text)] = [number[ch] for ch in text]
-        high = low.copy()
-        for k, (text, _) in enumerate(usable):
-            high[k, len(text) :] = 65535
+        # pieces in the batch's alphabet; one that has a character from outside can't occur
+        place = np.searchsorted(alphabet, self.whole_codes).clip(max=len(alphabet) - 1)
+        filled = self.whole_codes > 0
+        usable = ((alphabet[place] == self.whole_codes) | ~filled).all(axis=1)
+        low = np.where(filled, place + 1, 0)[usable].astype(">u2")
+        high = np.where(filled, place + 1, 65535)[usable].astype(">u2")
         kind = f"S{2 * self.longest}"
-        first = np.searchsorted(ordered, low.view(kind).reshape(-1), "left")
-        after = np.searchsorted(ordered, high.view(kind).reshape(-1), "right")
+        first = np.searchsorted(ordered, np.ascontiguousarray(low).view(kind).reshape(-1), "left")
+        after = np.searchsorted(ordered, np.ascontiguousarray(high).view(kind).reshape(-1), "right")
         counts = after - first
         where = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
-        ids = np.array([i for _, i in usable], np.int64)
-        size = np.array([len(t) for t, _ in usable], np.int64)
+        ids, size = self.whole_ids[usable], self.whole_sizes[usable]
         begin = array[where]
         lone = np.flatnonzero(np.isin(codes, [c for c in alphabet.tolist() if chr(c) not in self.whole and c]))
         out = (begin, np.repeat(ids, counts), np.repeat(size, counts))
@@ -251,11 +266,25 @@ class Model:
         out = free & (at_start | (first != NONE))
         ask = np.flatnonzero(~free & (first != NONE))
         pairs, place = np.unique(first[ask] << 20 | second[ask], return_inverse=True)
-        known = self.pairs
-        answers = [
-            known[p] if p in known else self.can_follow(p >> 20, p & 0xFFFFF) for p in pairs.tolist()
-        ]
-        out[ask] = np.array(answers, bool)[place] if len(ask) else False
+        if len(ask):
+            out[ask] = self.answered(pairs)[place]
+        return out
+
+    def answered(self, pairs: np.ndarray) -> np.ndarray:
+        """Whether each of these different pairs can stand; what is new is remembered."""
+        at = np.searchsorted(self.pair_keys, pairs)
+        known = at < len(self.pair_keys)
+        known[known] = self.pair_keys[at[known]] == pairs[known]
+        out = np.zeros(len(pairs), bool)
+        out[known] = self.pair_answers[at[known]]
+        new = pairs[~known]
+        if len(new):
+            out[~known] = [self.can_follow(p >> 20, p & 0xFFFFF) for p in new.tolist()]
+            if len(self.pair_keys) + len(new) > KNOWN_PAIRS:
+                self.pair_keys, self.pair_answers = self.pair_keys[:0], self.pair_answers[:0]
+                at = np.zeros(len(pairs), np.int64)
+            self.pair_answers = np.insert(self.pair_answers, at[~known], out[~known])
+            self.pair_keys = np.insert(self.pair_keys, at[~known], new)
         return out
 
     def trace(self, words, joined, starts, ends, last, before) -> None:
@@ -273,17 +302,24 @@ class Model:
         begin = np.concatenate([b for _, _, b in steps])
         order = np.lexsort((begin, owner))
         owner, piece, begin = owner[order], piece[order], begin[order]
-        cuts = np.searchsorted(owner, np.arange(len(words) + 1))
-        small = piece.astype(np.int32)
+        sizes = np.bincount(owner, minlength=len(words))
         strange = np.unique(owner[piece < NONE])
-        for k, word in enumerate(words):
-            self.known[word] = small[cuts[k] : cuts[k + 1]]
-        for k in strange.tolist():
-            own = range(cuts[k], cuts[k + 1])
-            parts = [
-                self.texts[piece[j]] if piece[j] >= 0 else joined[begin[j]] for j in own
+        if len(strange):  # words with characters that no piece has become bytes there
+            cuts = np.concatenate(([0], np.cumsum(sizes)))
+            plain = ~np.isin(owner, strange)
+            spelled = [
+                self.spelled([
+                    self.texts[piece[j]] if piece[j] >= 0 else joined[begin[j]]
+                    for j in range(cuts[k], cuts[k + 1])
+                ]) for k in strange.tolist()
             ]
-            self.known[words[k]] = self.spelled(parts)
+            self.remember([words[k] for k in strange.tolist()], np.array([len(x) for x in spelled], np.int64),
+                          np.concatenate(spelled))
+            keep = np.ones(len(words), bool)
+            keep[strange] = False
+            words = [w for w, k in zip(words, keep) if k]
+            sizes, piece = sizes[keep], piece[plain]
+        self.remember(words, sizes, piece)
 
     # -- decoding ----------------------------------------------------------------------------
 
