@@ -140,24 +140,31 @@ def to_harvest(claims: DataFrame, articles: DataFrame) -> DataFrame:
     return rows.withColumn("grade", grade).drop("_cargo", "doi")
 
 
-def policy_reason() -> Column:
-    """Unnamed, approximate, not a nucleic acid - in that order."""
+def policy_reason(named: bool = True, exact: bool = True, nucleic: bool = True) -> Column:
+    """Unnamed, approximate, not a nucleic acid - in that order; each rule can be switched off."""
     return (
-        F.when(F.col("name").isin("", V.UNNAMED), "unnamed")
-        .when(F.col("approx"), "approximate outcome")
-        .when(~F.col("cargo").isin(V.NUCLEIC_CARGO), F.concat(F.lit("not nucleic: "), "cargo")))
+        F.when(F.lit(named) & F.col("name").isin("", V.UNNAMED), "unnamed")
+        .when(F.lit(exact) & F.col("approx"), "approximate outcome")
+        .when(F.lit(nucleic) & ~F.col("cargo").isin(V.NUCLEIC_CARGO),
+              F.concat(F.lit("not nucleic: "), "cargo")))
 
 
-def harvest(claims: DataFrame, articles: DataFrame, order: str, strict: bool = False) -> DataFrame:
+def harvest(claims: DataFrame, articles: DataFrame, order: str, strict: bool = False,
+            stored_keys: DataFrame | None = None, **policy: bool) -> DataFrame:
     """The whole verification of claims: schema, gate, duplicates, policy - one flagged table.
 
-    A row is a duplicate when an accepted row with its content key came before it.
+    A row is a duplicate when an accepted row with its content key came before it, or when its
+    key is among those of the stored rows (``content_key``).
     """
     rows = with_source(to_harvest(claims, articles), articles)
     rows = rows.withColumn("_gate", gate_reason(strict)).drop(*SOURCE)
-    rows = rows.withColumn("_policy", F.when(F.col("_gate").isNull(), policy_reason()))
     rows = rows.withColumn("content_key", content_key(
         F.col("study"), F.col("name"), F.col("ratio"), F.col("ee")))
+    if stored_keys is not None:
+        held = stored_keys.select("content_key").distinct().withColumn("_held", F.lit(True))
+        rows = rows.join(held, "content_key", "left").withColumn("_gate", F.coalesce(
+            "_gate", F.when(F.col("_held"), "already stored"))).drop("_held")
+    rows = rows.withColumn("_policy", F.when(F.col("_gate").isNull(), policy_reason(**policy)))
     good = F.col("_gate").isNull() & F.col("_policy").isNull()
     first = rows.where(good).groupBy("content_key").agg(
         F.count("*").alias("_n"), F.min(order).alias("_first"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from formulake import vocab as V
 from formulake.functions.numbers import r6
 from formulake.functions.text import cargo_from_words
+from formulake.functions.ratio import content_key
 from formulake.operators import extract as X
 from formulake.operators import gate as G
 from formulake.operators import joins as J
@@ -520,6 +521,28 @@ def q_harvest_job(spark, sf_dir):
         "grade", "why")
 
 
+KEPT_SQL = f"""
+stored_keys AS (SELECT DISTINCT k FROM keyed WHERE doc_id % 3 = 0),
+piped AS (SELECT * REPLACE (CASE WHEN why IS NULL AND k IN (SELECT k FROM stored_keys) THEN 'already stored' ELSE why END AS why,
+    CASE WHEN why IS NULL AND k NOT IN (SELECT k FROM stored_keys) THEN {POLICY_SQL} END AS pol) FROM keyed),
+firsts2 AS (SELECT k, min(claim_id) AS f FROM piped WHERE why IS NULL AND pol IS NULL GROUP BY k)"""
+
+
+@query("harvest_pipeline", sql("claims articles", """
+SELECT claim_id, study, ratio, ee, grade,
+  CASE WHEN why IS NOT NULL THEN why WHEN claim_id > f THEN 'duplicate' ELSE pol END AS why
+FROM piped LEFT JOIN firsts2 USING (k)""",
+    INDEX_SQL, GATE_SQL.split("gated AS")[0].rstrip().rstrip(","), META_SQL, HARVEST_SQL, JOB_SQL, KEPT_SQL))
+def q_harvest_pipeline(spark, sf_dir):
+    """The harvest against rows that are stored already: those of every third document."""
+    arts = articles_with_doi(spark, sf_dir)
+    claims = P.claims(spark, sf_dir)
+    stored = G.to_harvest(claims.where(F.col("doc_id") % 3 == 0), arts).select(
+        content_key(F.col("study"), F.col("name"), F.col("ratio"), F.col("ee")).alias("content_key"))
+    out = G.harvest(claims, arts, "claim_id", stored_keys=stored)
+    return out.select("claim_id", "study", "ratio", "ee", "grade", "why")
+
+
 @query("audit_stored_rows", sql("claims articles", f"""
 SELECT claim_id, rv AS ratio_verdict, ev AS ee_verdict, nv AS name_verdict,
   CASE WHEN nv = 'no source document' OR nv = 'not_ionizable' OR rv = 'not_found' THEN 'drop'
