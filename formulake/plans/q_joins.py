@@ -313,9 +313,9 @@ FROM claims LEFT JOIN articles USING (doc_id)"""))
 def q_cargo_cascade(spark, sf_dir):
     arts = P.articles(spark, sf_dir)
     found = arts.select("doc_id", cargo_cascade(F.col("title"), F.col("body")).alias("_article"))
-    rows = P.claims(spark, sf_dir).select("claim_id", "doc_id", "cargo_claim").join(found, "doc_id")
+    rows = P.claims(spark, sf_dir).select("claim_id", "doc_id", "cargo_claim").join(found, "doc_id", "left")
     own = cargo_cascade(F.col("cargo_claim"))
-    return rows.select("claim_id", F.coalesce(F.nullif(own, F.lit("other")), F.col("_article")).alias("cargo"))
+    return rows.select("claim_id", F.coalesce(F.nullif(own, F.lit("other")), F.col("_article"), own).alias("cargo"))
 
 
 # ------------------------------------------------------------------ keys and sets
