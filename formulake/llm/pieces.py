@@ -24,13 +24,13 @@ repeated rows; extra columns are kept. Empty tables give empty results.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,6 +157,13 @@ class Model:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Ids of whole texts."""
+        ids, cuts = self.encode_flat(texts)
+        return [
+            None if t is None else ids[a:b] for t, a, b in zip(texts, cuts[:-1].tolist(), cuts[1:].tolist())
+        ]
+
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts one behind the other, and where each text's begin and end."""
         rows = [WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         words = [w for row in rows for w in row]
         new = set(words) - self.known.keys()
@@ -169,7 +176,7 @@ class Model:
             self.remember(odd, np.array([len(x) for x in spelled], np.int64), np.concatenate(spelled))
         self.learn(sorted(new.difference(odd)))
         if not words:
-            return [None if t is None else np.zeros(0, np.int32) for t in texts]
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         self.flat, self.sizes = [np.concatenate(self.flat)], [np.concatenate(self.sizes)]
         flat, sizes = self.flat[0], self.sizes[0]
         first = np.cumsum(sizes) - sizes
@@ -177,10 +184,7 @@ class Model:
         counts = sizes[which]
         ends = np.cumsum(counts)
         ids = flat[np.arange(ends[-1]) + np.repeat(first[which] - ends + counts, counts)]
-        cuts = np.concatenate(([0], ends))[np.cumsum([0, *map(len, rows)])]
-        return [
-            None if t is None else ids[a:b] for t, a, b in zip(texts, cuts[:-1].tolist(), cuts[1:].tolist())
-        ]
+        return ids, np.concatenate(([0], ends))[np.cumsum([0, *map(len, rows)])]
 
     def spelled(self, parts: list[str]) -> np.ndarray:
         """Ids of pieces, bytes for what the model doesn't have."""
@@ -340,16 +344,28 @@ def model_path(name: str = MODEL) -> str:
 # -- Spark -----------------------------------------------------------------------------------
 
 
+def id_lists(texts: pa.Array, path: str) -> pa.Array:
+    """A list of ids for each text, null for null."""
+    ids, cuts = model(path).encode_flat(texts.to_pylist())
+    missing = pa.array(np.append(texts.is_null().to_numpy(zero_copy_only=False), False))
+    offsets = pc.if_else(missing, pa.scalar(None, pa.int32()), pa.array(cuts.astype(np.int32)))
+    return pa.ListArray.from_arrays(offsets, pa.array(ids))
+
+
+def texts_of(ids: pa.Array, path: str) -> pa.Array:
+    """The text of each list of ids, null for null."""
+    own = model(path)
+    return pa.array([None if row is None else own.decode(row) for row in ids.to_pylist()], pa.string())
+
+
 def encoded(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None) -> DataFrame:
     """The table with an array of ids for each text."""
     small_batches(df.sparkSession, BATCH)
     path = path or model_path()
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = model(path)
-        for texts in batches:
-            yield pd.Series(own.encode([None if pd.isna(t) else t for t in texts]), dtype=object)
+    @F.arrow_udf("array<int>")
+    def encode(texts: pa.Array) -> pa.Array:
+        return id_lists(texts, path)
 
     return df.withColumn(ids, encode(F.col(text)))
 
@@ -359,22 +375,32 @@ def decoded(df: DataFrame, ids: str = "ids", text: str = "decoded", path: str |
     small_batches(df.sparkSession, BATCH)
     path = path or model_path()
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = model(path)
-        for rows in batches:
-            yield pd.Series([None if r is None else own.decode(r.tolist()) for r in rows], dtype=object)
+    @F.arrow_udf("string")
+    def decode(rows: pa.Array) -> pa.Array:
+        return texts_of(rows, path)
 
     return df.withColumn(text, decode(F.col(ids)))
 
 
-def round_trip(documents: DataFrame) -> DataFrame:
-    """doc_id, ids, their number, the bytes among them, and whether decoding gives the text back."""
-    both = decoded(encoded(documents.select("doc_id", "text")))
-    own = model(model_path())
+def round_trip(documents: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, ids, their number, the bytes among them, and whether decoding gives the text back.
+
+    Encodes and decodes where the text is, so that ids aren't sent to Python a second time.
+    """
+    small_batches(documents.sparkSession, BATCH)
+    path = path or model_path()
+
+    @F.arrow_udf("struct<ids:array<int>,same_text:boolean>")
+    def both(texts: pa.Array) -> pa.Array:
+        ids = id_lists(texts, path)
+        back = texts_of(ids, path)
+        same = [a == b for a, b in zip(texts.to_pylist(), back.to_pylist())]
+        return pa.StructArray.from_arrays([ids, pa.array(same, pa.bool_())], ["ids", "same_text"])
+
+    own = model(path)
     first, last = min(own.byte_ids.values()), max(own.byte_ids.values())
-    return both.select(
+    found = documents.select("doc_id", both(F.col("text")).alias("b")).select("doc_id", "b.ids", "b.same_text")
+    return found.select(
         "doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_ids"),
-        F.size(F.filter("ids", lambda i: i.between(first, last))).cast("bigint").alias("n_bytes"),
-        F.col("text").eqNullSafe(F.col("decoded")).alias("same_text"),
+        F.size(F.filter("ids", lambda i: i.between(first, last))).cast("bigint").alias("n_bytes"), "same_text",
     )
