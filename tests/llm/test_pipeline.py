@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline as C
 from formulake.llm import simhash as S
 from formulake.llm import toxicity as T
@@ -12,7 +14,16 @@ from test_simhash import brute_components, brute_fingerprint
 SF = "/root/testdata/sf0.01"
 
 
-def test_stages_keep_what_brute_force_keeps(spark):
+@pytest.fixture(autouse=True, scope="module")
+def model(spark):
+    """One real fit on the small tables, which all stages of this module then share."""
+    fitted = T.fit(read(spark, SF, "documents"), read(spark, SF, "labels"))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(T, "fit", lambda documents, labels: fitted)
+        yield fitted
+
+
+def test_stages_keep_what_brute_force_keeps(spark, model):
     docs = read(spark, SF, "documents")
     names = [n for n, _ in C.STAGES]
     assert names == ["quality_rules", "toxicity", "simhash_dedup", "best_fit_packing"]
@@ -25,7 +36,6 @@ def test_stages_keep_what_brute_force_keeps(spark):
     frame = spark.createDataFrame(good, docs.schema)
     clean = stages["toxicity"](spark, frame, SF)
     assert clean.columns == docs.columns
-    model = T.fit(docs, read(spark, SF, "labels"))
     scores = model.scores([r.text for r in good])
     clean = clean.collect()
     assert {r.doc_id for r in clean} == {r.doc_id for r, s in zip(good, scores) if s < 0.5}
