@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,19 +44,22 @@ BLOCK = 4096  # fingerprints of one key compared at once
 ROW_COST, PAIR_COST = 1.0, 0.02  # a probe that is shuffled, a pair that is compared
 
 
-def fingerprint(text: str | None) -> int:
-    """Majority bits of XXH64 over the shingles of a text, unsigned; zero without words."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of every shingle of a text; of the whole text if it is no longer than one."""
     words = (text or "").encode().lower().split()
-    if not words:
-        return 0
     line = b" ".join(words)
     digest = xxhash.xxh64_intdigest
-    if len(words) <= WIDTH:
-        return digest(line, SEED)
+    if len(words) <= width:
+        return np.array([digest(line, SEED)] if words else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    spans = zip(starts[: 1 - WIDTH].tolist(), ends[WIDTH - 1 :].tolist())
-    hashes = np.fromiter((digest(line[a:b], SEED) for a, b in spans), np.uint64)
+    spans = zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist())
+    return np.fromiter((digest(line[a:b], SEED) for a, b in spans), np.uint64)
+
+
+def fingerprint(text: str | None) -> int:
+    """Majority bits of XXH64 over the shingles of a text, unsigned; zero without words."""
+    hashes = shingle_hashes(text, WIDTH)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -320,8 +323,12 @@ def plain_columns(df: DataFrame) -> list[str]:
         kind in f.dataType.simpleString() for kind in ("map<", "variant", "void"))]
 
 
-def keep_one(df: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates, with its columns as they were.
+def one_of_each(
+    df: DataFrame, named: Callable[[DataFrame], DataFrame], grouped: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """One row of each group, with its columns as they were.
+
+    ``named`` adds ``fp`` to a table, ``grouped`` gives ``(fp, root)`` for a table with ``fp``.
 
     The row with the smallest doc_id stays (a null id counts as largest); among rows of that id
     the one with the smallest hash of its columns. Identical rows are one.
@@ -330,13 +337,18 @@ def keep_one(df: DataFrame) -> DataFrame:
     marks = [F.xxhash64(*columns), F.xxhash64(F.lit("second"), *reversed(columns))]
     marked = df.select(F.struct(*marks).alias("mark"), F.struct(*df.columns).alias("row"))
     hashed = materialise(
-        fingerprints(
+        named(
             df.select("doc_id", "text", F.struct(*marks).alias("mark"))
         ).select("fp", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark").alias("rank")),
         "simhash",
     )
-    roots = components_of(hashed)
+    roots = grouped(hashed)
     best = hashed.groupBy("fp").agg(F.min("rank").alias("rank"))
     stay = roots.join(best, "fp").groupBy("root").agg(F.min("rank").alias("rank"))
     kept = marked.join(stay.select(F.col("rank.mark").alias("mark")).distinct(), "mark")
     return kept.groupBy("mark").agg(F.first("row").alias("row")).select("row.*")
+
+
+def keep_one(df: DataFrame) -> DataFrame:
+    """One row of each group of linked fingerprints."""
+    return one_of_each(df, fingerprints, components_of)
