@@ -1,8 +1,9 @@
 """Main text of web pages by tree scoring.
 
 A page is parsed into a tree of blocks; elements that are never article text (scripts, menus,
-headers, footers, sidebars, forms, and elements whose class, id or role names a notice, an
-advert, comments and the like) are left out with all they hold. Every paragraph passes points
+headers, footers, sidebars, and elements whose role says so) are left out with all they hold. So
+are forms and elements whose class or id names a notice, an advert, comments and the like, unless
+they hold most of the page's text (``keep_frames``); if next to nothing is left, they are kept. Every paragraph passes points
 to its ancestors: one, one for each comma, and one for each hundred characters up to three;
 the parent gets all of them, the grandparent half, the next ones a share that falls with their
 distance. Other blocks that hold text directly are paragraphs too and their own parent. An
@@ -44,15 +45,18 @@ ENDS = {
 ENDS_PARAGRAPH = BLOCKS - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "html"}
 SCOPES = frozenset("article aside body div dl footer form header main nav ol section table td th ul".split())
 NEVER = frozenset(
-    "script style noscript iframe template svg math object head nav footer aside form button select "
+    "script style noscript iframe template svg math object head nav footer aside button select "
     "textarea input menu dialog".split()
 )
 UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner\w*|breadcrumb\w*|comment\w*|consent|cookie\w*|disqus|"
-    r"footer|header|masthead|menu\w*|modal|nav\w*|newsletter|notice\w*|pagination|pager|popup|promo\w*|"
-    r"related|replies|respond|share\w*|sidebar\w*|social\w*|sponsor\w*|subscribe\w*|toolbar|widget\w*)"
-    r"(?:$|[\s_-])", re.I,
+    r"(?:^|[\s_-])(?:ads?|adv|adverts?|advertisements?|advertising|banners?|breadcrumbs?|consent|cookies?|"
+    r"footer|header|masthead|menus?|menubar|modal|nav|navbar|navigation|newsletter|notices?|pagination|pager|popup|"
+    r"promos?|promotions?|promoted|related|share|shares|sharing|sharebar|sidebars?|social|socials|"
+    r"sponsors?|sponsored|subscribe|subscription|toolbar|widgets?)(?:$|[\s_-])", re.I,
 )
+#: What readers write may be most of a page's text and still isn't the article.
+TALK = re.compile(
+    r"(?:^|[\s_-])(?:comments?|commentlist|commenters?|disqus|replies|respond)(?:$|[\s_-])", re.I)
 #: Says what stands beside the element, not what it is.
 BESIDE = re.compile(r"\b(?:has|with|without|no|hide|show)[-_]\w+", re.I)
 HEAD_TAGS = frozenset("head title meta link style script base noscript template".split())
@@ -70,37 +74,50 @@ PARAGRAPHS = frozenset("p pre td blockquote".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HOLDER_CHARS = 25  # characters that stand directly in another block to make it a paragraph
 LEVELS = 6  # ancestors that a paragraph passes points to
+WRAPS, LITTLE = 0.5, 0.1  # of a page's text outside links: a doubtful element is its frame; too little is left
 SIBLING_SHARE, SIBLING_CHARS, SIBLING_LINKS = 0.2, 80, 0.25
 
 
 class Node:
     """An element: its children are nodes and, as text, what stands between them."""
 
-    __slots__ = ("tag", "parent", "parts", "points", "chars", "linked", "kept")
+    __slots__ = ("tag", "parent", "parts", "points", "chars", "linked", "kept", "doubt")
 
-    def __init__(self, tag: str, parent: Node | None, kept: bool = True):
-        self.tag, self.parent, self.kept = tag, parent, kept
+    def __init__(self, tag: str, parent: Node | None, kept: bool = True, doubt: str = ""):
+        self.tag, self.parent, self.kept, self.doubt = tag, parent, kept and not doubt, doubt if kept else ""
         self.parts: list[Node | str] = []
         self.points = 0.0
         self.chars = self.linked = 0
 
 
-def unlikely(tag: str, attrs: str) -> bool:
+def never(tag: str, attrs: str) -> bool:
+    """Whether an element is no article text whatever it holds."""
     if tag in NEVER:
         return True
     if not attrs or tag in ("body", "html", "main"):
         return False
     for name, value in ATTRIBUTE.findall(attrs):
-        name, value = name.lower(), html.unescape(value.strip("\"'"))
-        if name in ("class", "id") and UNLIKELY.search(BESIDE.sub(" ", value)):
-            return True
-        if name == "role" and value.strip().lower() in UNLIKELY_ROLE:
-            return True
-        if name == "aria-hidden" and value.strip().lower() == "true":
+        name, value = name.lower(), html.unescape(value.strip("\"'")).strip().lower()
+        if name == "role" and value in UNLIKELY_ROLE or name == "aria-hidden" and value == "true":
             return True
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs, re.I))
 
 
+def doubt(tag: str, attrs: str) -> str:
+    """Why an element is left out unless it frames the page: "talk", "name", "form" or nothing."""
+    found = "form" if tag == "form" else ""
+    if tag in ("body", "html", "main"):
+        return found
+    for name, value in ATTRIBUTE.findall(attrs):
+        if name.lower() in ("class", "id"):
+            value = BESIDE.sub(" ", html.unescape(value.strip("\"'")))
+            if TALK.search(value):
+                return "talk"
+            if UNLIKELY.search(value):
+                found = "name"
+    return found
+
+
 def close(node: Node, tags: set[str] | frozenset[str], scopes: frozenset[str]) -> Node:
     """The node that is open after the nearest open element of these tags has ended, if any is."""
     at: Node | None = node
@@ -146,12 +163,12 @@ def parse(page: str) -> Node:
             node = close(node, {"p"}, SCOPES)
         if tag in ENDS:
             node = close(node, ENDS[tag], SCOPES - ENDS[tag])
-        child = Node(tag, node, not unlikely(tag, attrs))
+        child = Node(tag, node, not never(tag, attrs), doubt(tag, attrs) if attrs or tag == "form" else "")
         node.parts.append(child)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-            child.kept = False
+            child.kept, child.doubt = False, ""
         elif tag not in VOID:
             node = child
     return root
@@ -269,8 +286,51 @@ def main_nodes(root: Node) -> list[Node]:
     return out
 
 
+def keep_frames(root: Node) -> None:
+    """Keeps doubtful elements that hold the article.
+
+    That is one with most of the page's text outside links; readers' talk only if the page's
+    main element or first heading is in it. If little text is left then, all doubtful ones are kept.
+    """
+    order, stack = [], [(root, False)]
+    while stack:
+        node, linked = stack.pop()
+        linked = linked or node.tag == "a"
+        order.append((node, linked))
+        stack += [(c, linked) for c in node.parts
+                  if isinstance(c, Node) and (c.kept or c.doubt)]
+    doubtful = [n for n, _ in order if n.doubt]
+    if not doubtful:
+        return
+    plain: dict[int, int] = {}
+    titled: set[int] = set()
+    for node, linked in reversed(order):  # every child comes after its parent in order
+        own = 0 if linked else sum(len(t.strip()) for t in node.parts if isinstance(t, str))
+        plain[id(node)] = plain.get(id(node), 0) + own
+        if node.parent is not None:
+            plain[id(node.parent)] = plain.get(id(node.parent), 0) + plain[id(node)]
+            if node.tag in ("main", "h1") or id(node) in titled:
+                titled.add(id(node.parent))
+    total = plain[id(root)]
+    for node in doubtful:
+        if plain[id(node)] > WRAPS * total and (node.doubt != "talk" or id(node) in titled):
+            node.kept = True
+    left = total
+    for node in doubtful:
+        above = node.parent
+        while above is not None and above.kept:
+            above = above.parent
+        if not node.kept and above is None:  # the outermost one left out
+            left -= plain[id(node)]
+    if left < LITTLE * total:
+        for node in doubtful:
+            node.kept = True
+
+
 def main_text(page: str | None) -> str:
-    return " ".join(t for node in main_nodes(parse(page or "")) for t in blocks(node))
+    root = parse(page or "")
+    keep_frames(root)
+    return " ".join(t for node in main_nodes(root) for t in blocks(node))
 
 
 def extract(pages: DataFrame) -> DataFrame:

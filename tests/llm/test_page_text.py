@@ -75,3 +75,22 @@ def test_null_and_repeated_rows(spark):
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted((r.text, r.n_chars) for r in got.collect()) == [("", 0), ("", 0), ("x", 1), ("x", 1)]
     assert P.extract(table.limit(0)).count() == 0
+
+
+def test_frames_with_telling_names_keep_their_article():
+    article = f"<h2>On it</h2><p>{FILL}</p><p>{FILL}</p>"
+    expected = f"On it {FILL}{FILL}".strip()
+    names = ["post commentary", "layout sidebar-left", "wrapper header-fixed",
+             "entry category-social-science", "page navy-theme", "shared-column"]
+    for name in names:
+        side = f"<div class='sidebar'><p>{FILL[:60]}</p></div>"
+        assert P.main_text(page(f"<div class='{name}'>{article}</div>{side}")) == expected, name
+        assert P.main_text(page(f"<div class='{name}'><div>{article}</div>{side}</div>")) == expected, name
+    assert P.main_text(page(f"<form action=x><div>{article}</div></form>")) == expected
+    assert P.main_text(page(f"<div id='comments'>{article}</div>")) == expected  # nothing else is there
+
+
+def test_long_talk_is_not_the_article():
+    talk = "".join(f"<div class='comment'><p>{FILL}</p></div>" for _ in range(4))
+    got = P.main_text(page(f"<article><p>{FILL}</p></article><section id='comments'>{talk}</section>"))
+    assert got == FILL.strip()
