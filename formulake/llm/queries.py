@@ -68,7 +68,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_chat_formatting")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.reply_ordered(read(spark, sf_dir, "conversations"))
+    return quotes.reply_ordered(read(spark, sf_dir, "conversations"), partial=True)
 
 
 @query("op2_sentencepiece")

@@ -6,9 +6,11 @@ evened out, lower case) and hashed. The passages of level 0, and every single li
 what a message says itself; they are joined to the quoted passages of the same conversation.
 
 A message replies to the first earlier message of its conversation that says a passage quoted
-in it; of its passages the one with the lowest level decides, then the latest turn. A message
-without such a quotation begins a thread. Threads are followed by pointer jumping: after k
-rounds every reply knows the message 2^k steps up. Order inside a conversation: by the turn of
+in it. With ``partial`` (as the query has it), a quoted passage that no earlier message says as a
+whole goes by its lines and sentences: to the earlier message that most of them were first said
+in, then to the latest. Of a message's passages the one with the lowest level decides, then one
+found as a whole, then the latest turn. A message without such a quotation begins a thread.
+Threads are followed by pointer jumping: after k rounds every reply knows the message 2^k steps up. Order inside a conversation: by the turn of
 the thread's first message, then by the number of replies down to the message, then by turn, so
 every message stands behind the one it replies to. ``sort_key`` sorts like that as text. The own
 text is left without quotations, and formatted as one chat turn.
@@ -29,6 +31,7 @@ from formulake.functions.numbers import let
 from formulake.llm.common import known_text
 from formulake.session import materialise
 
+SENTENCE_END = r"(?<=[.!?…。！？])\s+"
 MARKS = r"^[ \t]*((?:>[ \t]*)*)"
 ROUNDS = 40
 
@@ -52,7 +55,7 @@ def normal(text: Column) -> Column:
 
 
 def passages(lines: Column) -> Column:
-    """Level and normalised text of every passage, in order."""
+    """Level, normalised text and lines of every passage, in order."""
 
     def cut(all_lines: Column) -> Column:
         blank = F.transform(all_lines, lambda x: F.struct(
@@ -72,12 +75,13 @@ def passages(lines: Column) -> Column:
             def slices(at: Column) -> Column:
                 return F.transform(at, lambda start, k: F.struct(
                     F.get(plain, start)["level"].alias("level"),
-                    F.array_join(F.filter(F.transform(
+                    F.filter(F.transform(
                         F.slice(plain, start + 1, F.coalesce(F.get(at, k + 1), F.size(plain)) - start),
-                        lambda x: x["text"]), lambda t: t != ""), " ").alias("text"),
+                        lambda x: x["text"]), lambda t: t != "").alias("lines"),
                 ))
 
-            return let(starts, slices)
+            return F.transform(let(starts, slices), lambda p: F.struct(
+                p["level"].alias("level"), F.array_join(p["lines"], " ").alias("text"), p["lines"].alias("lines")))
 
         return let(blank, join)
 
@@ -89,7 +93,13 @@ def own_text(lines: Column) -> Column:
     return F.trim(F.regexp_replace(F.array_join(F.transform(kept, lambda x: x["text"]), "\n"), r"^\s+|\s+$", ""))
 
 
-def parsed(messages: DataFrame) -> DataFrame:
+def pieces(passage: Column) -> Column:
+    """Hashes of the lines and the sentences of a passage."""
+    texts = F.concat(passage["lines"], F.split(passage["text"], SENTENCE_END, -1))
+    return F.array_distinct(F.transform(texts, lambda t: F.xxhash64(t)))
+
+
+def parsed(messages: DataFrame, partial: bool = False) -> DataFrame:
     """conv_id, turn, role, own text, what the message says itself, and what it quotes."""
     lines = messages.select(
         "conv_id", "turn", F.coalesce(F.col("role"), F.lit("unknown")).alias("role"),
@@ -99,12 +109,15 @@ def parsed(messages: DataFrame) -> DataFrame:
     said = F.filter("passages", lambda p: p["level"] == 0)
     single = F.filter(F.transform(
         F.filter("lines", lambda x: x["level"] == 0), lambda x: normal(x["text"])), lambda t: t != "")
+    says = F.transform(F.concat(F.transform(said, lambda p: p["text"]), single), lambda t: F.xxhash64(t))
+    if partial:
+        says = F.concat(says, F.flatten(F.transform(said, pieces)))
+    none = F.array().cast("array<bigint>")
     return cut.select(
-        "conv_id", "turn", "role", own_text(F.col("lines")).alias("own"),
-        F.array_distinct(F.transform(F.concat(F.transform(said, lambda p: p["text"]), single),
-                                     lambda t: F.xxhash64(t))).alias("says"),
+        "conv_id", "turn", "role", own_text(F.col("lines")).alias("own"), F.array_distinct(says).alias("says"),
         F.transform(F.filter("passages", lambda p: p["level"] > 0), lambda p: F.struct(
-            p["level"].alias("level"), F.xxhash64(p["text"]).alias("hash"))).alias("quotes"),
+            p["level"].alias("level"), F.xxhash64(p["text"]).alias("hash"),
+            (pieces(p) if partial else none).alias("pieces"))).alias("quotes"),
     )
 
 
@@ -113,16 +126,27 @@ def reply_links(rows: DataFrame) -> DataFrame:
 
     Sayings matter only where something is quoted, so quoted hashes are looked for first.
     """
-    quoted = rows.select("conv_id", "turn", F.explode("quotes").alias("q")).select(
-        "conv_id", "turn", "q.level", "q.hash").where("conv_id is not null and turn is not null")
-    wanted = quoted.select("conv_id", "hash").distinct()
-    said = rows.where("conv_id is not null and turn is not null").select(
-        "conv_id", "turn", F.explode("says").alias("hash"))
-    first = said.groupBy("conv_id", "hash").agg(F.min("turn").alias("parent")).join(
-        wanted, ["conv_id", "hash"], "left_semi")
-    found = quoted.join(first, ["conv_id", "hash"]).where(F.col("parent") < F.col("turn"))
-    best = F.min(F.struct("level", (-F.col("parent")).alias("back")))
-    return found.groupBy("conv_id", "turn").agg(best.alias("b")).select(
+    placed = "conv_id is not null and turn is not null"
+    quoted = rows.where(placed).select("conv_id", "turn", F.explode("quotes").alias("q")).select(
+        "conv_id", "turn", "q.level", "q.hash", "q.pieces")
+    whole = quoted.select("conv_id", "hash")
+    wanted = whole.unionByName(quoted.select("conv_id", F.explode("pieces").alias("hash"))).distinct()
+    said = rows.where(placed).select("conv_id", "turn", F.explode("says").alias("hash"))
+    first = materialise(said.groupBy("conv_id", "hash").agg(F.min("turn").alias("parent")).join(
+        wanted, ["conv_id", "hash"], "left_semi"), "sayings")
+    passage = ["conv_id", "turn", "level", "hash"]
+    found = quoted.join(first, ["conv_id", "hash"]).where(F.col("parent") < F.col("turn")).select(
+        *passage, "parent").distinct()
+    # the message that most lines and sentences of a passage agree on, then the latest
+    parts = quoted.join(found, passage, "left_anti").select(
+        *passage, F.explode("pieces").alias("piece")).distinct()
+    agreed = parts.join(first.withColumnRenamed("hash", "piece"), ["conv_id", "piece"]).where(
+        F.col("parent") < F.col("turn")).groupBy(*passage, "parent").agg(F.count("*").alias("n"))
+    most = agreed.groupBy(*passage).agg(F.max(F.struct("n", "parent")).alias("m")).select(
+        *passage, F.col("m.parent").alias("parent"))
+    either = found.withColumn("part", F.lit(0)).unionByName(most.withColumn("part", F.lit(1)))
+    best = F.min(F.struct("level", "part", (-F.col("parent")).alias("back")))
+    return either.groupBy("conv_id", "turn").agg(best.alias("b")).select(
         "conv_id", "turn", (-F.col("b.back")).alias("parent"))
 
 
@@ -151,9 +175,12 @@ def padded(number: Column) -> Column:
     return F.lpad(shifted.cast("string"), 20, "0")
 
 
-def reply_ordered(messages: DataFrame) -> DataFrame:
-    """Every message without quotations, with its place in its thread and conversation."""
-    rows = materialise(parsed(messages), "messages")
+def reply_ordered(messages: DataFrame, partial: bool = False) -> DataFrame:
+    """Every message without quotations, with its place in its thread and conversation.
+
+    With ``partial``, passages that nothing says as a whole count by their lines and sentences.
+    """
+    rows = materialise(parsed(messages, partial), "messages")
     threads = followed(reply_links(rows))
     placed = rows.join(threads, ["conv_id", "turn"], "left")
     root, depth = F.coalesce("root", "turn"), F.coalesce("depth", F.lit(0))

@@ -103,3 +103,22 @@ def test_long_text_and_no_rows(spark):
     assert len(run(spark, [(1, 1, "user", text)]).first().text) == len(parse(text)[0])
     table = spark.createDataFrame([], SCHEMA)
     assert Q.reply_ordered(table).count() == 0
+
+
+def test_parts_of_a_passage_find_their_message(spark):
+    rows = [
+        (1, 0, "user", "first line\nsecond line\nthird line"),
+        (1, 1, "user", "One sentence here. Another sentence there. And a last one."),
+        (1, 2, "user", "para one\n\npara two"),
+        (1, 3, "user", "second line"),
+        (1, 4, "user", "> first line\n> second line\nmine"),  # two of three lines
+        (1, 5, "user", "> Another sentence\n> there. And a last\n> one.\nmine"),  # folded, begun late
+        (1, 6, "user", "> para one\n> para two\nmine"),  # no quoted blank line between
+        (1, 7, "user", "> third line\n> para one\n> para two"),  # most agree on turn 2
+        (1, 8, "user", "> nothing that was said"),
+        (1, 9, "user", "> first line\n> other words\n>\n> One sentence here. Another sentence there. And a last one."),
+    ]
+    table = spark.createDataFrame([(*r, "extra", 1) for r in rows], SCHEMA)
+    got = {r.turn: r.reply_to for r in Q.reply_ordered(table, partial=True).collect()}
+    # turn 9: the whole passage comes before the partial one
+    assert got == {0: None, 1: None, 2: None, 3: None, 4: 0, 5: 1, 6: 2, 7: 2, 8: None, 9: 1}
