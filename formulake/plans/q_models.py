@@ -17,7 +17,6 @@ from formulake.operators import stats as S
 from formulake.operators.folds import attach_folds, permute_within, random_folds
 from formulake.plans import sqlviews as Q
 from formulake.plans import views as P
-from formulake.plans.q_anchor import templates
 from formulake.plans.q_clean import CATEGORIES, MEASURED, NUMERIC
 from formulake.plans.q_stats import rounded
 from formulake.plans.registry import query
@@ -162,12 +161,12 @@ def q_feature_ablation(spark, sf_dir):
 
 @query("permutation_control")
 def q_permutation_control(spark, sf_dir):
-    """Response range of every component on real and on within-study shuffled outcomes."""
+    """Response range of every component, over all rows, on real and on within-study shuffled outcomes."""
     rows = matrix(spark, sf_dir).drop("fold")
     shuffled = permute_within(rows, "study", "row_id", "y").select("row_id", "y_shuffled")
     fake = materialise(rows.join(shuffled, "row_id").withColumn("y", F.col("y_shuffled")), "shuffled")
     support = S.data_support(P.featured(spark, sf_dir), R.COMPONENTS)
-    base = templates(spark, sf_dir)
+    base = P.featured(spark, sf_dir).select("row_id", *R.COMPONENTS)
 
     def identity(shares):
         return F.struct(*[s.alias(c) for s, c in zip(shares, R.COMPONENTS)]), F.lit(0.0)

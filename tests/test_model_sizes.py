@@ -15,16 +15,14 @@ class Asked(Exception):
     ("oof_forest", 400), ("model_grid", 400), ("two_stage_logit", 300), ("nested_cv_report", 300),
     ("tree_dispersion", 400), ("feature_ablation", 400), ("permutation_control", 400)])
 def test_forests(spark, sf_dir, monkeypatch, name, trees):
-    real = M.RandomForestRegressor
-
     def stop(**options):
         raise Asked(options["numTrees"], options["maxDepth"])
 
     monkeypatch.setattr(M, "RandomForestRegressor", stop)
-    monkeypatch.setattr(M, "ridge_members", lambda *a: lambda rows: [])
+    monkeypatch.setattr(M, "oof_many", lambda rows, numeric, categories, members, k: members["forest"](None))
     with pytest.raises(Asked) as asked:
         QUERIES[name](spark, sf_dir)
-    assert asked.value.args == (trees, 20) and real is not stop
+    assert asked.value.args == (trees, 20)
 
 
 @pytest.mark.parametrize("name", ["oof_gbt"])
@@ -44,3 +42,13 @@ def test_two_stage_final_model():
     sizes = inspect.signature(M.two_stage_fit).parameters
     assert (sizes["trees"].default, sizes["lite_trees"].default) == (600, 300)
     assert Q.two_stage().__closure__ is not None
+
+
+def test_permutation_control_answers_for_all_rows(spark, sf_dir, monkeypatch):
+    def stop(base, *rest):
+        raise Asked(base.count())
+
+    monkeypatch.setattr(Q.SC, "response_curve", stop)
+    with pytest.raises(Asked) as asked:
+        QUERIES["permutation_control"](spark, sf_dir)
+    assert asked.value.args[0] == Q.P.featured(spark, sf_dir).count()
