@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from formulake.llm import ngram_lm, packing, page_text, pieces, quotes, rules, sharding, simhash, toxicity, vector_search
+from formulake.llm import (
+    ngram_lm, packing, page_text, pieces, quotes, resampling, rules, sharding, simhash, toxicity, vector_search,
+)
 from formulake.llm.common import read
 from formulake.session import tune
 
@@ -74,3 +76,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_sentencepiece")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(read(spark, sf_dir, "documents"))
+
+
+@query("op12_importance_resampling")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
