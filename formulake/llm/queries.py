@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from formulake.llm import (
-    ngram_lm, packing, page_text, pieces, quotes, resampling, rules, sharding, simhash, toxicity, vector_search,
+    ngram_lm, packing, page_text, pieces, quotes, resampling, rule_ensemble, rules, sharding, simhash, toxicity,
+    vector_search,
 )
 from formulake.llm.common import read
 from formulake.session import tune
@@ -81,3 +82,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_importance_resampling")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op13_quality_classifier")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.scored_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
