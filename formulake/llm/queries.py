@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from formulake.llm import (
-    ngram_lm, packing, page_text, pieces, quotes, resampling, rule_ensemble, rules, sharding, simhash, toxicity,
-    vector_search,
+    alignment, ngram_lm, packing, page_text, pieces, quotes, resampling, rule_ensemble, rules, sharding, simhash,
+    toxicity, vector_search,
 )
 from formulake.llm.common import read
 from formulake.session import tune
@@ -87,3 +87,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_quality_classifier")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.scored_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op11_cross_tokenizer_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_counts(read(spark, sf_dir, "documents"))
