@@ -14,19 +14,23 @@ from formulake.operators import evaluate as E
 from formulake.operators import models as M
 from formulake.operators import scenario as SC
 from formulake.operators import stats as S
+from formulake.operators import trees as T
 from formulake.operators.folds import attach_folds, permute_within, random_folds
 from formulake.plans import sqlviews as Q
 from formulake.plans import views as P
-from formulake.plans.q_clean import CATEGORIES, MEASURED, NUMERIC
+from formulake.plans.q_clean import CATEGORIES, MEASURED, NUMERIC, SMILES_PATTERNS, smiles_features, to_logit
 from formulake.plans.q_stats import rounded
 from formulake.plans.registry import query
 from formulake.plans.sqlviews import r6 as q6
 from formulake.plans.sqlviews import sql
 from formulake.session import materialise
 
-# The registered runs use the published folds and penalties and the library's default sizes:
-# 400 trees of depth 20, 400 boosting rounds, two-stage forests of 600 and 300 trees.
+# The registered runs use the published folds and penalties and ensembles of full size: 400 trees of depth
+# 20, 400 boosting rounds, two-stage forests of 600 and 300 trees. Every row is predicted; tree ensembles
+# are fitted on M.FIT_ROWS drawn rows, ridge on all training rows.
 FOLDS = 5
+FOREST = T.Ensemble("bagged", 400, 20, 3, 0.5)
+BOOSTING = T.Ensemble("boosted", 400, 4, 15, 1.0, 0.05)
 
 
 @P.stored("matrix")
@@ -59,14 +63,20 @@ def q_oof_ridge(spark, sf_dir):
     return _oof(spark, sf_dir, M.ridge_members())
 
 
+def bounded(spark, sf_dir, ensemble):
+    rows = matrix(spark, sf_dir)
+    return M.bounded_oof(rows, NUMERIC, CATEGORIES, {"model": ensemble}, FOLDS).select(
+        "row_id", "study", "fold", "y", "pred")
+
+
 @query("oof_forest")
 def q_oof_forest(spark, sf_dir):
-    return _oof(spark, sf_dir, M.forest_members())
+    return bounded(spark, sf_dir, FOREST)
 
 
 @query("oof_gbt")
 def q_oof_gbt(spark, sf_dir):
-    return _oof(spark, sf_dir, M.boosting_members())
+    return bounded(spark, sf_dir, BOOSTING)
 
 
 @query("model_grid")
@@ -75,16 +85,15 @@ def q_model_grid(spark, sf_dir):
     grouped = matrix(spark, sf_dir)
     schemes = {"study-grouped": grouped,
                "random": random_folds(grouped.drop("fold"), "row_id", FOLDS)}
-    members = {
-        "ridge": M.ridge_members(), "forest": M.forest_members(),
-        "boosting": M.boosting_members(),
-    }
+    members = ["ridge", "forest", "boosting"]
     keep = ["model", "cv", "row_id", "study", "y", "pred"]
     parts = []
     for cv, rows in schemes.items():
         mean = E.mean_oof(rows, "y").withColumn("model", F.lit("mean"))
-        many = M.oof_many(rows, NUMERIC, CATEGORIES, members, FOLDS)
-        parts += [p.withColumn("cv", F.lit(cv)).select(*keep) for p in (mean, many)]
+        trees = M.bounded_oof(rows, NUMERIC, CATEGORIES, {"forest": FOREST, "boosting": BOOSTING}, FOLDS)
+        ridge = M.oof_predictions(rows, M.Trainer(NUMERIC, CATEGORIES, M.ridge_members()), FOLDS)
+        parts += [p.withColumn("cv", F.lit(cv)).select(*keep)
+                  for p in (mean, trees, ridge.withColumn("model", F.lit("ridge")))]
     long = materialise(reduce(DataFrame.unionByName, parts), "grid")
     metrics = E.with_gain(E.error_metrics(long, ["model", "cv"]), "mean", "study-grouped")
     base = long.where((F.col("model") == "mean") & (F.col("cv") == "study-grouped")).select(
@@ -107,56 +116,57 @@ def q_model_grid(spark, sf_dir):
         F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("run_utc"))
 
 
-def two_stage():
-    return M.two_stage_fit(NUMERIC, CATEGORIES)
+@P.stored("two_stage")
+def two_stage(spark, sf_dir):
+    return M.two_stage(matrix(spark, sf_dir), NUMERIC, CATEGORIES, FOLDS).select(
+        "row_id", "study", "fold", "y", "pred", "eps")
 
 
 @query("two_stage_logit")
 def q_two_stage_logit(spark, sf_dir):
-    rows, out = matrix(spark, sf_dir), []
-    for fold in range(FOLDS):
-        model = two_stage()(rows.where(F.col("fold") != fold))
-        out.append(model.predict(rows.where(F.col("fold") == fold)).select(
-            "row_id", "study", "y", r6(F.col("pred")).alias("pred"), F.lit(model.eps).alias("eps")))
-    return reduce(DataFrame.unionByName, out)
+    return rounded(two_stage(spark, sf_dir).drop("fold"), "pred")
 
 
 @query("nested_cv_report")
 def q_nested_cv_report(spark, sf_dir):
-    rows = matrix(spark, sf_dir)
-    return rounded(M.nested_report(rows, two_stage(), FOLDS),
-                   "mae_model", "mae_baseline", "gain")
+    return rounded(M.nested_report(two_stage(spark, sf_dir), FOLDS), "mae_model", "mae_baseline", "gain")
 
 
 @query("tree_dispersion")
 def q_tree_dispersion(spark, sf_dir):
-    rows, out = matrix(spark, sf_dir), []
-    for fold in range(FOLDS):
-        train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
-        plain = M.Trainer(NUMERIC, CATEGORIES, M.forest_members())(train)
-        logit = M.logit_trainer(NUMERIC, CATEGORIES, V.LOGIT_BASE, [{}])(train)
-        a = M.with_dispersion(test, plain).select("row_id", "y", "pred", "sd")
-        b = M.with_dispersion(test, logit, 1.0).select(
-            "row_id", F.col("pred").alias("pred_logit"), F.col("sd").alias("sd_logit"))
-        out.append(a.join(b, "row_id"))
-    return rounded(reduce(DataFrame.unionByName, out), "pred", "sd", "pred_logit", "sd_logit")
+    """Mean and deviation over the trees of every row's own fold, in percent and on the log-odds scale."""
+    rows = matrix(spark, sf_dir)
+    plain = M.bounded_oof(rows, NUMERIC, CATEGORIES, {"plain": FOREST}, FOLDS)
+    scaled = rows.withColumn("percent", F.col("y")).withColumn("y", to_logit(F.col("y"), V.LOGIT_BASE))
+    logit = M.bounded_oof(scaled, NUMERIC, CATEGORIES, {"logit": FOREST}, FOLDS)
+    a = plain.select("row_id", "y", "pred", (F.col("sd") * V.DISPERSION_SCALE).alias("sd"))
+    b = logit.select("row_id", M.percent(F.col("pred")).alias("pred_logit"),
+                     M.logit_dispersion(F.col("pred"), F.col("sd")).alias("sd_logit"))
+    return rounded(a.join(b, "row_id"), "pred", "sd", "pred_logit", "sd_logit")
 
 
 @query("feature_ablation")
 def q_feature_ablation(spark, sf_dir):
+    """Mean error of the forest without a block of columns, with the measured ones, and with the structure counts."""
+    structure = list(SMILES_PATTERNS)
+    dim = smiles_features(P.lipid_lookup(spark, sf_dir)).withColumnRenamed("name", "part_name")
+    parts = P.featured(spark, sf_dir).select("row_id", "part_name").join(dim, "part_name", "left")
+    rows = materialise(matrix(spark, sf_dir).join(parts.drop("part_name"), "row_id"), "ablation")
     blocks = {
-        "all": (NUMERIC, CATEGORIES),
-        "no ratios": ([c for c in NUMERIC if c not in R.FEATURES], CATEGORIES),
-        "no categories": (NUMERIC, []),
-        "measured added": (NUMERIC + MEASURED, CATEGORIES),
+        "all": (NUMERIC + structure, CATEGORIES),
+        "no ratios": ([c for c in NUMERIC if c not in R.FEATURES] + structure, CATEGORIES),
+        "no categories": (NUMERIC + structure, []),
+        "no SMILES": (NUMERIC, CATEGORIES),
+        "measured added": (NUMERIC + MEASURED + structure, CATEGORIES),
     }
-    rows, out = matrix(spark, sf_dir), None
-    for name, (numeric, categories) in blocks.items():
-        one = M.oof_predictions(rows, M.Trainer(numeric, categories, M.forest_members()), FOLDS).agg(
-            F.avg(F.abs(F.col("y") - F.col("pred"))).alias("mae"), F.count("*").alias("n"))
-        one = one.select(F.lit(name).alias("block"), r6(F.col("mae")).alias("mae"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+
+    def one(block):
+        name, (numeric, categories) = block
+        found = M.bounded_oof(rows, numeric, categories, {name: FOREST}, FOLDS)
+        return found.groupBy(F.col("model").alias("block")).agg(
+            r6(F.avg(F.abs(F.col("y") - F.col("pred")))).alias("mae"), F.count("*").alias("n"))
+
+    return reduce(DataFrame.unionByName, M.side_by_side(spark, one, list(blocks.items())))
 
 
 @query("permutation_control")
@@ -164,7 +174,7 @@ def q_permutation_control(spark, sf_dir):
     """Response range of every component, over all rows, on real and on within-study shuffled outcomes."""
     rows = matrix(spark, sf_dir).drop("fold")
     shuffled = permute_within(rows, "study", "row_id", "y").select("row_id", "y_shuffled")
-    fake = materialise(rows.join(shuffled, "row_id").withColumn("y", F.col("y_shuffled")), "shuffled")
+    fake = materialise(rows.join(shuffled, "row_id").withColumn("y_real", F.col("y")), "shuffled")
     support = S.data_support(P.featured(spark, sf_dir), R.COMPONENTS)
     base = P.featured(spark, sf_dir).select("row_id", *R.COMPONENTS)
 
@@ -177,15 +187,12 @@ def q_permutation_control(spark, sf_dir):
     grid = points.join(others, "row_id").withColumns({
         "ion_to_helper": F.try_divide(F.col("ionizable"), F.nullif(F.col("helper"), F.lit(0.0))),
         "ion_plus_chol": F.col("ionizable") + F.col("chol"), "log_peg": F.log1p("peg")})
-    fit = M.Trainer(NUMERIC, CATEGORIES, M.forest_members())
-    out = {}
-    for label, train in (("signal", rows), ("noise", fake)):
-        curve = fit(train).predict(grid).groupBy("row_id", "component").agg(
-            (F.max("pred") - F.min("pred")).alias("r"))
-        out[label] = curve.groupBy("component").agg(r6(F.avg("r")).alias(label))
-    both = out["signal"].join(out["noise"], "component")
+    prep, models = M.fitted_once(fake, NUMERIC, CATEGORIES, {"signal": "y_real", "noise": "y_shuffled"}, FOREST)
+    asked = grid.select("row_id", "component", prep.features(F.lit(0)).alias("_x"))
+    for label in ("signal", "noise"):
+        asked = T.with_predictions(asked, models, "_x", F.lit(label), label)
+    curve = asked.groupBy("row_id", "component").agg(*[
+        (F.max(f"{c}.mean") - F.min(f"{c}.mean")).alias(c) for c in ("signal", "noise")])
+    both = curve.groupBy("component").agg(*[r6(F.avg(c)).alias(c) for c in ("signal", "noise")])
     ratio = F.try_divide(F.col("signal"), F.col("noise"))
     return both.select("*", r6(ratio).alias("ratio"), (ratio > 2).alias("trusted"))
-
-
-
