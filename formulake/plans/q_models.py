@@ -15,9 +15,11 @@ from formulake.operators import models as M
 from formulake.operators import scenario as SC
 from formulake.operators import stats as S
 from formulake.operators import trees as T
+from formulake.operators.groups import first_rows
 from formulake.operators.folds import attach_folds, permute_within, random_folds
 from formulake.plans import sqlviews as Q
 from formulake.plans import views as P
+from formulake.plans.q_anchor import requests
 from formulake.plans.q_clean import CATEGORIES, MEASURED, NUMERIC, SMILES_PATTERNS, smiles_features, to_logit
 from formulake.plans.q_stats import rounded
 from formulake.plans.registry import query
@@ -196,3 +198,42 @@ def q_permutation_control(spark, sf_dir):
     both = curve.groupBy("component").agg(*[r6(F.avg(c)).alias(c) for c in ("signal", "noise")])
     ratio = F.try_divide(F.col("signal"), F.col("noise"))
     return both.select("*", r6(ratio).alias("ratio"), (ratio > 2).alias("trusted"))
+
+
+def forest_score(spark, sf_dir):
+    """A forest of all rows as a score."""
+    rows = matrix(spark, sf_dir).drop("fold")
+    prep, models = M.fitted_once(rows, NUMERIC, CATEGORIES, {"one": "y"}, FOREST)
+    return M.tree_score(prep, models["one"])
+
+
+def study_templates(spark, sf_dir):
+    """One template for each study, its first row, with all features."""
+    rows = matrix(spark, sf_dir).select("row_id", "study", *NUMERIC, *CATEGORIES)
+    return first_rows(rows, ["study"], [F.col("row_id")])
+
+
+@query("optimize_grid_model")
+def q_optimize_grid_model(spark, sf_dir):
+    """Best grid points of every study's template by the fitted forest."""
+    support = S.data_support(P.featured(spark, sf_dir), R.COMPONENTS)
+    out = SC.optimize_by_model(study_templates(spark, sf_dir), "row_id", support, forest_score(spark, sf_dir))
+    return rounded(out, *R.COMPONENTS, "pred", "sd", "delta", "grid_span")
+
+
+@query("whatif_model")
+def q_whatif_model(spark, sf_dir):
+    """Every row's requested ratio by the fitted forest, both sides moved by an offset's headroom."""
+    rows = matrix(spark, sf_dir).select("row_id", *NUMERIC, *CATEGORIES)
+    asked = requests(spark, sf_dir).withColumn("request", F.col("row_id"))
+    out = SC.whatif_by_model(rows, asked, "row_id", "request", "new_ratio", forest_score(spark, sf_dir),
+                             F.lit(5.0), F.lit(70.0))
+    return rounded(out.drop("request"), *[c for c, t in out.dtypes if t == "double"])
+
+
+@query("response_curve_model")
+def q_response_curve_model(spark, sf_dir):
+    """Response of every study's template to each component by the fitted forest."""
+    support = S.data_support(P.featured(spark, sf_dir), R.COMPONENTS)
+    out = SC.response_by_model(study_templates(spark, sf_dir), "row_id", support, forest_score(spark, sf_dir))
+    return rounded(out, "value", "pred", "sd", "lo", "hi")
