@@ -130,10 +130,14 @@ def cargo_cascade(*texts: Column) -> Column:
     return F.coalesce(*known, F.lit("other"))
 
 
-def lookup_map(table: dict[str, list[str]]) -> Column:
-    """A small fixed dictionary as a map literal from spelling to canonical value."""
-    pairs = [F.lit(x) for canon, spellings in table.items() for s in spellings for x in (s, canon)]
-    return F.create_map(*pairs)
+def lookup_map(table: dict[str, str]) -> Column:
+    """A small fixed dictionary as a map literal."""
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+
+
+def by_spelling(table: dict[str, list[str]]) -> dict[str, str]:
+    """Canonical value of every spelling."""
+    return {spelling: canon for canon, own in table.items() for spelling in own}
 
 
 def flat_name(text: Column) -> Column:

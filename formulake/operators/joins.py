@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from formulake import vocab as V
-from formulake.functions.text import flat_name, lookup_map
+from formulake.functions.text import by_spelling, flat_name, lookup_map
 from formulake.operators.groups import attach, first_rows, value_ranks
 
 
@@ -31,7 +31,7 @@ def unresolved_names(df: DataFrame, lookup: DataFrame, name: str, value: str) ->
 
 def dictionary_name(name: Column) -> Column:
     """Canonical spelling of an ionizable name by exact, then by flattened spelling."""
-    table = lookup_map(V.ION_CANON)
+    table = lookup_map(by_spelling(V.ION_CANON))
     plain = F.trim(F.coalesce(name, F.lit("")))
     return F.coalesce(F.try_element_at(table, F.lower(plain)),
                       F.try_element_at(table, flat_name(plain)), plain)

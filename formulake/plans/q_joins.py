@@ -8,7 +8,7 @@ from formulake import vocab as V
 from formulake.functions import ratio as R
 from formulake.functions.numbers import r6
 from formulake.functions.outcome import clean_outcome
-from formulake.functions.text import cargo_cascade, first_term, spans, term_count, terms
+from formulake.functions.text import by_spelling, cargo_cascade, first_term, spans, term_count, terms
 from formulake.operators import anchor as AN
 from formulake.operators import joins as J
 from formulake.operators import keys as K
@@ -47,16 +47,15 @@ def q_lookup_unresolved(spark, sf_dir):
     return J.unresolved_names(half(spark, sf_dir), P.lipid_lookup(spark, sf_dir), "part_name", "smiles")
 
 
-def sql_map(table: dict[str, list[str]], e: str) -> str:
-    cases = " ".join(
-        f"WHEN {Q.lit(s)} THEN {Q.lit(c)}" for c, spellings in table.items() for s in spellings)
+def sql_map(table: dict[str, str], e: str) -> str:
+    cases = " ".join(f"WHEN {Q.lit(s)} THEN {Q.lit(c)}" for s, c in table.items())
     return f"(CASE {e} {cases} END)"
 
 
 def sql_dictionary_name(e: str) -> str:
     flat = f"replace(replace(lower(trim({e})), '-', ''), ' ', '')"
-    return (f"coalesce({sql_map(V.ION_CANON, f'lower(trim({e}))')}, "
-            f"{sql_map(V.ION_CANON, flat)}, trim({e}))")
+    names = by_spelling(V.ION_CANON)
+    return f"coalesce({sql_map(names, f'lower(trim({e}))')}, {sql_map(names, flat)}, trim({e}))"
 
 
 CANON_SQL = f"""

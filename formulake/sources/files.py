@@ -77,10 +77,7 @@ def canonical_header(name: str) -> str | None:
     if name in V.FORMULATION_CORE:
         return name
     spelled = name.strip().lower().replace(" ", "_").replace("(%)", "").strip("_")
-    for target, spellings in V.HEADER_ALIASES.items():
-        if spelled in spellings:
-            return target
-    return None
+    return V.HEADER_ALIASES.get(spelled)
 
 
 def align_columns(df: DataFrame) -> DataFrame:

@@ -12,20 +12,34 @@ OUTCOME = "encapsulation_efficiency_percent_std_num"
 
 # Loose header spellings and the canonical column each one stands for.
 HEADER_ALIASES = {
-    "reference_doi": ["doi", "reference", "paper"],
-    "lipid_molar_ratio": ["ratio", "molar_ratio", "lipid_ratio", "composition"],
-    "encapsulation_efficiency_percent_std_num": [
-        "ee", "ee_percent", "encapsulation", "encapsulation_efficiency"],
-    "ionizable_lipid_name": ["ionizable", "ionizable_lipid", "lipid"],
-    "ionizable_lipid_smiles": ["smiles"],
-    "helper_lipid_name": ["helper"],
-    "peg_lipid_name": ["peg"],
-    "cargo_type": ["cargo", "payload"],
-    "np_ratio_std_num": ["np", "n_p", "np_ratio"],
-    "buffer_ph_std_num": ["ph", "buffer_ph"],
-    "particle_size_nm_std_num": ["size", "diameter"],
-    "pdi_std_num": ["pdi"],
-    "zeta_potential_mv_std_num": ["zeta"],
+    "doi": "reference_doi",
+    "reference": "reference_doi",
+    "paper": "reference_doi",
+    "ratio": "lipid_molar_ratio",
+    "molar_ratio": "lipid_molar_ratio",
+    "lipid_ratio": "lipid_molar_ratio",
+    "composition": "lipid_molar_ratio",
+    "ee": "encapsulation_efficiency_percent_std_num",
+    "ee_percent": "encapsulation_efficiency_percent_std_num",
+    "encapsulation": "encapsulation_efficiency_percent_std_num",
+    "encapsulation_efficiency": "encapsulation_efficiency_percent_std_num",
+    "ionizable": "ionizable_lipid_name",
+    "ionizable_lipid": "ionizable_lipid_name",
+    "lipid": "ionizable_lipid_name",
+    "smiles": "ionizable_lipid_smiles",
+    "helper": "helper_lipid_name",
+    "peg": "peg_lipid_name",
+    "cargo": "cargo_type",
+    "payload": "cargo_type",
+    "np": "np_ratio_std_num",
+    "n_p": "np_ratio_std_num",
+    "np_ratio": "np_ratio_std_num",
+    "ph": "buffer_ph_std_num",
+    "buffer_ph": "buffer_ph_std_num",
+    "size": "particle_size_nm_std_num",
+    "diameter": "particle_size_nm_std_num",
+    "pdi": "pdi_std_num",
+    "zeta": "zeta_potential_mv_std_num",
 }
 
 # Markers of a missing outcome.
@@ -74,8 +88,12 @@ ION_CANON = {
     "9A1P9": ["9a1p9"],
 }
 PEG_CANON = {
-    "DMG-PEG2000": ["dmg-peg", "peg-dmg", "dmg-peg2k", "dmg-peg 2000", "peg2000-dmg"],
-    "C14-PEG2000": ["c14-peg 2000"],
+    "dmg-peg": "DMG-PEG2000",
+    "peg-dmg": "DMG-PEG2000",
+    "dmg-peg2k": "DMG-PEG2000",
+    "dmg-peg 2000": "DMG-PEG2000",
+    "peg2000-dmg": "DMG-PEG2000",
+    "c14-peg 2000": "C14-PEG2000",
 }
 
 # Component dictionaries used to read article text.
