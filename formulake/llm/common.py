@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formulake.session import materialise
+from formulake.session import discard, materialise
 
 #: White space that parts words, as a Java and RE2 character class.
 BLANK = r"[\x20\x09-\x0D]+"
@@ -68,10 +68,11 @@ def components(edges: DataFrame, label: str, rounds: int = 60) -> DataFrame:
         ).distinct()
         near = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialise(
+        old, edges = edges, materialise(
             moved.where("u <> v").unionByName(near.select("u", F.col("m").alias("v"))).distinct(),
             f"{label}-edges",
         )
+        discard(old)
         now = edges.agg(
             F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
         ).first()

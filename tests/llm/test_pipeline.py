@@ -8,8 +8,8 @@ import corpus_pipeline as C
 from formulake.llm import simhash as S
 from formulake.llm import toxicity as T
 from formulake.llm.common import read
+from test_near_copies import first_of_groups
 from test_rules import brute
-from test_simhash import brute_components, brute_fingerprint
 
 SF = "/root/testdata/sf0.01"
 
@@ -26,7 +26,7 @@ def model(spark):
 def test_stages_keep_what_brute_force_keeps(spark, model):
     docs = read(spark, SF, "documents")
     names = [n for n, _ in C.STAGES]
-    assert names == ["quality_rules", "toxicity", "simhash_dedup", "best_fit_packing"]
+    assert names == ["quality_rules", "toxicity", "near_dedup", "best_fit_packing"]
     stages = dict(C.STAGES)
     rows = {r.doc_id: r for r in docs.collect()}
 
@@ -41,15 +41,10 @@ def test_stages_keep_what_brute_force_keeps(spark, model):
     assert {r.doc_id for r in clean} == {r.doc_id for r, s in zip(good, scores) if s < 0.5}
 
     frame = spark.createDataFrame(clean, docs.schema)
-    single = stages["simhash_dedup"](spark, frame, SF)
+    single = stages["near_dedup"](spark, frame, SF)
     assert single.columns == docs.columns
-    prints = {r.doc_id: brute_fingerprint(r.text) for r in clean}
-    roots = brute_components(prints.values())
-    first = {}
-    for i, p in sorted(prints.items()):
-        first.setdefault(roots[p], i)
     single = single.collect()
-    assert sorted(r.doc_id for r in single) == sorted(first.values())
+    assert sorted(r.doc_id for r in single) == first_of_groups({r.doc_id: r.text for r in clean})
     assert all(rows[r.doc_id] == r for r in single)
 
     packed = stages["best_fit_packing"](spark, spark.createDataFrame(single, docs.schema), SF).collect()
@@ -73,5 +68,5 @@ def test_registered(spark):
     from __spark_entry__ import queries
 
     names = [n for n in queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n[2].isdigit()) == list(range(1, 14))
     assert "pipeline" in queries()
