@@ -270,38 +270,41 @@ def count_of(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, np.ceil(LOG_BASE ** (level - 1.0) - 1e-9), 0).astype(np.int64)
 
 
-def places(hashes: np.ndarray, level: int, bits: np.ndarray | int) -> Iterator[np.ndarray]:
+def places(hashes: np.ndarray, level: int, bits: np.ndarray | int, probes: int = PROBES) -> Iterator[np.ndarray]:
     """Bits of an entry inside its segment, one array for each probe."""
     one = mixed(hashes + np.uint64(level * int(MIX[0]) % 2**64))
     two = mixed(one + MIX[2]) | np.uint64(1)
-    for k in range(PROBES):
+    for k in range(probes):
         value = (one + np.uint64(k) * two) >> np.uint64(32)
         yield (value * np.asarray(bits).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
 
 
-def segment_filter(hashes: np.ndarray, counts: np.ndarray) -> bytes:
+def segment_filter(
+    hashes: np.ndarray, counts: np.ndarray, bits_per_entry: int = BITS_PER_ENTRY, probes: int = PROBES
+) -> bytes:
     """Bits of a segment for pairs with these counts."""
     level = level_of(counts)
-    bits = max(64, -(-int(level.sum()) * BITS_PER_ENTRY // 8) * 8)
+    bits = max(64, -(-int(level.sum()) * bits_per_entry // 8) * 8)
     out = np.zeros(bits, bool)
     for at in range(1, int(level.max(initial=0)) + 1):
-        for place in places(hashes[level >= at], at, bits):
+        for place in places(hashes[level >= at], at, bits, probes):
             out[place] = True
     return np.packbits(out, bitorder="little").tobytes()
 
 
-def build_filter(frame: pd.DataFrame) -> pd.DataFrame:
+def build_filter(frame: pd.DataFrame, bits_per_entry: int, probes: int) -> pd.DataFrame:
     counts = np.concatenate([unpacked_counts(c) for c in frame["counts"]])
     known, place = np.unique(low_hashes(list(frame["hashes"])), return_inverse=True)
-    bits = segment_filter(known, np.bincount(place, counts, len(known)).astype(np.int64))
+    sums = np.bincount(place, counts, len(known)).astype(np.int64)
+    bits = segment_filter(known, sums, bits_per_entry, probes)
     return pd.DataFrame([(int(frame["segment"].iloc[0]), bits)], columns=["segment", "bits"])
 
 
 class Filter:
     """Some segments of the filter, side by side."""
 
-    def __init__(self, parts: dict[int, bytes], segments: int):
-        self.segments = segments
+    def __init__(self, parts: dict[int, bytes], segments: int, probes: int = PROBES):
+        self.segments, self.probes = segments, probes
         self.first = np.full(segments, -1, np.int64)
         self.bits = np.ones(segments, np.int64)
         at, order = 0, sorted(parts)
@@ -318,7 +321,7 @@ class Filter:
         first, bits = self.first[segment], self.bits[segment]
         out = np.ones(len(hashes), bool)
         at = np.arange(len(hashes))
-        for place in places(hashes & PAIR_BITS, level, bits):
+        for place in places(hashes & PAIR_BITS, level, bits, self.probes):
             bit = first[at] + place[at]
             found = (self.bytes[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
             out[at[found == 0]] = False
@@ -374,9 +377,13 @@ SCORE_SQL = (
 
 
 def score_documents(
-    df: DataFrame, most_bytes: int = MOST_BYTES, chars: int = CHUNK_CHARS, segment_pairs: int = SEGMENT_PAIRS
+    df: DataFrame, most_bytes: int = MOST_BYTES, chars: int = CHUNK_CHARS, segment_pairs: int = SEGMENT_PAIRS,
+    bits_per_entry: int = BITS_PER_ENTRY, probes: int = PROBES,
 ) -> DataFrame:
-    """The contract's row for every document."""
+    """The contract's row for every document.
+
+    Of several slices of the filter only one is held at a time: its sums are written before the next is read.
+    """
     spark = df.sparkSession
     small_batches(spark)
     docs = df.select(
@@ -395,18 +402,22 @@ def score_documents(
     tokens_total, distinct = int(sums[0] or 0), int(sums[1] or 0)
     parts = materialise(
         chunks.mapInArrow(lambda b: pair_parts(b, segments), PART_SQL).groupBy("segment").applyInPandas(
-            build_filter, "segment int, bits binary"
+            lambda frame: build_filter(frame, bits_per_entry, probes), "segment int, bits binary"
         ), "lm-filter",
     )
     answers = words.where("chunk >= 0").select("chunk", "segment", "counts")
-    scored, several = None, False
-    for number, own in enumerate(slices_of(parts, most_bytes)):
+    slices = slices_of(parts, most_bytes)
+    scored = None
+    for number, own in enumerate(slices):
         held = {r.segment: bytes(r.bits) for r in parts.where(F.col("segment").isin(own)).collect()}
-        sent = spark.sparkContext.broadcast(Filter(held, segments))
+        sent = spark.sparkContext.broadcast(Filter(held, segments, probes))
+        del held
         part = with_filter(chunks, answers, sent, tokens_total, distinct, number == 0)
+        if len(slices) > 1:
+            part = materialise(part, "lm-sums")
+            sent.destroy()
         scored = part if scored is None else scored.unionByName(part)
-        several = number > 0
-    if several:
+    if len(slices) > 1:
         scored = scored.groupBy("chunk", "place", "row", "held_out", "n_tokens", "n_known").agg(
             F.sum("base_score").alias("base_score"), F.sum("score").alias("score")
         )

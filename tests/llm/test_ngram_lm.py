@@ -54,12 +54,12 @@ def corpus(n, seed):
     return [(i, rng.choice(" \t\n\x0b").join(rng.choice(words) for _ in range(rng.randint(0, 80)))) for i in range(n)]
 
 
-def test_scores_equal_plain_counts(spark, docs_of, monkeypatch):
-    monkeypatch.setattr(L, "BITS_PER_ENTRY", 40)  # false answers become too rare to matter
+def test_scores_equal_plain_counts(spark, docs_of):
+    few_false = {"bits_per_entry": 40, "probes": 12}  # false answers become too rare to matter
     rows = corpus(300, 1) + [(None, "no id"), (5, None), (5, ""), (7, "w1 w2 w1 w2"), (7, "w1 w2 w1 w2"), (9, "w1 " * 30_000)]
     want = brute(rows)
     for options in ({}, {"chars": 2000, "segment_pairs": 500, "most_bytes": 600}):
-        got = L.score_documents(docs_of(rows), **options)
+        got = L.score_documents(docs_of(rows), **few_false, **options)
         assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         found = sorted((str(r[0]), *r[1:]) for r in got.collect())
         assert [f[:5] for f in found] == [w[:5] for w in want]
@@ -69,6 +69,22 @@ def test_scores_equal_plain_counts(spark, docs_of, monkeypatch):
     assert L.score_documents(docs_of(rows).limit(0)).count() == 0
 
 
+def test_registered_settings_stay_near_plain_counts(spark, docs_of):
+    """A false answer raises a pair by one level mostly: few pairs, and never the score of a text by much."""
+    rows = corpus(300, 2)
+    want = brute(rows)
+    found = sorted((str(r[0]), *r[1:]) for r in L.score_documents(docs_of(rows)).collect())
+    assert [f[:5] for f in found] == [w[:5] for w in want]
+    tokens_in_all = sum(w[2] for w in want)
+    gap = np.array([f[6] - w[6] for f, w in zip(found, want)])
+    assert (gap >= -1e-9 * 1000).all()  # never below the plain score
+    assert gap.sum() < 0.02 * tokens_in_all and gap.max() < 3
+    slices = sorted((str(r[0]), *r[1:]) for r in L.score_documents(
+        docs_of(rows), chars=2000, segment_pairs=2000, most_bytes=1).collect())
+    assert [s[:5] for s in slices] == [w[:5] for w in want]
+    assert np.allclose([s[6] for s in slices], [w[6] for w in want], rtol=0.05)
+
+
 def test_filter_gives_the_count_of_the_level():
     rng = np.random.default_rng(1)
     hashes = rng.integers(0, 2**63, 20_000).astype(np.uint64)
