@@ -5,8 +5,9 @@ Rows are ordered by a key of 32 hex digits: the hash of the text, then the hash
 exact bytes below candidate keys, all of them prefixes: first of all rows, then only inside the
 prefixes in which a cut still falls, some digits longer each time, until a cut is within the
 tolerance. The first sixteen digits are the text's, so equal texts stay together; only a text
-that alone holds more than ``CUT`` of a shard may be cut, by the digits of the id. Then the rows
-are exchanged once.
+that alone holds more than ``CUT`` of a shard may be cut, by the digits of the id. If rows that are
+equal in text and id hold that much, the cut falls among them: they are numbered, and a splitter is a
+key and the number of its copies that stay before the cut. Then the rows are exchanged once.
 
 Slots: rows of a shard are counted in runs, the prefixes of its keys that hold few rows each
 (a text with very many copies is run by its id's digits), so no task sees a whole shard.
@@ -51,13 +52,13 @@ def keyed(df: DataFrame) -> DataFrame:
     return rows.groupBy("key", "doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
 
 
-def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[str]:
-    """The first key of every shard but the first."""
+def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[tuple[str, int]]:
+    """For every shard but the first: its first key, and how many copies of that key's rows stay before it."""
     size = F.sum((F.col("size") * F.col("copies")).cast("decimal(38,0)"))
     total = int(rows.agg(size).first()[0] or 0)
     goals = [total * i // shards for i in range(1, shards)]
     slack = total * tolerance / shards
-    found: dict[int, str] = {}
+    found: dict[int, tuple[str, int]] = {}
     below = {"": 0}  # exact bytes below each prefix that is looked into
     known = 0
     for length in LENGTHS:
@@ -66,11 +67,12 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> lis
         inside = rows
         if known:
             inside = rows.where(F.substring("key", 1, known).isin(sorted(below)))
-        counted = inside.groupBy(F.substring("key", 1, length).alias("prefix")).agg(size.alias("bytes"))
-        parts = sorted((r["prefix"], int(r["bytes"])) for r in counted.collect())  # 4096 a prefix
+        counted = inside.groupBy(F.substring("key", 1, length).alias("prefix")).agg(
+            size.alias("bytes"), F.sum("copies").alias("copies"))
+        parts = sorted((r["prefix"], int(r["bytes"]), int(r["copies"])) for r in counted.collect())  # 4096 a prefix
         nearer: dict[str, int] = {}
         at, parent = 0, None
-        for prefix, own in parts:
+        for prefix, own, copies in parts:
             if prefix[:known] != parent:
                 parent = prefix[:known]
                 at = below[parent]
@@ -79,21 +81,33 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> lis
                     continue
                 before, behind = goal - at, at + own - goal
                 whole = length == KEY or length == TEXT and own <= CUT * total / shards
-                if min(before, behind) <= slack or whole:
-                    found[i] = prefix if before <= behind else prefix + "~"  # "~" is behind all digits
+                if length == KEY and copies > 1 and min(before, behind) > slack:
+                    found[i] = prefix, min(copies, round(before * copies / own))  # copies of one size
+                elif min(before, behind) <= slack or whole:
+                    found[i] = (prefix if before <= behind else prefix + "~"), 0  # "~" is behind all digits
                 else:
                     nearer[prefix] = at
             at += own
         below, known = nearer, length
-    return [found.get(i, "~") for i in range(len(goals))]
-
-
-def shard_of(key: Column, cuts: list[str]) -> Column:
-    """How many shards begin at or before the key."""
-    out = F.lit(0)
-    for cut in cuts:
-        out = out + (key >= F.lit(cut)).cast("int")
-    return out
+    return [found.get(i, ("~", 0)) for i in range(len(goals))]
+
+
+def with_shards(rows: DataFrame, cuts: list[tuple[str, int]]) -> DataFrame:
+    """The rows with their shard; a row whose copies lie in several shards becomes a row for each."""
+    first = F.lit(0)
+    for cut, copies in cuts:
+        first = first + (F.col("key") > cut if copies else F.col("key") >= cut).cast("int")
+    inner = [(cut, copies) for cut, copies in cuts if copies]
+    if not inner:
+        return rows.withColumn("shard", first)
+    bounds = F.filter(
+        F.array(*[F.when((F.col("key") == cut) & (F.col("copies") > n), F.lit(n).cast("bigint")) for cut, n in inner]),
+        lambda n: n.isNotNull())
+    rows = rows.withColumn("_b", F.concat(F.array(F.lit(0).cast("bigint")), bounds, F.array("copies")))
+    parts = F.transform(F.sequence(F.lit(0), F.size("_b") - 2), lambda k: F.struct(
+        (first + k).cast("int").alias("shard"), (F.get("_b", k + 1) - F.get("_b", k)).alias("copies")))
+    return rows.withColumn("_p", F.explode(parts)).withColumns({
+        "shard": F.col("_p.shard"), "copies": F.col("_p.copies")}).where("copies > 0").drop("_b", "_p")
 
 
 def with_slots(rows: DataFrame) -> DataFrame:
@@ -132,7 +146,7 @@ def shard_documents(df: DataFrame, shards: int = SHARDS, tolerance: float = TOLE
     """Every row with its shard and slot, under the law ``bytes``."""
     rows = materialise(keyed(df), "shard-keys")
     cuts = splitters(rows, shards, tolerance)
-    placed = unfolded(with_slots(rows.withColumn("shard", shard_of(F.col("key"), cuts))))
+    placed = unfolded(with_slots(with_shards(rows, cuts)))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),

@@ -49,5 +49,16 @@ def test_splitters_find_the_exact_cuts(spark):
     keys = sorted(f"{random.Random(i).getrandbits(128):032x}" for i in range(400))
     rows = spark.createDataFrame([(k, 10, 1) for k in keys], "key string, size bigint, copies bigint")
     cuts = S.splitters(rows, 4, 0.0)
-    below = [sum(k < cut for k in keys) for cut in cuts]
-    assert below == [100, 200, 300]
+    below = [sum(k < cut for k in keys) for cut, _ in cuts]
+    assert below == [100, 200, 300] and all(copies == 0 for _, copies in cuts)
+
+
+def test_equal_rows_that_hold_most_bytes_are_cut_by_their_copies(spark, docs_of):
+    """Rows equal in id and text, also without an id, under the law of equal bytes."""
+    for doc in (77, None):
+        rows = [(doc, "equal row of some bytes")] * 3000 + [(i, f"text number {i}") for i in range(1500)]
+        size, _ = check(rows, S.shard_documents(docs_of(rows), 6).collect(), 6, 0.002)
+        assert max(size) - min(size) <= 0.004 * sum(size) / 6 + 2 * 31 and min(size) > 0
+    rows = [(1, "one row")] * 50
+    size, _ = check(rows, S.shard_documents(docs_of(rows), 24).collect(), 24, 0.002)
+    assert max(size) <= 3 * 15 and sum(size) == 50 * 15
