@@ -106,6 +106,37 @@ def local_outcomes(context: Column) -> Column:
     return F.filter(both, lambda m: (m["ee"] > 0) & (m["ee"] <= 100))
 
 
+def approximate(text: Column, mention: Column) -> Column:
+    """Whether a word of bounds or estimates stands within 90 characters of an outcome mention."""
+    return F.coalesce(window(text, mention["start"], mention["end"], 90).rlike(V.OUTCOME_BOUND), F.lit(False))
+
+
+def page_starts(texts: DataFrame, key: str, text: str, separator: str = "\n") -> DataFrame:
+    """``(key, page, start)``: where each page of a text begins; pages count from 1.
+
+    Positions of the page marks are cut next to the text; only they leave it.
+    """
+    begins = F.concat(F.array(F.lit(0)), F.transform(spans(F.col(text), separator), lambda s: s["end"]))
+    pages = texts.select(key, F.posexplode(begins).alias("_i", "_s"))
+    return pages.select(key, (F.col("_i") + 1).cast("bigint").alias("page"), F.col("_s").cast("bigint").alias("start"))
+
+
+def with_page(rows: DataFrame, starts: DataFrame, key: str, pos: str) -> DataFrame:
+    """The page that each position of a text lies on: the last one that begins at or before it.
+
+    A null position has no page. Positions and page starts of a text meet in position order, so a text with
+    many of both costs their sum and not their product.
+    """
+    plain = F.struct(*rows.columns)
+    either = rows.select(key, F.col(pos).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_page"),
+                         plain.alias("_row"))
+    marks = starts.select(key, F.col("start").alias("_at"), F.lit(0).alias("_kind"), F.col("page").alias("_page"),
+                          F.lit(None).cast(rows.select(plain.alias("r")).schema["r"].dataType).alias("_row"))
+    order = W.partitionBy(key).orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0)
+    found = either.unionByName(marks).withColumn("_page", F.last("_page", ignorenulls=True).over(order))
+    return found.where(F.col("_kind") == 1).select("_row.*", F.when(F.col("_at").isNotNull(), F.col("_page")).alias("page"))
+
+
 def text_candidates(texts: DataFrame, key: str, text: str) -> DataFrame:
     """One candidate per ratio mention with the outcome nearest to the middle of its context."""
     rows = texts.select(key, text, F.explode(spans(F.col(text), V.RATIO_MENTION)).alias("s"))
@@ -115,8 +146,11 @@ def text_candidates(texts: DataFrame, key: str, text: str) -> DataFrame:
         clean_text(window(F.col(text), F.col("s.start"), F.col("s.end"), 500)).alias("context"))
     middle = F.floor(F.length("context") / 2)
     ranked = F.transform(local_outcomes(F.col("context")), lambda m, i: F.struct(
-        F.abs((m["start"] + m["end"]) / 2 - middle).alias("d"), i.alias("i"), m["ee"].alias("ee")))
-    return rows.withColumn("ee", F.array_min(ranked)["ee"]).withColumn("source", F.lit("text"))
+        F.abs((m["start"] + m["end"]) / 2 - middle).alias("d"), i.alias("i"), m["ee"].alias("ee"),
+        m["start"].alias("start"), m["end"].alias("end")))
+    rows = rows.withColumn("_m", F.array_min(ranked))
+    return rows.withColumns({"ee": F.col("_m.ee"), "approx": approximate(F.col("context"), F.col("_m")),
+                             "source": F.lit("text")}).drop("_m")
 
 
 def caption_candidates(texts: DataFrame, key: str, text: str, width: int | None = None) -> DataFrame:
@@ -134,11 +168,12 @@ def caption_candidates(texts: DataFrame, key: str, text: str, width: int | None
     rows = rows.select(key, F.col("c.pos").alias("caption_at"), F.col("c.chunk").alias("chunk"),
                        F.explode(spans(F.col("c.chunk"), V.RATIO_MENTION)).alias("s"))
     rows = rows.where(malformed_reason_wide(F.col("s.hit")).isNull())
+    mention = F.get(local_outcomes(F.col("chunk")), F.lit(0))
     return rows.select(
         key, (F.col("caption_at") + F.col("s.start")).cast("bigint").alias("pos"),
         F.col("s.hit").alias("raw"), ratio_values(F.col("s.hit")).alias("vals"),
         clean_text(F.col("chunk")).alias("context"),
-        F.get(local_outcomes(F.col("chunk")), F.lit(0))["ee"].alias("ee"),
+        mention["ee"].alias("ee"), approximate(F.col("chunk"), mention).alias("approx"),
         F.lit("caption").alias("source"))
 
 
@@ -150,10 +185,11 @@ def table_line_candidates(cells: DataFrame) -> DataFrame:
     rows = lines.select("doc_id", "tbl_no", "row_no", "context",
                         F.explode(spans(F.col("context"), V.RATIO_MENTION)).alias("s"))
     rows = rows.where(malformed_reason_wide(F.col("s.hit")).isNull())
+    mention = F.get(local_outcomes(F.col("context")), F.lit(0))
     return rows.select(
         "doc_id", (F.col("row_no") * 1000 + F.col("s.start")).cast("bigint").alias("pos"),
         F.col("s.hit").alias("raw"), ratio_values(F.col("s.hit")).alias("vals"), "context",
-        F.get(local_outcomes(F.col("context")), F.lit(0))["ee"].alias("ee"),
+        mention["ee"].alias("ee"), approximate(F.col("context"), mention).alias("approx"),
         F.lit("table").alias("source"))
 
 
@@ -347,8 +383,14 @@ def excerpt_tables(cells: DataFrame, captions: DataFrame, max_tables: int | None
         F.array_sort(F.collect_list(F.struct("tbl_no", "block")))["block"], "").alias("tables"))
 
 
+def paged(candidates: DataFrame, starts: DataFrame) -> DataFrame:
+    """Candidates with the page they stand on; those of tables have positions of their own and no page."""
+    at = F.when(F.col("source") != "table", F.col("pos"))
+    return with_page(candidates.withColumn("_text_pos", at), starts, "doc_id", "_text_pos").drop("_text_pos")
+
+
 def draft_rows(ranked: DataFrame, meta: DataFrame, doc_cargo: DataFrame, per_doc: int | None = None) -> DataFrame:
-    """Ranked candidates in the draft schema, with repair notes; the first ``per_doc`` if given."""
+    """Ranked and paged candidates in the draft schema, with repair notes; the first ``per_doc`` if given."""
     rows = ranked if per_doc is None else ranked.where(F.col("rank") <= per_doc)
     rows = rows.join(meta, "doc_id", "left").join(
         doc_cargo.withColumnRenamed("cargo", "doc_cargo"), "doc_id", "left")
@@ -367,12 +409,13 @@ def draft_rows(ranked: DataFrame, meta: DataFrame, doc_cargo: DataFrame, per_doc
         F.coalesce("peg", F.lit("")).alias("peg_lipid_name"),
         F.col("size").alias("particle_size_nm_std_num"), F.col("pdi").alias("pdi_std_num"),
         F.col("zeta").alias("zeta_potential_mv_std_num"), none.alias("ionizable_lipid_smiles"),
-        F.lit("page 1").alias("source_note"), "source", F.col("score").alias("confidence_score"),
+        F.coalesce(F.concat(F.lit("page "), F.col("page").cast("string")), F.lit("table")).alias("source_note"), "source", F.col("score").alias("confidence_score"),
         F.col("context").alias("evidence"), "title", F.col("warnings").alias("chem_warnings"),
-        "pmcid", F.lit(False).alias("ee_is_approximate"), notes.alias("repair_note"))
+        "pmcid", F.col("approx").alias("ee_is_approximate"), notes.alias("repair_note"))
 
 
 def candidate_summary(ranked: DataFrame) -> DataFrame:
+    """Ranked and paged candidates in short."""
     return ranked.select(
-        "doc_id", F.lit(1).cast("bigint").alias("page"), "ratio", "total", "ee", "ionizable", "helper",
+        "doc_id", "page", "ratio", "total", "ee", "ionizable", "helper",
         "peg", "score", "rank")

@@ -21,6 +21,7 @@ from formulake.plans.q_stats import rounded
 from formulake.plans.registry import query
 from formulake.plans.sqlviews import lit, sql
 from formulake.plans.sqlviews import r6 as q6
+from formulake.session import materialise
 
 
 def sql_number(e: str, pattern: str) -> str:
@@ -124,32 +125,46 @@ def sql_local(ctx: str) -> str:
     return f"list_filter(list_concat({', '.join(parts)}), lambda m: m.ee > 0 AND m.ee <= 100)"
 
 
+def sql_approx(ctx: str, m: str) -> str:
+    """Whether a bounding word stands within 90 characters of a mention."""
+    left = f"greatest(0, {m}.start - 90)"
+    return (f"coalesce(regexp_matches(substring({ctx}, {left} + 1, {m}.stop + 90 - {left}), "
+            f"{lit(V.OUTCOME_BOUND)}), false)")
+
+
+def sql_page(pos: str) -> str:
+    """Page of a position: pages are the lines of a body."""
+    return f"1 + length(substring(body, 1, {pos})) - length(replace(substring(body, 1, {pos}), chr(10), ''))"
+
+
 _VALS = "list_transform(string_split_regex(s.hit, '\\s*[:/;,|-]\\s*'), lambda v: cast(v as double))"
 CAND_SQL = f"""
 cand_text AS (
-  SELECT doc_id, pos, raw, vals, context, 'text' AS source,
-    list_sort(list_transform({sql_local('context')}, lambda m, i: {{'d': abs((m.start + m.stop) / 2 - length(context) // 2),
-      'i': i, 'ee': m.ee}}))[1].ee AS ee
+  SELECT doc_id, pos, raw, vals, context, 'text' AS source, m.ee AS ee, {sql_approx('context', 'm')} AS approx
+  FROM (SELECT *, list_sort(list_transform({sql_local('context')}, lambda m, i: {{'d': abs((m.start + m.stop) / 2
+      - length(context) // 2), 'i': i, 'ee': m.ee, 'start': m.start, 'stop': m.stop}}))[1] AS m
   FROM (SELECT doc_id, s.start AS pos, s.hit AS raw, {_VALS} AS vals, {sql_clean_text(sql_window('s', 500, 500))} AS context
         FROM (SELECT doc_id, body, unnest({sql_spans('body', RUN_SQL)}) AS s FROM articles))
-  WHERE len(vals) = 4),
+  WHERE len(vals) = 4)),
 figs AS (SELECT doc_id, body, {sql_spans('body', lit(V.FIGURE_MARK))} AS m FROM articles),
 caps AS (SELECT doc_id, c.start AS cat, substring(body, c.start + 1,
            coalesce(m[i + 1].start, length(body)) - c.start) AS chunk
   FROM (SELECT doc_id, body, m, unnest(m) AS c, unnest(range(1, len(m) + 1)) AS i FROM figs)),
 cand_caption AS (
   SELECT doc_id, cat + s.start AS pos, s.hit AS raw, {_VALS} AS vals, {sql_clean_text('chunk')} AS context, 'caption' AS source,
-    {sql_local('chunk')}[1].ee AS ee
-  FROM (SELECT *, unnest({sql_spans('chunk', RUN_SQL)}) AS s FROM caps) WHERE len({_VALS}) = 4),
+    m.ee AS ee, {sql_approx('chunk', 'm')} AS approx
+  FROM (SELECT *, {sql_local('chunk')}[1] AS m, unnest({sql_spans('chunk', RUN_SQL)}) AS s FROM caps)
+  WHERE len({_VALS}) = 4),
 table_lines AS (SELECT doc_id, tbl_no, row_no, string_agg({sql_clean_text('cell')}, ' | ' ORDER BY col_no) AS context
   FROM cells GROUP BY 1, 2, 3),
 cand_table AS (
   SELECT doc_id, row_no * 1000 + s.start AS pos, s.hit AS raw, {_VALS} AS vals, context, 'table' AS source,
-    {sql_local('context')}[1].ee AS ee
-  FROM (SELECT *, unnest({sql_spans('context', RUN_SQL)}) AS s FROM table_lines) WHERE len({_VALS}) = 4),
-cand AS (SELECT doc_id, pos, raw, vals, context, ee, source FROM cand_text
-  UNION ALL SELECT doc_id, pos, raw, vals, context, ee, source FROM cand_caption
-  UNION ALL SELECT doc_id, pos, raw, vals, context, ee, source FROM cand_table),
+    m.ee AS ee, {sql_approx('context', 'm')} AS approx
+  FROM (SELECT *, {sql_local('context')}[1] AS m, unnest({sql_spans('context', RUN_SQL)}) AS s FROM table_lines)
+  WHERE len({_VALS}) = 4),
+cand AS (SELECT doc_id, pos, raw, vals, context, ee, approx, source FROM cand_text
+  UNION ALL SELECT doc_id, pos, raw, vals, context, ee, approx, source FROM cand_caption
+  UNION ALL SELECT doc_id, pos, raw, vals, context, ee, approx, source FROM cand_table),
 scored AS (
   SELECT *, {sql_warnings('ratio')} AS warnings, round(least(0.99::double, CASE source """ + " ".join(
     f"WHEN '{s}' THEN {b}" for s, b in V.SCORE_BASE.items()) + """ END
@@ -169,11 +184,14 @@ ranked AS (
   FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ratio, ee, ionizable ORDER BY score DESC, (ee IS NOT NULL) DESC,
       (source = 'table') DESC, CASE source WHEN 'table' THEN 1 WHEN 'text' THEN 2 ELSE 3 END, pos) AS rn FROM scored)
   WHERE rn = 1)"""
+PAGED_SQL = f"""
+paged AS (SELECT ranked.*, CASE WHEN source <> 'table' THEN {sql_page('pos')} END AS page
+  FROM ranked JOIN articles USING (doc_id))"""
 
 
 def candidates(spark, sf_dir):
     arts, cells = P.articles(spark, sf_dir), P.cells(spark, sf_dir)
-    cols = ["doc_id", "pos", "raw", "vals", "context", "ee", "source"]
+    cols = ["doc_id", "pos", "raw", "vals", "context", "ee", "approx", "source"]
     return (
         X.text_candidates(arts, "doc_id", "body").select(*cols)
         .unionByName(X.caption_candidates(arts, "doc_id", "body").select(*cols))
@@ -207,6 +225,15 @@ def ranked(spark, sf_dir):
     return X.rank_candidates(X.score_candidates(candidates(spark, sf_dir)))
 
 
+def starts(spark, sf_dir):
+    """Pages are the lines of a body, as in ``scan_page_text``."""
+    return X.page_starts(P.articles(spark, sf_dir), "doc_id", "body")
+
+
+def paged(spark, sf_dir):
+    return X.paged(ranked(spark, sf_dir), starts(spark, sf_dir))
+
+
 @query("candidate_rank", sql("articles cells", """
 SELECT doc_id, rank, source, pos, ratio, ee, ionizable, score FROM ranked""", CAND_SQL))
 def q_candidate_rank(spark, sf_dir):
@@ -224,9 +251,9 @@ def q_top_candidates(spark, sf_dir):
 
 
 @query("candidate_summary", sql("articles cells", """
-SELECT doc_id, cast(1 as bigint) AS page, ratio, total, ee, ionizable, helper, peg, score, rank FROM ranked""", CAND_SQL))
+SELECT doc_id, page, ratio, total, ee, ionizable, helper, peg, score, rank FROM paged""", CAND_SQL, PAGED_SQL))
 def q_candidate_summary(spark, sf_dir):
-    out = X.candidate_summary(ranked(spark, sf_dir))
+    out = X.candidate_summary(paged(spark, sf_dir))
     return out.withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -235,37 +262,44 @@ SELECT doc_id, doi AS reference_doi, ratio AS lipid_molar_ratio, coalesce(ioniza
   ee AS encapsulation_efficiency_percent_std_num, np AS np_ratio_std_num, ph AS buffer_ph_std_num,
   coalesce(cargo, doc_cargo) AS cargo_type, coalesce(helper, '') AS helper_lipid_name,
   coalesce(peg, '') AS peg_lipid_name, size AS particle_size_nm_std_num, pdi AS pdi_std_num,
-  zeta AS zeta_potential_mv_std_num, NULL::varchar AS ionizable_lipid_smiles, 'page 1' AS source_note, source,
-  score AS confidence_score, context AS evidence, title, warnings AS chem_warnings, pmcid, false AS ee_is_approximate,
+  zeta AS zeta_potential_mv_std_num, NULL::varchar AS ionizable_lipid_smiles, coalesce('page ' || page, 'table') AS source_note, source,
+  score AS confidence_score, context AS evidence, title, warnings AS chem_warnings, pmcid, approx AS ee_is_approximate,
   concat_ws(' | ', CASE WHEN raw <> ratio THEN 'ratio rewritten in canonical form' END,
     CASE WHEN NOT order_detected THEN 'component order not certain' END,
     CASE WHEN ee IS NULL THEN 'no outcome in the text' END) AS repair_note
-FROM ranked JOIN meta USING (doc_id)
+FROM paged JOIN meta USING (doc_id)
 JOIN (SELECT doc_id, {sql_cargo_words('lower(body)')} AS doc_cargo FROM articles) USING (doc_id)""",
-    CAND_SQL, META_SQL))
+    CAND_SQL, PAGED_SQL, META_SQL))
 def q_draft_rows(spark, sf_dir):
     arts = P.articles(spark, sf_dir)
     meta = X.doc_metadata(arts, "doc_id", "body")
     cargo = arts.select("doc_id", cargo_from_words(F.col("body")).alias("cargo"))
-    return X.draft_rows(ranked(spark, sf_dir), meta, cargo)
+    return X.draft_rows(paged(spark, sf_dir), meta, cargo)
 
 
 ALL_EE_SQL = f"""
-all_ee AS (SELECT doc_id, m.ee AS ee FROM (SELECT doc_id, unnest({sql_local('body')}) AS m FROM articles))"""
+all_ee AS (SELECT doc_id, m.ee AS ee, {sql_page('m.start')} AS page
+  FROM (SELECT doc_id, body, unnest({sql_local('body')}) AS m FROM articles))"""
 
 
 @query("doc_summary", sql("articles cells", """
-SELECT doc_id, cast(1 as bigint) AS n_pages, coalesce(c, 0) AS n_candidates, coalesce(e, 0) AS n_outcomes
+SELECT doc_id, 1 + length(body) - length(replace(body, chr(10), '')) AS n_pages, coalesce(c, 0) AS n_candidates,
+  coalesce(e, 0) AS n_outcomes
 FROM articles LEFT JOIN (SELECT doc_id, count(*) AS c FROM ranked GROUP BY 1) USING (doc_id)
-LEFT JOIN (SELECT doc_id, count(DISTINCT ee) AS e FROM (
-  SELECT doc_id, ee FROM all_ee UNION ALL SELECT doc_id, ee FROM ranked WHERE ee IS NOT NULL) GROUP BY 1) USING (doc_id)""",
-    CAND_SQL, ALL_EE_SQL))
+LEFT JOIN (SELECT doc_id, count(DISTINCT (ee, page)) AS e FROM (
+  SELECT doc_id, ee, page FROM all_ee UNION ALL SELECT doc_id, ee, page FROM paged WHERE ee IS NOT NULL)
+  GROUP BY 1) USING (doc_id)""",
+    CAND_SQL, PAGED_SQL, ALL_EE_SQL))
 def q_doc_summary(spark, sf_dir):
+    """Pages, candidates, and different outcomes by page of every document."""
     arts = P.articles(spark, sf_dir)
-    best = ranked(spark, sf_dir).select("doc_id", "ee")
-    pages = arts.select("doc_id", F.size(F.split("body", "\f")).cast("bigint").alias("n_pages"))
-    own = arts.select("doc_id", F.explode(X.local_outcomes(F.col("body"))["ee"]).alias("ee"))
-    values = own.unionByName(best).groupBy("doc_id").agg(F.count_distinct("ee").alias("n_outcomes"))
+    best = materialise(paged(spark, sf_dir).select("doc_id", "ee", "page"), "paged")
+    own = arts.select("doc_id", F.explode(X.local_outcomes(F.col("body"))).alias("m")).select(
+        "doc_id", "m.ee", F.col("m.start").cast("bigint").alias("at"))
+    own = X.with_page(own, starts(spark, sf_dir), "doc_id", "at").drop("at")
+    pages = starts(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_pages"))
+    values = own.unionByName(best.where("ee is not null")).groupBy("doc_id").agg(
+        F.count_distinct(F.struct("ee", "page")).alias("n_outcomes"))
     counts = best.groupBy("doc_id").agg(F.count("*").alias("n_candidates"))
     out = pages.join(counts, "doc_id", "left").join(values, "doc_id", "left")
     zero = F.lit(0)
