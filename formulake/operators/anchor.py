@@ -84,13 +84,32 @@ def publish(offsets: DataFrame, study: str, seq: int, already_shrunk: bool = Fal
         F.greatest(F.col("k"), F.lit(1)))
     return offsets.withColumns({
         "shrunk": value, "already_shrunk": F.lit(already_shrunk),
-        "published": F.lit(seq).cast("bigint"),
+        "published": F.lit(seq).cast("bigint"), "active": F.lit(True),
     })
 
 
+def cleared(records: DataFrame, study: str, studies: DataFrame, seq: int) -> DataFrame:
+    """The records and one more for each of some studies that takes its offset back."""
+    newest = top_rows(records, [study], [F.col("published").desc()], 1, "_rn").drop("_rn")
+    taken = newest.join(studies.select(study).distinct(), study, "left_semi")
+    return records.unionByName(taken.withColumns({
+        "published": F.lit(seq).cast("bigint"), "active": F.lit(False)}))
+
+
 def active_offsets(records: DataFrame, study: str) -> DataFrame:
-    """The newest record of every study."""
-    return top_rows(records, [study], [F.col("published").desc()], 1, "_rn").drop("_rn")
+    """The newest record of every study whose offset was not taken back."""
+    newest = top_rows(records, [study], [F.col("published").desc()], 1, "_rn").drop("_rn")
+    return newest.where("active").drop("active")
+
+
+def with_errors(offsets: DataFrame, rows: DataFrame, study: str, y: str, pred: str) -> DataFrame:
+    """Offset records with the mean error of their study's rows before and after the offset."""
+    moved = with_offset(rows, offsets.withColumn("ref_pred", F.lit(None).cast("double")), study)
+    after = clipped(F.col(pred), F.col("offset"))
+    errors = moved.groupBy(study).agg(
+        F.count("*").alias("n_rows"), F.avg(F.abs(F.col(y) - F.col(pred))).alias("mae_before"),
+        F.avg(F.abs(F.col(y) - after)).alias("mae_after"))
+    return offsets.join(errors, study)
 
 
 def with_offset(df: DataFrame, offsets: DataFrame, study: str) -> DataFrame:

@@ -239,8 +239,29 @@ def validate_report(df: DataFrame, study: str, ratio: str, outcome: str, cargo:
     )
 
 
-def report_passes(report: DataFrame) -> DataFrame:
-    return report.agg(F.bool_and(F.col("level") != "fail").alias("passed"))
+def validate_upload(df: DataFrame, columns: dict[str, str], required: list[str], strict: bool = False) -> DataFrame:
+    """``validate_report`` of a table that may lack columns, with an overall verdict.
+
+    ``columns`` names the table's study, ratio, outcome, cargo and smiles columns. If a ``required`` one of
+    these is not there, only that is reported. A missing optional column counts as empty. The rule
+    ``missing_columns`` says which are missing, the rule ``passed`` how many rules failed: "ok" if none.
+    """
+    spark = df.sparkSession
+    there = {c.lower() for c in df.columns}
+    missing = [columns[role] for role in required if columns[role].lower() not in there]
+    head = spark.createDataFrame(
+        [("missing_columns", "fail" if missing else "ok", len(missing), ", ".join(missing))],
+        "rule string, level string, n bigint, samples string")
+    if missing:
+        report = head
+    else:
+        empty = {name: F.lit(None).cast("string") for name in columns.values() if name.lower() not in there}
+        report = head.unionByName(validate_report(df.withColumns(empty), **columns, strict=strict))
+    failed = F.count_if(F.col("level") == "fail")
+    verdict = report.agg(
+        F.lit("passed").alias("rule"), F.when(failed == 0, "ok").otherwise("fail").alias("level"),
+        failed.alias("n"), F.lit("").alias("samples"))
+    return report.unionByName(verdict)
 
 
 def first_reason(*rules: tuple[Column, str]) -> Column:

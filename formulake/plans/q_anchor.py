@@ -93,6 +93,20 @@ def q_publish_offset(spark, sf_dir):
     return rounded(out, "raw", "shrunk", "ref_pred")
 
 
+@query("offset_errors", sql("oof_small", f"""
+SELECT study, {q6('shrunk')} AS shrunk, count(*) AS n_rows, {q6('avg(abs(y - pred))')} AS mae_before,
+  {q6('avg(abs(y - CASE WHEN shrunk = 0 THEN pred ELSE least(100, greatest(0, pred + shrunk)) END))')} AS mae_after
+FROM oof JOIN offsets USING (study) WHERE study NOT LIKE '%3' GROUP BY study, shrunk""", PUBLISHED_SQL))
+def q_offset_errors(spark, sf_dir):
+    """Active offsets after those of some studies were taken back, with the errors before and after."""
+    held = published(spark, sf_dir).drop("n_rows", "ref_pred").withColumn("active", F.lit(True))
+    gone = held.where(F.col("study").endswith("3")).select("study")
+    left = AN.active_offsets(AN.cleared(held, "study", gone, 3), "study")
+    rows = P.oof(spark, sf_dir, "study_small").select("row_id", "study", "pred", "y")
+    out = AN.with_errors(left, rows, "study", "y", "pred")
+    return rounded(out.select("study", "shrunk", "n_rows", "mae_before", "mae_after"), "shrunk", "mae_before", "mae_after")
+
+
 MOVED_SQL = """
 moved AS (SELECT row_id, study, pred, y, CASE WHEN order_key THEN shrunk * 3 ELSE 0 END AS o, ref_pred AS ref
   FROM (SELECT oof.*, study LIKE '%1' OR study LIKE '%2' AS order_key FROM oof) JOIN offsets USING (study))"""

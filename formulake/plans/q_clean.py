@@ -533,3 +533,31 @@ SELECT count(*) AS n_input, cast(count_if(why IS NULL) as bigint) AS n_accepted,
 def q_screen_counters(spark, sf_dir):
     return K.screen_counters(
         K.screen_new_rows(P.batch(spark, sf_dir), P.store(spark, sf_dir), **K.FORM_COLUMNS))
+
+
+UPLOAD_COLUMNS = {"study": "study", "ratio": "ratio_raw", "outcome": "outcome_raw", "cargo": "cargo_raw", "smiles": "smiles"}
+
+
+LEVELS_SQL = """
+counted AS (SELECT rule, max(bad) AS bad, cast(count_if(hit) as bigint) AS n,
+    coalesce(array_to_string(list_slice(list_sort(list_distinct(list(CASE WHEN hit THEN sample END))), 1, 3), ', '), '') AS samples
+  FROM rep_flags GROUP BY rule),
+levels AS (SELECT rule, CASE WHEN n = 0 THEN 'ok' ELSE bad END AS level, n, samples FROM counted
+  UNION ALL SELECT 'few_studies', CASE WHEN count(DISTINCT lower(study)) < 10 THEN 'warn' ELSE 'ok' END,
+    count(DISTINCT lower(study)), '' FROM rep)"""
+
+
+@query("validate_upload", sql("form lookup", """
+SELECT 'whole' AS upload, * FROM levels
+UNION ALL SELECT 'whole', 'missing_columns', 'ok', 0, ''
+UNION ALL SELECT 'whole', 'passed', CASE WHEN count_if(level = 'fail') = 0 THEN 'ok' ELSE 'fail' END, count_if(level = 'fail'), '' FROM levels
+UNION ALL SELECT 'without outcome', 'missing_columns', 'fail', 1, 'outcome_raw'
+UNION ALL SELECT 'without outcome', 'passed', 'fail', 1, ''""", _REPORT_BASE, LEVELS_SQL))
+def q_validate_upload(spark, sf_dir):
+    """The report of a whole upload, and of one that lacks a required column."""
+    rows = report_rows(spark, sf_dir)
+    required = ["study", "ratio", "outcome"]
+    whole = C.validate_upload(rows, UPLOAD_COLUMNS, required)
+    part = C.validate_upload(rows.drop("outcome_raw"), UPLOAD_COLUMNS, required)
+    return whole.select(F.lit("whole").alias("upload"), "*").unionByName(
+        part.select(F.lit("without outcome").alias("upload"), "*"))
