@@ -10,7 +10,9 @@ distance. Other blocks that hold text directly are paragraphs too and their own
 element's points are discounted by its link density, the share of its text that is inside links.
 The element with the most points is the main container. Siblings join it if their
 own points reach a fifth of its points, or if they are paragraphs of some length with few links;
-headings of the page's level one right before it belong to it too.
+headings of the page's level one belong to it too, and what stands between such siblings: headings, and
+blocks of any length with few links. So do headings right before the first of them, and behind the last
+one a heading like those before with the blocks under it.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined in page order by one space. Nothing is capped. A null page counts as empty;
@@ -274,16 +276,33 @@ def main_nodes(root: Node) -> list[Node]:
     if best.parent is None:
         return [best]
     least = SIBLING_SHARE * value.get(id(best), best.points)
-    out = []
-    for node in best.parent.parts:
-        if not isinstance(node, Node) or not node.kept:
-            continue
+    row = [n for n in best.parent.parts if isinstance(n, Node) and n.kept and n.chars]
+
+    def belongs(node: Node) -> bool:
         strong = value.get(id(node), 0.0) >= least and node.points > 0
         plain = node.tag in PARAGRAPHS and node.chars >= SIBLING_CHARS and density(node) < SIBLING_LINKS
-        heading = node.tag == "h1" and node.chars > 0
-        if node is best or strong or plain or heading:
-            out.append(node)
-    return out
+        return node is best or strong or plain or node.tag == "h1"
+
+    chosen = [i for i, node in enumerate(row) if belongs(node)]
+    first, last = chosen[0], chosen[-1]
+    own = set(chosen) | {i for i in range(first, last) if fills(row[i])}
+    while first and row[first - 1].tag in HEADINGS:
+        first -= 1
+        own.add(first)
+    levels = {row[i].tag for i in own if row[i].tag in HEADINGS}
+    at = last + 1
+    while at + 1 < len(row) and row[at].tag in levels and fills(row[at + 1]) and row[at + 1].tag not in HEADINGS:
+        own.add(at)
+        at += 1
+        while at < len(row) and fills(row[at]) and row[at].tag not in HEADINGS:
+            own.add(at)
+            at += 1
+    return [row[i] for i in sorted(own)]
+
+
+def fills(node: Node) -> bool:
+    """Whether an element belongs to an article that goes on behind it."""
+    return node.tag in HEADINGS or node.tag in BLOCKS and density(node) < SIBLING_LINKS
 
 
 def keep_frames(root: Node) -> None:

@@ -35,6 +35,24 @@ def test_no_article_element():
     assert P.main_text(page(f"<div>{FILL}<br><br>{FILL}</div><div><a href=x>links</a></div>")) == " ".join([FILL.strip()] * 2)
 
 
+def test_sections_side_by_side_keep_headings_and_short_ends():
+    def body(*sections, after=""):
+        parts = "".join(f"<h2>{h}</h2><div class=s>{t}</div>" for h, t in sections)
+        return page(f"<nav><a href=x>Menu</a></nav><div id=c><h1>Title</h1>{parts}{after}</div><footer>end</footer>")
+
+    two = f"<p>{FILL}</p><p>{FILL}</p>"
+    got = P.main_text(body(("Sub one", two), ("Sub two", "<p>Short end.</p>")))
+    assert got == f"Title Sub one {FILL.strip()} {FILL.strip()} Sub two Short end."
+    five = [(f"Part {k}", f"<p>{FILL}</p>" if k % 2 else "<p>Short one.</p>") for k in range(5)]
+    links = "<h3>Read on</h3><ul>" + "".join(f"<li><a href={k}>Another title</a></li>" for k in range(5)) + "</ul>"
+    got = P.main_text(body(("Sub one", two), ("Sub two", "<p>Short end.</p>"), after=links))
+    assert got == f"Title Sub one {FILL.strip()} {FILL.strip()} Sub two Short end."
+    got = P.main_text(body(*five))
+    assert got == "Title " + " ".join(f"Part {k} {FILL.strip() if k % 2 else 'Short one.'}" for k in range(5))
+    got = P.main_text(page(f"<div><h2>Alone</h2><div><p>{FILL}</p><p>{FILL}</p></div><div>Copyright holder</div></div>"))
+    assert got == f"Alone {FILL.strip()} {FILL.strip()}"
+
+
 def test_broken_and_odd_pages():
     assert P.main_text(None) == P.main_text("") == P.main_text("<p></p>") == P.main_text("<!-- x") == ""
     assert P.main_text("just text") == "just text"
