@@ -7,11 +7,13 @@ what a message says itself; they are joined to the quoted passages of the same c
 
 A message replies to the first earlier message of its conversation that says a passage quoted
 in it. With ``partial`` (as the query has it), a quoted passage that no earlier message says as a
-whole goes by its lines and sentences: to the earlier message that most of them were first said
-in, then to the latest. Of a message's passages the one with the lowest level decides, then one
-found as a whole, then the latest turn. A message without such a quotation begins a thread.
-Threads are followed by pointer jumping: after k rounds every reply knows the message 2^k steps up. Order inside a conversation: by the turn of
-the thread's first message, then by the number of replies down to the message, then by turn, so
+whole goes by its lines or by its sentences: to an earlier message that lines (or sentences) with at
+least half of the passage's characters were first said in. Of several, the one with the most weight
+decides, where a piece weighs its characters over the number of messages of the conversation that say
+it, then the latest. So a common line alone links nothing but itself. Of a message's passages the one
+with the lowest level decides, then one found as a whole, then the latest turn. A message without such
+a quotation begins a thread. Threads are followed by pointer jumping: after k rounds every reply knows
+the message 2^k steps up. Order inside a conversation: by the turn of the thread's first message, then by the number of replies down to the message, then by turn, so
 every message stands behind the one it replies to. ``sort_key`` sorts like that as text. The own
 text is left without quotations, and formatted as one chat turn.
 
@@ -93,10 +95,18 @@ def own_text(lines: Column) -> Column:
     return F.trim(F.regexp_replace(F.array_join(F.transform(kept, lambda x: x["text"]), "\n"), r"^\s+|\s+$", ""))
 
 
+LINE, SENTENCE = 0, 1
+PIECES = "array<struct<kind:int,hash:bigint,chars:bigint>>"
+WEIGHT = 1000  # of a character that a single message says
+
+
 def pieces(passage: Column) -> Column:
-    """Hashes of the lines and the sentences of a passage."""
-    texts = F.concat(passage["lines"], F.split(passage["text"], SENTENCE_END, -1))
-    return F.array_distinct(F.transform(texts, lambda t: F.xxhash64(t)))
+    """The different lines and the different sentences of a passage, hashed, with their characters."""
+    def of(texts: Column, kind: int) -> Column:
+        return F.transform(F.array_distinct(texts), lambda t: F.struct(
+            F.lit(kind).alias("kind"), F.xxhash64(t).alias("hash"), F.length(t).cast("bigint").alias("chars")))
+
+    return F.concat(of(passage["lines"], LINE), of(F.split(passage["text"], SENTENCE_END, -1), SENTENCE))
 
 
 def parsed(messages: DataFrame, partial: bool = False) -> DataFrame:
@@ -111,8 +121,8 @@ def parsed(messages: DataFrame, partial: bool = False) -> DataFrame:
         F.filter("lines", lambda x: x["level"] == 0), lambda x: normal(x["text"])), lambda t: t != "")
     says = F.transform(F.concat(F.transform(said, lambda p: p["text"]), single), lambda t: F.xxhash64(t))
     if partial:
-        says = F.concat(says, F.flatten(F.transform(said, pieces)))
-    none = F.array().cast("array<bigint>")
+        says = F.concat(says, F.transform(F.flatten(F.transform(said, pieces)), lambda x: x["hash"]))
+    none = F.array().cast(PIECES)
     return cut.select(
         "conv_id", "turn", "role", own_text(F.col("lines")).alias("own"), F.array_distinct(says).alias("says"),
         F.transform(F.filter("passages", lambda p: p["level"] > 0), lambda p: F.struct(
@@ -130,19 +140,22 @@ def reply_links(rows: DataFrame) -> DataFrame:
     quoted = rows.where(placed).select("conv_id", "turn", F.explode("quotes").alias("q")).select(
         "conv_id", "turn", "q.level", "q.hash", "q.pieces")
     whole = quoted.select("conv_id", "hash")
-    wanted = whole.unionByName(quoted.select("conv_id", F.explode("pieces").alias("hash"))).distinct()
+    wanted = whole.unionByName(quoted.select("conv_id", F.explode("pieces.hash").alias("hash"))).distinct()
     said = rows.where(placed).select("conv_id", "turn", F.explode("says").alias("hash"))
-    first = materialise(said.groupBy("conv_id", "hash").agg(F.min("turn").alias("parent")).join(
-        wanted, ["conv_id", "hash"], "left_semi"), "sayings")
+    sayings = said.groupBy("conv_id", "hash").agg(F.min("turn").alias("parent"), F.count("*").alias("sayers"))
+    first = materialise(sayings.join(wanted, ["conv_id", "hash"], "left_semi"), "sayings")
     passage = ["conv_id", "turn", "level", "hash"]
-    found = quoted.join(first, ["conv_id", "hash"]).where(F.col("parent") < F.col("turn")).select(
+    found = quoted.join(first.drop("sayers"), ["conv_id", "hash"]).where(F.col("parent") < F.col("turn")).select(
         *passage, "parent").distinct()
-    # the message that most lines and sentences of a passage agree on, then the latest
-    parts = quoted.join(found, passage, "left_anti").select(
-        *passage, F.explode("pieces").alias("piece")).distinct()
+    # the message that holds half of a passage, by its lines or by its sentences
+    parts = quoted.join(found, passage, "left_anti").select(*passage, F.explode("pieces").alias("piece")).distinct()
+    parts = parts.select(*passage, "piece.kind", "piece.chars", F.col("piece.hash").alias("piece"))
+    sizes = parts.groupBy(*passage, "kind").agg(F.sum("chars").alias("size"))
     agreed = parts.join(first.withColumnRenamed("hash", "piece"), ["conv_id", "piece"]).where(
-        F.col("parent") < F.col("turn")).groupBy(*passage, "parent").agg(F.count("*").alias("n"))
-    most = agreed.groupBy(*passage).agg(F.max(F.struct("n", "parent")).alias("m")).select(
+        F.col("parent") < F.col("turn")).groupBy(*passage, "kind", "parent").agg(
+        F.sum("chars").alias("same"), F.sum(F.floor(F.col("chars") * WEIGHT / F.col("sayers"))).alias("weight"))
+    enough = agreed.join(sizes, [*passage, "kind"]).where(2 * F.col("same") >= F.col("size"))
+    most = enough.groupBy(*passage).agg(F.max(F.struct("weight", "parent")).alias("m")).select(
         *passage, F.col("m.parent").alias("parent"))
     either = found.withColumn("part", F.lit(0)).unionByName(most.withColumn("part", F.lit(1)))
     best = F.min(F.struct("level", "part", (-F.col("parent")).alias("back")))

@@ -10,7 +10,7 @@ def norm(text):
     return re.sub(r"\s+", " ", text).strip(" ").lower()
 
 
-def parse(text):
+def parse(text, partial=False):
     lines = []
     for line in re.split(r"\r?\n", text or ""):
         marks = re.match(r"[ \t]*((?:>[ \t]*)*)", line)
@@ -27,22 +27,48 @@ def parse(text):
     own = "\n".join(b for v, b in lines if v == 0).strip()
     joined = [(v, " ".join(b)) for v, b in passages]
     says = {b for v, b in joined if v == 0} | {norm(b) for v, b in lines if v == 0 and norm(b)}
-    return own, says, [(v, b) for v, b in joined if v > 0]
+    for v, b in passages:
+        if v == 0 and partial:
+            says |= set(b) | set(sentences(" ".join(b)))
+    return own, says, [(v, " ".join(b), b) for v, b in passages if v > 0]
 
 
-def brute(rows):
-    parsed = [(c, t, *parse(x)) for c, t, _, x in rows]
-    first, parent = {}, {}
+def sentences(text):
+    return re.split(r"(?<=[.!?…。！？])\s+", text)
+
+
+def part_of(c, t, text, lines, first, sayers):
+    """The earlier message that half of a passage was first said in, the weightiest one."""
+    best = []
+    for pieces in (set(lines), set(sentences(text))):
+        same, weight = {}, {}
+        for x in pieces:
+            p = first.get((c, x))
+            if p is not None and p < t:
+                same[p] = same.get(p, 0) + len(x)
+                weight[p] = weight.get(p, 0) + len(x) * 1000 // sayers[c, x]
+        best += [(weight[p], p) for p, n in same.items() if 2 * n >= sum(map(len, pieces))]
+    return max(best)[1] if best else None
+
+
+def brute(rows, partial=False):
+    parsed = [(c, t, *parse(x, partial)) for c, t, _, x in rows]
+    first, sayers, parent = {}, {}, {}
     for c, t, _, says, _ in parsed:
         for s in says:
             if c is not None and t is not None:
                 first[c, s] = min(t, first.get((c, s), t))
+                sayers[c, s] = sayers.get((c, s), 0) + 1
     for c, t, _, _, quotes in parsed:
-        for v, b in quotes:
+        for v, b, lines in quotes:
             p = first.get((c, b))
-            if t is not None and p is not None and p < t:
-                parent.setdefault((c, t), []).append((v, -p))
-    parent = {k: -min(v)[1] for k, v in parent.items()}
+            if c is None or t is None:
+                continue
+            if p is not None and p < t:
+                parent.setdefault((c, t), []).append((v, 0, -p))
+            elif partial and (p := part_of(c, t, b, lines, first, sayers)) is not None:
+                parent.setdefault((c, t), []).append((v, 1, -p))
+    parent = {k: -min(v)[2] for k, v in parent.items()}
 
     def up(c, t):
         depth = 0
@@ -56,9 +82,9 @@ def brute(rows):
 SCHEMA = "conv_id bigint, turn bigint, role string, text string, thread string, own int"
 
 
-def run(spark, rows):
+def run(spark, rows, partial=False):
     table = spark.createDataFrame([(*r, "extra", 1) for r in rows], SCHEMA)
-    return Q.reply_ordered(table)
+    return Q.reply_ordered(table, partial)
 
 
 def by_text(rows):
@@ -89,6 +115,34 @@ def test_threads_equal_plain_python(spark):
     assert all(place[r.conv_id, r.reply_to] < r.sort_key for r in got if r.reply_to is not None)
 
 
+def test_parts_equal_plain_python(spark):
+    rng = random.Random(8)
+    lines = ["Thanks.", "ok", "A first sentence. And a second one.", "short", "some longer line that was said",
+             "Another one! Really?", "the last of these lines"]
+    rows = []
+    for conv in range(8):
+        for turn in range(12):
+            parts = []
+            for _ in range(rng.randint(1, 3)):
+                level = rng.choice([0, 0, 1, 1, 2])
+                body = rng.sample([*lines, f"only {conv} {turn}", f"only {conv} {rng.randint(0, 11)}"], rng.randint(1, 4))
+                parts += ["> " * level + x for x in body]
+                if rng.random() < 0.5:
+                    parts.append("")
+            rows.append((conv, turn, "user", "\n".join(parts)))
+    rows += [(None, 1, "user", "> ok\n> x"), (2, None, "user", "> ok\n> x"), (4, 9, "user", "> Thanks.\n> ok")]
+    expected = brute(rows, True)
+    assert sum(r[3] is not None for r in expected) > sum(r[3] is not None for r in brute(rows)) + 5
+    got = run(spark, rows, True).collect()
+    assert by_text((r.conv_id, r.turn, r.text, r.reply_to, r.thread, r.depth) for r in got) == by_text(expected)
+
+
+def test_a_common_line_links_nothing(spark):
+    quoted = "> Nobody ever said this line.\n> Nor this one, for that matter.\n> Thanks.\n> And this is new as well."
+    rows = [(1, 0, "user", "Hello there"), (1, 1, "user", "Thanks."), (1, 2, "user", quoted), (1, 3, "user", "> Thanks.")]
+    assert {r.turn: r.reply_to for r in run(spark, rows, True).collect()} == {0: None, 1: None, 2: None, 3: 1}
+
+
 def test_a_long_chain_and_a_hot_message(spark):
     chain = [(1, 0, "user", "start 0")] + [(1, k, "user", f"> start {k - 1}\nstart {k}") for k in range(1, 70)]
     fans = [(2, 0, "user", "the root")] + [(2, k, "user", "> The  ROOT\nok") for k in range(1, 300)]
