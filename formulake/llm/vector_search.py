@@ -2,8 +2,10 @@
 
 Candidates are dealt to stripes and queries to blocks, both by hash and of bounded size; every
 block meets every stripe, so a task sees one block and one stripe. In a stripe each component is
-quantised to a cell of a grid over the stripe's own range. A scan of the cells bounds every
-inner product from above and below. The exact vectors are then read in the order of the upper
+quantised to a cell of a grid over the stripe's own range; the approximation file holds one byte, the
+cell's number, for each component. A scan of the file bounds every inner product from above and below: a
+query has a table of its products with the centres of all cells, and a candidate's bound is the sum of the
+entries that its bytes name. The exact vectors are then read in the order of the upper
 bounds, until the k-th exact score is above every bound that is left (ties are read, so that they
 can be settled by id). The k best of every stripe are merged by rank.
 
@@ -46,29 +48,28 @@ def whole_vectors(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), whole.alias("v"))
 
 
-def grid(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lowest and highest value of the cell of every component, as doubles."""
-    low, high = values.min(axis=0), values.max(axis=0)
-    width = np.maximum((high - low + CELLS) // CELLS, 1)
-    first = low + (values - low) // width * width
-    return first.astype(np.float64), np.minimum(first + width - 1, high).astype(np.float64)
-
-
 class Approximation:
-    """The cells of a stripe: centre and half width of each component."""
+    """The approximation file of a stripe: the cell of every component, a byte each, component by component."""
 
     def __init__(self, values: np.ndarray):
-        low, high = grid(values)
-        self.centre = (low + high) / 2
-        self.half = ((high - low) / 2).max(axis=0, initial=0.0)
+        low, high = values.min(axis=0), values.max(axis=0)
+        width = np.maximum((high - low + CELLS) // CELLS, 1)
+        self.codes = np.ascontiguousarray(((values - low) // width).astype(np.uint8).T)
+        first = low[:, None] + np.arange(CELLS) * width[:, None]
+        last = np.minimum(first + (width - 1)[:, None], np.maximum(high[:, None], first))
+        self.centres = (first.astype(np.float64) + last) / 2
+        self.half = ((last - first) / 2).max(axis=1, initial=0.0)
         self.exact = values
 
     def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Centre score of every query and candidate, and how far the exact one can be off."""
         q = queries.astype(np.float64)
-        middle = q @ self.centre.T
+        middle = np.zeros((len(q), self.codes.shape[1]))
+        for line, query in zip(middle, q):
+            for table, codes in zip(query[:, None] * self.centres, self.codes):
+                line += table.take(codes)
         slack = np.abs(q) @ self.half
-        largest = np.abs(q).sum(axis=1) * np.abs(self.centre).max(initial=0.0)
+        largest = np.abs(q).sum(axis=1) * np.abs(self.centres).max(initial=0.0)
         return middle, slack + 1e-9 * (largest + slack) + 1e-9  # what rounding can add
 
 

@@ -50,6 +50,7 @@ def test_bounds_hold():
     exact = queries @ values.T
     assert (np.abs(exact - middle) <= slack[:, None]).all()
     assert slack.max() < np.abs(exact).max()
+    assert cells.codes.dtype == np.uint8 and cells.codes.nbytes * 8 == values.nbytes and cells.codes.max() < V.CELLS
 
 
 def test_query_equals_sql(spark):
