@@ -38,8 +38,22 @@ def ratio_mentions(texts: DataFrame, key: str, text: str) -> DataFrame:
     ).withColumn("ratio", ratio_text(F.col("vals"))).withColumn("total", array_total(F.col("vals")))
 
 
-def strict_outcomes(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """Outcome mentions that survive the strict rules, with the approximate flag.
+EVIDENCE = 130  # characters on both sides of a mention
+
+
+def ordered_mentions(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """Well-formed ratio mentions with their values in role order where the text around says all roles."""
+    rows = texts.select(key, text, F.explode(spans(F.col(text), V.RATIO_MENTION)).alias("s"))
+    rows = rows.where(malformed_reason_wide(F.col("s.hit")).isNull())
+    rows = rows.select(
+        key, F.col("s.start").cast("bigint").alias("start"), ratio_values(F.col("s.hit")).alias("vals"),
+        window(F.col(text), F.col("s.start"), F.col("s.end"), EVIDENCE).alias("evidence"))
+    order = component_order(F.col("evidence"))
+    return rows.select(key, "start", ratio_text(reorder(F.col("vals"), order)).alias("ratio"), "evidence")
+
+
+def strict_outcomes(texts: DataFrame, key: str, text: str, evidence: bool = False) -> DataFrame:
+    """Outcome mentions that survive the strict rules, with the approximate flag, and the text around if asked.
 
     At least 20, an outcome word within 90 characters, no general statement within 130, no
     formula in the match or the 160 characters before it.
@@ -62,9 +76,10 @@ def strict_outcomes(texts: DataFrame, key: str, text: str) -> DataFrame:
     rows = rows.where(
         ~window(body, start, end, 130).rlike(V.OUTCOME_GENERAL) & near.rlike(V.OUTCOME_NEAR)
         & ~lead.rlike(V.OUTCOME_FORMULA))
+    around = [window(body, start, end, EVIDENCE).alias("evidence")] if evidence else []
     return rows.select(
         key, F.col("m.pattern").alias("pattern"), start.cast("bigint").alias("start"),
-        F.col("m.ee").alias("ee"), near.rlike(V.OUTCOME_BOUND).alias("approx"))
+        F.col("m.ee").alias("ee"), near.rlike(V.OUTCOME_BOUND).alias("approx"), *around)
 
 
 def process_values(context: Column) -> list[Column]:
@@ -271,38 +286,44 @@ def table_rows(cells: DataFrame) -> DataFrame:
 def pair_grade(ratios: DataFrame, outcomes: DataFrame, tables: DataFrame, max_gap: int = 4000,
                max_ratios: int | None = None) -> DataFrame:
     """Rows per document: table rows win; one ratio takes its outcome (medium) or the nearest
-    of several (low, none beyond ``max_gap``); several ratios stand without an outcome."""
+    of several (low, none beyond ``max_gap``); several ratios stand without an outcome.
+
+    ``ratios`` have role order and evidence (``ordered_mentions``), ``outcomes`` evidence. The evidence of a row
+    is the text around its ratio, and around its outcome if it has one; that of table rows is empty.
+    """
     uniq = ratios.groupBy("doc_id", "ratio").agg(
-        F.min("start").alias("first"), F.max("start").alias("start"))
+        F.min("start").alias("first"), F.max("start").alias("start"), F.max_by("evidence", "start").alias("evidence"))
     # small mention rows, written once so that no text is read again
     uniq = materialise(uniq, "ratio-mentions")
     counts = uniq.groupBy("doc_id").agg(F.count("*").alias("nr"))
     uniq = uniq.join(counts, "doc_id")
     values = outcomes.groupBy("doc_id", "ee").agg(
-        F.max_by(F.struct("start", "approx"), F.struct("pattern", "start")).alias("m"))
+        F.max_by(F.struct("start", "approx", "evidence"), F.struct("pattern", "start")).alias("m"))
     single = uniq.where(F.col("nr") == 1)
-    from_ratio = F.greatest(F.lit(0), F.col("start") - 130)
+    from_ratio = F.greatest(F.lit(0), F.col("start") - EVIDENCE)
     gap = F.abs(F.col("m.start") - from_ratio)
     paired = single.join(values, "doc_id").groupBy("doc_id", "ratio").agg(
-        F.count("*").alias("ne"),
+        F.count("*").alias("ne"), F.first("evidence").alias("evidence"),
         F.min(F.struct(gap.alias("gap"), F.col("m.start").alias("at"), F.col("ee").alias("ee"),
-                       F.col("m.approx").alias("approx"))).alias("p"))
+                       F.col("m.approx").alias("approx"), F.col("m.evidence").alias("evidence"))).alias("p"))
     lone = F.col("ne") == 1
     near = lone | (F.col("p.gap") <= max_gap)
+    alone = F.substring("evidence", 1, 200)
+    both = F.concat(F.substring("evidence", 1, 150), F.lit(" -> outcome: "), F.substring("p.evidence", 1, 150))
     paired = paired.select(
         "doc_id", "ratio", F.when(near, F.col("p.ee")).alias("ee"),
         F.when(near, F.col("p.approx")).otherwise(F.lit(False)).alias("approx"),
-        F.when(lone, "medium").otherwise("low").alias("grade"))
+        F.when(lone, "medium").otherwise("low").alias("grade"), F.when(near, both).otherwise(alone).alias("evidence"))
     paired = materialise(paired, "paired-mentions")
     rest = uniq.join(paired.select("doc_id"), "doc_id", "left_anti")
     if max_ratios is not None:
         rest = top_rows(rest, ["doc_id"], [F.col("first")], max_ratios, "_rn")
     rest = rest.select("doc_id", "ratio", F.lit(None).cast("double").alias("ee"),
-                       F.lit(False).alias("approx"), F.lit("low").alias("grade"))
+                       F.lit(False).alias("approx"), F.lit("low").alias("grade"), alone.alias("evidence"))
     text = paired.unionByName(rest).withColumn("source", F.lit("text"))
     text = text.join(tables.select("doc_id").distinct(), "doc_id", "left_anti")
     rows = tables.select("doc_id", "ratio", "ee", F.lit(False).alias("approx"), "grade",
-                         F.lit("table").alias("source"))
+                         F.lit("").alias("evidence"), F.lit("table").alias("source"))
     return rows.unionByName(text)
 
 

@@ -47,7 +47,7 @@ def sql_window(s: str, before: int, after: int) -> str:
 STRICT_SQL = "strict0 AS (" + " UNION ALL ".join(
     f"SELECT doc_id, body, {i} AS pattern, unnest({sql_spans('body', lit(p))}) AS s FROM articles"
     for i, p in enumerate(STRICT_PATTERNS)) + f"""),
-strict AS (SELECT doc_id, pattern, s.start AS start, ee, regexp_matches(near, {lit(V.OUTCOME_BOUND)}) AS approx
+strict AS (SELECT doc_id, pattern, s.start AS start, ee, regexp_matches(near, {lit(V.OUTCOME_BOUND)}) AS approx, around
   FROM (SELECT *, CASE pattern """ + " ".join(
     f"WHEN {i} THEN {sql_number('s.hit', p)}" for i, p in enumerate(STRICT_PATTERNS)) + f""" END AS ee,
           {sql_window('s', 90, 90)} AS near, {sql_window('s', 130, 130)} AS around,
@@ -333,34 +333,41 @@ def q_table_rows_by_header(spark, sf_dir):
 
 
 PAIR_SQL = f"""
-uniq AS (SELECT doc_id, {Q.ratio_text('vals')} AS ratio, max(start) AS start FROM ratio_runs GROUP BY 1, 2),
+runs AS (SELECT doc_id, s.start AS start, {_VALS} AS vals, {sql_window('s', 130, 130)} AS ev
+  FROM (SELECT doc_id, body, unnest({sql_spans('body', RUN_SQL)}) AS s FROM articles)),
+uniq AS (SELECT doc_id, """ + Q.ratio_text(
+    "(CASE WHEN len(ord) = 4 THEN [" + ", ".join(f"vals[list_position(ord, '{r}')]" for r in V.ROLES)
+    + "] ELSE vals END)") + f""" AS ratio, max(start) AS start, max_by(ev, start) AS ev
+  FROM (SELECT *, {sql_order('lower(ev)')} AS ord FROM runs WHERE len(vals) = 4) GROUP BY 1, 2),
 uniq_n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS nr FROM uniq),
-vals_e AS (SELECT doc_id, ee, start, approx FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ee
+vals_e AS (SELECT doc_id, ee, start, approx, around FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ee
   ORDER BY pattern DESC, start DESC) AS rn FROM strict) WHERE rn = 1),
-cross1 AS (SELECT u.doc_id, ratio, ee, approx, abs(e.start - greatest(0, u.start - 130)) AS gap,
+cross1 AS (SELECT u.doc_id, ratio, ee, approx, ev, around, abs(e.start - greatest(0, u.start - 130)) AS gap,
     count(*) OVER (PARTITION BY u.doc_id) AS ne,
     row_number() OVER (PARTITION BY u.doc_id ORDER BY abs(e.start - greatest(0, u.start - 130)), e.start, ee) AS rn
   FROM uniq_n u JOIN vals_e e ON e.doc_id = u.doc_id WHERE nr = 1),
 pair_text AS (
   SELECT doc_id, ratio, CASE WHEN ne = 1 OR gap <= 4000 THEN ee END AS ee,
     CASE WHEN ne = 1 OR gap <= 4000 THEN approx ELSE false END AS approx,
-    CASE WHEN ne = 1 THEN 'medium' ELSE 'low' END AS grade FROM cross1 WHERE rn = 1
-  UNION ALL SELECT doc_id, ratio, NULL, false, 'low' FROM uniq_n WHERE doc_id NOT IN (SELECT doc_id FROM cross1)),
+    CASE WHEN ne = 1 THEN 'medium' ELSE 'low' END AS grade,
+    CASE WHEN ne = 1 OR gap <= 4000 THEN concat(substring(ev, 1, 150), ' -> outcome: ', substring(around, 1, 150))
+      ELSE substring(ev, 1, 200) END AS evidence FROM cross1 WHERE rn = 1
+  UNION ALL SELECT doc_id, ratio, NULL, false, 'low', substring(ev, 1, 200) FROM uniq_n WHERE doc_id NOT IN (SELECT doc_id FROM cross1)),
 pairs AS (
-  SELECT doc_id, ratio, ee, false AS approx, CASE WHEN coalesce(ee, 0) <> 0 THEN 'high' ELSE 'medium' END AS grade, 'table' AS source
+  SELECT doc_id, ratio, ee, false AS approx, CASE WHEN coalesce(ee, 0) <> 0 THEN 'high' ELSE 'medium' END AS grade, '' AS evidence, 'table' AS source
   FROM table_form
   UNION ALL SELECT *, 'text' FROM pair_text WHERE doc_id NOT IN (SELECT doc_id FROM table_form))"""
 
 
 def paired_rows(spark, sf_dir):
     arts = P.articles(spark, sf_dir)
-    ratios = X.ratio_mentions(arts, "doc_id", "body").select("doc_id", "ratio", "start")
-    return X.pair_grade(ratios, X.strict_outcomes(arts, "doc_id", "body"),
+    ratios = X.ordered_mentions(arts, "doc_id", "body")
+    return X.pair_grade(ratios, X.strict_outcomes(arts, "doc_id", "body", evidence=True),
                         X.table_rows(P.cells(spark, sf_dir)))
 
 
-@query("pair_grade", sql("articles cells", "SELECT doc_id, ratio, ee, approx, grade, source FROM pairs",
-                         sql_ratio_mentions(), STRICT_SQL, TABLE_SQL, PAIR_SQL))
+@query("pair_grade", sql("articles cells", "SELECT doc_id, ratio, ee, approx, grade, evidence, source FROM pairs",
+                         STRICT_SQL, TABLE_SQL, PAIR_SQL))
 def q_pair_grade(spark, sf_dir):
     return paired_rows(spark, sf_dir)
 
@@ -372,14 +379,14 @@ yield AS (SELECT doc_id, coalesce(t, 0) AS n_tables, coalesce(r, 0) AS n_rows, c
   LEFT JOIN (SELECT doc_id, count(DISTINCT tbl_no) AS t FROM cells GROUP BY 1) USING (doc_id))"""
 
 
-@query("harvest_yield", sql("articles cells", "SELECT * FROM yield", sql_ratio_mentions(), STRICT_SQL,
+@query("harvest_yield", sql("articles cells", "SELECT * FROM yield", STRICT_SQL,
                             TABLE_SQL, PAIR_SQL, YIELD_SQL))
 def q_harvest_yield(spark, sf_dir):
     return X.harvest_yield(P.articles(spark, sf_dir), paired_rows(spark, sf_dir), P.cells(spark, sf_dir))
 
 
 @query("harvest_status", sql("articles cells", "SELECT status, count(*) AS n FROM yield GROUP BY 1",
-                             sql_ratio_mentions(), STRICT_SQL, TABLE_SQL, PAIR_SQL, YIELD_SQL))
+                             STRICT_SQL, TABLE_SQL, PAIR_SQL, YIELD_SQL))
 def q_harvest_status(spark, sf_dir):
     out = X.harvest_yield(P.articles(spark, sf_dir), paired_rows(spark, sf_dir), P.cells(spark, sf_dir))
     return out.groupBy("status").agg(F.count("*").alias("n"))
