@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from formulake import vocab as V
 from formulake.functions.text import by_spelling, flat_name, lookup_map
-from formulake.operators.groups import attach, first_rows, value_ranks
+from formulake.operators.groups import attach, value_ranks
 
 
 def lookup_backfill(df: DataFrame, lookup: DataFrame, name: str, value: str) -> DataFrame:
-    """Fill blank values from a (name, value) table; values already there stay."""
-    dim = lookup.toDF("_name", "_value")
+    """Fill blank values from a (name, value) table; values already there stay.
+
+    A name that the table has several times gives its smallest value, so no row is multiplied.
+    """
+    dim = lookup.toDF("_name", "_value").groupBy("_name").agg(F.min("_value").alias("_value"))
     current = F.trim(F.coalesce(F.col(value), F.lit("")))
     blank = current.isin("", "nan", "None")
     joined = df.join(dim, F.trim(F.col(name)) == F.col("_name"), "left")
@@ -175,7 +178,3 @@ def pair_agreement(df: DataFrame, study: str, y: str, pred: str, min_gap: float)
 def distinct_ordered(df: DataFrame, value: str, position: str) -> DataFrame:
     """Distinct values with the position of their first appearance."""
     return df.groupBy(value).agg(F.min(position).alias("first_at"))
-
-
-def latest_per(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    return first_rows(df, keys, [F.col(order).desc()])

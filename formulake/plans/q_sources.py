@@ -79,6 +79,18 @@ def scan_json_payload(spark, sf_dir):
     return S.expand_payload(spark.read.parquet(path), "payload", PAYLOAD)
 
 
+@query("scan_json_inferred", sql("colon", "SELECT row_id AS id, row_id, ratio, y10, np FROM colon"))
+def scan_json_inferred(spark, sf_dir):
+    """Stored JSON documents, some spread over several lines, expanded by the schema they show."""
+    path = new_path(spark, "payload")
+    rows = P.colon(P.form(spark, sf_dir)).select("row_id", "ratio", "y10", "np")
+    stored = S.to_payload(rows, "row_id").withColumn("payload", F.when(
+        F.col("row_id").endswith("1"), F.regexp_replace("payload", ",\"", ",\n  \"")).otherwise(F.col("payload")))
+    stored.withColumnRenamed("row_id", "id").write.parquet(path)
+    stored = spark.read.parquet(path)
+    return S.expand_payload(stored, "payload", S.infer_payload_schema(stored, "payload"))
+
+
 @query("sink_json_payload", sql("colon", "SELECT row_id, ratio, y10, study_big FROM colon"))
 def sink_json_payload(spark, sf_dir):
     path = new_path(spark, "payload")

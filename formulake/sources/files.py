@@ -143,9 +143,13 @@ def expand_payload(df: DataFrame, payload: str, schema: T.StructType) -> DataFra
 
 
 def infer_payload_schema(df: DataFrame, payload: str) -> T.StructType:
-    """Schema of JSON documents, merged over all rows without leaving the JVM."""
+    """Schema of JSON documents, merged over all rows without leaving the JVM.
+
+    Documents are written a line each; line breaks between their parts become blanks, and none can stand
+    inside their strings.
+    """
     path = new_path(df.sparkSession, "payload")
-    df.select(F.col(payload).alias("value")).write.text(path)
+    df.select(F.translate(payload, "\r\n", "  ").alias("value")).write.text(path)
     return df.sparkSession.read.json(path).schema
 
 
