@@ -60,7 +60,7 @@ def window(text: Column, start: Column, end: Column, before: int, after: int | N
 
 
 def first_number(text: Column, pattern: str) -> Column:
-    return F.regexp_extract(text, pattern, 1).try_cast("double")
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("double")
 
 
 def term_count(text: Column, term: Column) -> Column:
