@@ -10,7 +10,7 @@ from formulake.functions.numbers import r6
 from formulake.operators import anchor as AN
 from formulake.operators import scenario as SC
 from formulake.operators import stats as S
-from formulake.operators.groups import group_quantiles
+from formulake.operators.groups import study_quantiles
 from formulake.plans import sqlviews as Q
 from formulake.plans import views as P
 from formulake.plans.q_joins import GRID_SQL, SUPPORT_SQL, composition_grid
@@ -63,7 +63,7 @@ def q_offset_reliability(spark, sf_dir):
 def published(spark, sf_dir):
     """Two publications: two anchors for all studies, then shrunk three-anchor values for some."""
     rows = P.oof(spark, sf_dir, "study_small")
-    ref = group_quantiles(rows, ["study"], "pred", {"ref_pred": 0.5}, 0.1).select(
+    ref = study_quantiles(rows, ["study"], "pred", {"ref_pred": 0.5}, 0.1).select(
         "study", F.col("_n").alias("n_rows"), "ref_pred")
     cols = ["study", "k", "raw"]
     first = AN.publish(AN.study_offsets(
