@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -13,6 +14,7 @@ ARTICLE = (
     "pmc_id string, doi string, title string, sections array<struct<title:string,text:string>>, "
     "body string, tables array<struct<caption:string,rows:array<array<string>>>>, figures array<string>"
 )
+PARSED_AT_ONCE = 100  # articles whose fields are held at a time
 PMC_KINDS = ("pmc", "pmcid", "pmcaid")
 
 
@@ -60,8 +62,11 @@ def article_of(xml: str | None) -> dict:
 NAMES = [c.split()[0] for c in ARTICLE.split(", ")]
 
 
-def parsed_articles(xml: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([article_of(x) for x in xml], columns=NAMES)
+def parsed_articles(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Articles in pieces, as all fields of a whole batch take many times the memory of its texts."""
+    for xml in batches:
+        for start in range(0, len(xml), PARSED_AT_ONCE):
+            yield pd.DataFrame([article_of(x) for x in xml.iloc[start : start + PARSED_AT_ONCE]], columns=NAMES)
 
 
 def read_article_xml(spark: SparkSession, path: str) -> DataFrame:
