@@ -75,14 +75,18 @@ def terms(words: list[str]) -> Column:
 
 def first_term(text: Column, words: list[str]) -> Column:
     """The longest dictionary term that occurs in the text."""
-    low = F.lower(text)
+    return let(F.lower(text), lambda low: first_term_of(low, words))
+
+
+def first_term_of(low: Column, words: list[str]) -> Column:
+    """``first_term`` of a text in lower case, a variable of ``let``: an expression would be computed for every word."""
     ordered = sorted(words, key=lambda w: -len(w))
     return F.get(F.filter(terms(ordered), lambda w: F.contains(low, F.lower(w))), F.lit(0))
 
 
 def role_position(low: Column, words: list[str]) -> Column:
     """Position of the first listed term that occurs (dictionary order decides), 0 if none."""
-    found = F.transform(terms([w.lower() for w in words]), lambda w: F.instr(low, w))
+    found = let(low, lambda t: F.transform(terms([w.lower() for w in words]), lambda w: F.instr(t, w)))
     return F.coalesce(F.get(F.filter(found, lambda p: p > 0), F.lit(0)), F.lit(0))
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from formulake import vocab as V
 from formulake.functions import ratio as R
-from formulake.functions.numbers import r6
+from formulake.functions.numbers import let, r6
 from formulake.functions.outcome import clean_outcome
-from formulake.functions.text import by_spelling, cargo_cascade, first_term, spans, term_count, terms
+from formulake.functions.text import by_spelling, cargo_cascade, first_term_of, spans, term_count, terms
 from formulake.operators import anchor as AN
 from formulake.operators import joins as J
 from formulake.operators import keys as K
@@ -262,19 +262,17 @@ ROLE_WORDS = {"ionizable": V.IONIZABLE, "helper": V.HELPER, "peg": V.PEG_LIPID}
 
 
 def dictionary_terms(articles):
-    """Per article and role the most frequent and the longest dictionary term."""
-    low = F.lower(F.col("body"))
-    out = None
-    for role, names in ROLE_WORDS.items():
+    """Per article and role the most frequent and the longest dictionary term; a body is read and lowered once."""
+    def best(low, names):
         counted = F.transform(terms(names), lambda w: F.struct(
             (-term_count(low, F.lower(w))).alias("c"), w.alias("term")))
-        best = F.array_min(F.filter(counted, lambda s: s["c"] < 0))
-        rows = articles.select("doc_id", F.lit(role).alias("role"), best.alias("b"),
-                               first_term(F.col("body"), names).alias("longest"))
-        rows = rows.where(F.col("b").isNotNull()).select(
-            "doc_id", "role", F.col("b.term").alias("term"), (-F.col("b.c")).alias("n"), "longest")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        return F.array_min(F.filter(counted, lambda s: s["c"] < 0))
+
+    roles = let(F.lower("body"), lambda low: F.array(*[
+        F.struct(F.lit(role).alias("role"), best(low, names).alias("b"), first_term_of(low, names).alias("longest"))
+        for role, names in ROLE_WORDS.items()]))
+    rows = articles.select("doc_id", F.explode(roles).alias("r")).where(F.col("r.b").isNotNull())
+    return rows.select("doc_id", "r.role", F.col("r.b.term").alias("term"), (-F.col("r.b.c")).alias("n"), "r.longest")
 
 
 def _terms_sql(role, names):
