@@ -227,7 +227,7 @@ GRID_SQL = "grid AS (SELECT point, " + ", ".join(
 @query("composition_grid", sql("featured", "SELECT point, " + ", ".join(
     f"{Q.r6(c)} AS {c}" for c in R.COMPONENTS) + " FROM grid", SUPPORT_SQL, GRID_SQL))
 def q_composition_grid(spark, sf_dir):
-    grid = composition_grid(data_support(P.featured(spark, sf_dir), R.COMPONENTS), 7)
+    grid = composition_grid(data_support(P.shares(spark, sf_dir), R.COMPONENTS), 7)
     return grid.select("point", *[r6(F.col(c)).alias(c) for c in R.COMPONENTS])
 
 
@@ -345,7 +345,7 @@ SELECT k AS content_key, count(*) AS n, array_to_string(list_slice(list_sort(lis
 FROM (SELECT row_id, {KEY_SQL} AS k FROM (SELECT * REPLACE ('same' AS outcome_raw, 'x' AS name_raw,
       CASE WHEN part_no % 3 = 0 THEN '1:2:3' ELSE ratio END AS ratio) FROM batch)) GROUP BY k HAVING count(*) > 1"""))
 def q_duplicate_report(spark, sf_dir):
-    rows = P.batch(spark, sf_dir).withColumns({
+    rows = P.batch_ratios(spark, sf_dir).withColumns({
         "outcome_raw": F.lit("same"), "name_raw": F.lit("x"),
         "ratio": F.when(F.col("part_no") % 3 == 0, "1:2:3").otherwise(F.col("ratio"))})
     return K.duplicate_report(K.with_key(rows, *COLS), "row_id")
