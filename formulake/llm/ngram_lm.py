@@ -33,7 +33,7 @@ rows N is 0 and every word has the base probability ``0.1 / 0.1``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -55,7 +55,7 @@ BITS_PER_ENTRY = 10
 PROBES = 5
 CHUNK_CHARS = 8 << 20  # text of a chunk, about
 SEGMENT_PAIRS = 4 << 20  # pairs that a segment sums up, about
-MOST_BYTES = 512 << 20  # of a filter that is broadcast at once
+MOST_BYTES = 128 << 20  # of a filter that is broadcast at once; the driver and each worker hold so much
 END, START = b"\n", b"\t"  # no word has these
 PAIR_BITS = np.uint64((1 << 40) - 1)
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -301,17 +301,25 @@ def build_filter(frame: pd.DataFrame, bits_per_entry: int, probes: int) -> pd.Da
 
 
 class Filter:
-    """Some segments of the filter, side by side."""
+    """Some segments of the filter, side by side.
 
-    def __init__(self, parts: dict[int, bytes], segments: int, probes: int = PROBES):
+    With ``sizes`` (bytes of each segment) the parts may come one after the other, and none is held twice.
+    """
+
+    def __init__(self, parts: dict[int, bytes] | Iterable[tuple[int, bytes]], segments: int, probes: int = PROBES,
+                 sizes: dict[int, int] | None = None):
         self.segments, self.probes = segments, probes
         self.first = np.full(segments, -1, np.int64)
         self.bits = np.ones(segments, np.int64)
-        at, order = 0, sorted(parts)
-        for k in order:
-            self.first[k], self.bits[k] = at * 8, len(parts[k]) * 8
-            at += len(parts[k])
-        self.bytes = np.frombuffer(b"".join(parts[k] for k in order), np.uint8)
+        sizes = {k: len(own) for k, own in parts.items()} if sizes is None else sizes
+        at = 0
+        for k in sorted(sizes):
+            self.first[k], self.bits[k] = at * 8, sizes[k] * 8
+            at += sizes[k]
+        self.bytes = np.empty(at, np.uint8)
+        for k, own in parts.items() if isinstance(parts, dict) else parts:
+            start = self.first[k] // 8
+            self.bytes[start : start + sizes[k]] = np.frombuffer(own, np.uint8)
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
         return self.first[segments_of(hashes, self.segments)] >= 0
@@ -409,9 +417,8 @@ def score_documents(
     slices = slices_of(parts, most_bytes)
     scored = None
     for number, own in enumerate(slices):
-        held = {r.segment: bytes(r.bits) for r in parts.where(F.col("segment").isin(own)).collect()}
-        sent = spark.sparkContext.broadcast(Filter(held, segments, probes))
-        del held
+        rows = parts.where(F.col("segment").isin(list(own))).toLocalIterator()
+        sent = spark.sparkContext.broadcast(Filter(((r.segment, r.bits) for r in rows), segments, probes, own))
         part = with_filter(chunks, answers, sent, tokens_total, distinct, number == 0)
         if len(slices) > 1:
             part = materialise(part, "lm-sums")
@@ -427,15 +434,15 @@ def score_documents(
     )
 
 
-def slices_of(parts: DataFrame, most_bytes: int) -> list[list[int]]:
-    """Segments in slices of at most this size, one segment at least; one slice if there is none."""
-    out: list[list[int]] = [[]]
+def slices_of(parts: DataFrame, most_bytes: int) -> list[dict[int, int]]:
+    """Segments and their sizes in slices of at most this size, one segment at least; one slice if there is none."""
+    out: list[dict[int, int]] = [{}]
     room = most_bytes
     for segment, n in sorted(parts.select("segment", F.octet_length("bits")).collect()):
         if n > room and out[-1]:
-            out.append([])
+            out.append({})
             room = most_bytes
-        out[-1].append(segment)
+        out[-1][segment] = n
         room -= n
     return out
 
