@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from formulake import vocab as V
 from formulake.functions.text import by_spelling, flat_name, lookup_map
-from formulake.operators.groups import attach, value_ranks
+from formulake.operators.groups import attach, parted, value_ranks
 
 
 def lookup_backfill(df: DataFrame, lookup: DataFrame, name: str, value: str) -> DataFrame:
@@ -143,11 +143,27 @@ def pair_agreement(df: DataFrame, study: str, y: str, pred: str, min_gap: float)
     one 1, and all higher bits agree. So every count is sent once to each bit level, and
     inside (study, level, shared prefix) the low counts with an outcome at least min_gap
     smaller are summed by a range frame over distinct outcomes. Work grows with n log n.
+
+    Rows are exchanged once, by study, and the levels are counted in place; those of the few heavy studies
+    (``parted``) are exchanged by level, so that no task has all of one.
     """
-    rows = df.where(F.col(y).isNotNull() & F.col(pred).isNotNull())
+    rows, heavy = parted(df.where(F.col(y).isNotNull() & F.col(pred).isNotNull()).select(study, y, pred), [study])
+    rows = rows.repartition(study)
     counts = rows.groupBy(study, y, pred).agg(F.count("*").alias("_c"))
-    ranks = value_ranks(rows, [study], pred, 0.1).select(study, pred, "below", "total")
-    counts = counts.join(ranks, [study, pred])
+    whole = W.partitionBy(study)
+    counts = counts.withColumns({
+        "below": F.sum("_c").over(whole.orderBy(pred)) - F.sum("_c").over(W.partitionBy(study, pred)),
+        "total": F.sum("_c").over(whole)})
+    out = agreeing(rows, counts.where(F.col(study).isNotNull()), study, y, min_gap)
+    if heavy is None:
+        return out
+    counts = heavy.groupBy(study, y, pred).agg(F.count("*").alias("_c"))
+    ranks = value_ranks(heavy, [study], pred, 0.1).select(study, pred, "below", "total")
+    return out.unionByName(agreeing(heavy, counts.join(ranks, [study, pred]), study, y, min_gap))
+
+
+def agreeing(rows: DataFrame, counts: DataFrame, study: str, y: str, min_gap: float) -> DataFrame:
+    """``pair_agreement`` from rows and their counts with the rows ``below`` each prediction and in ``total``."""
     bits = F.ceil(F.log2(F.col("total").cast("double"))).cast("int")
     levels = counts.where(F.col("total") > 1).withColumn(
         "_level", F.explode(F.sequence(F.lit(0), bits))
